@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, checked_broadcast, narrow, small_batches
 
 BLOCK_BYTES = 32 * 1024
-SHARD_BYTES = 8 * 1024 * 1024
+SHARD_BYTES = 4 * 1024 * 1024
 BITS_PER_KEY, PROBES = 10, 7
 #: The writer of text files ends each file with a line feed, the magic's last byte.
 MAGIC = b"LSSST01\n"
 _FOOTER = struct.Struct("<QQQQQQQII8s")
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 400_000
+_MARKS = ".,;:!?#$%&*"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -186,9 +187,11 @@ class Shard:
 class WordEncoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library.
 
-    Where a text has single spaces only, pre-tokens never cross the place before
-    a space, so the ids of each " word" are looked up among those already seen
-    and only new ones are encoded.  Other texts are encoded as they are.
+    Where white space is single spaces and line feeds between other characters,
+    pre-tokens never cross the place before them, so a text is cut into parts
+    "word" (after a space) and "\\nword", the ids of parts already seen are
+    looked up, and new ones are encoded, many words in one call with a line feed
+    between them.  Other texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -197,27 +200,76 @@ class WordEncoder:
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         self.width = 2 if self.coder.get_vocab_size(with_added_tokens=True) <= 65_536 else 4
+        feed = self.coder.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         self.seen: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.marks: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._pack(e.ids) for lo in range(0, len(texts), 500) for e in self.coder.encode_batch_fast(texts[lo : lo + 500], add_special_tokens=False)]
+
+    def _encode_lines(self, lines: list[str]) -> list[bytes]:
+        """Ids of strings without white space beyond a leading space, by one call for many."""
+        out = []
+        for lo in range(0, len(lines), 1000):
+            part = lines[lo : lo + 1000]
+            ids = np.asarray(self.coder.encode("\n".join(part) + "\n", add_special_tokens=False).ids, f"<u{self.width}")
+            ends = np.flatnonzero(ids == self.feed) * self.width
+            raw, at = ids.tobytes(), 0
+            if len(ends) != len(part):
+                out += self._encode(part)
+                continue
+            for end in ends.tolist():
+                out.append(raw[at:end])
+                at = end + self.width
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        new = parts.difference(self.seen)
+        self.again |= parts.difference(new)
+        if len(self.seen) + len(new) > CACHE_WORDS:  # what was met in one batch only is forgotten
+            self.seen = {w: self.seen[w] for w in self.again} if len(self.again) < CACHE_WORDS // 2 else {}
+            self.again = set()
+            new = parts.difference(self.seen)
+        # A word of letters and the marks after it are pre-tokens of their own: both may be known already.
+        cut = {w: len(w.rstrip(_MARKS)) for w in new}
+        stems = {w: w[:n] for w, n in cut.items() if n < len(w) and w[:n].isalpha()} if self.feed is not None else {}
+        marks = {w[cut[w] :] for w in stems}.difference(self.marks)
+        self.marks.update(zip(marks, self._encode(list(marks)), strict=True))
+        new = set(stems.values()).difference(self.seen) | new.difference(stems)
+        lines = [w for w in new if w[:1] == "\n" and len(w) > 1 and w[1:].isprintable()] if self.feed is not None else []
+        spaced = [w for w in new if w and w.isprintable()] if self.feed is not None else []
+        feed = b"" if self.feed is None else self._pack([self.feed])
+        self.seen.update((w, feed + ids) for w, ids in zip(lines, self._encode_lines([w[1:] for w in lines]), strict=True))
+        self.seen.update(zip(spaced, self._encode_lines([" " + w for w in spaced]), strict=True))
+        odd = list(new.difference(lines, spaced))
+        self.seen.update(zip(odd, self._encode([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
+        self.seen.update((w, self.seen[stem] + self.marks[w[len(stem) :]]) for w, stem in stems.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = ["  " not in t for t in texts]
-        parts = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        """Packed ids of each text."""
+        plain = [bool(t) and not any(x in t for x in ("  ", " \n", "\n ", "\n\n")) and not t[0].isspace() for t in texts]
+        parts = [t.replace("\n", " \n").split(" ") if p else [""] for t, p in zip(texts, plain, strict=True)]
+        self._learn(set().union(*(x[1:] for x in parts)))
         heads = self._encode([x[0] if p else t for x, p, t in zip(parts, plain, texts, strict=True)])
-        new = list({w for x in parts for w in x[1:]} - self.seen.keys())
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen = {}
-            new = list({w for x in parts for w in x[1:]})
-        self.seen.update(zip(new, self._encode([" " + w for w in new]), strict=True))
         look = self.seen.__getitem__
         return [head + b"".join(map(look, x[1:])) for head, x in zip(heads, parts, strict=True)]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker, with the words that it has seen in earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> None:
     """Writes (doc_id, text) rows as shard files under ``out``, in ascending order of doc_id.
 
@@ -227,7 +279,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
     small_batches(docs.sparkSession, 500, "4m")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordEncoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         end, before = coder._pack([end_id]), 0
         part = TaskContext.get().partitionId()
         shard = ShardWriter(coder.width, part, 0, block_bytes)
