@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import metric_queries, retrieval_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (retrieval_queries, metric_queries):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
