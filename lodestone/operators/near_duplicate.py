@@ -35,10 +35,17 @@ def shape(stream: Column) -> Column:
 
 
 def shingles(stream: Column, width: int) -> Column:
-    """Hashes of the distinct runs of ``width`` tokens."""
-    last = F.size(stream) - width + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(stream, i, F.lit(width)), "\u0001"))))
+    """Hashes of the distinct runs of ``width`` tokens.
+
+    The stream is bound to a lambda variable, so it is computed once and not for every run.
+    """
+
+    def runs(s: Column) -> Column:
+        last = F.size(s) - width + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(s, i, F.lit(width)))))
+
+    return F.transform(F.array(stream), runs)[0]
 
 
 def shared_counts(probes: DataFrame, references: DataFrame) -> DataFrame:
