@@ -37,6 +37,8 @@ MAX_ROWS = 12_000
 #: Words that a training row keeps, at most (those with the largest share); scores use all words.
 MAX_WORDS = 2_000
 EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.02, 1e-4
+#: Steps that a small sample gets at least, by smaller batches and more epochs.
+MIN_STEPS = 400
 
 _STATS = 16
 _BINS = 12
@@ -112,6 +114,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     if len(rows) == 0 or labels.min() == labels.max():
         return Machine()
     rng = np.random.default_rng(seed)
+    size = min(BATCH, max(16, len(rows) // 16))
+    epochs = max(epochs, -(-MIN_STEPS * size // len(rows)))
     share = labels.mean()
     bias = float(np.log(share / (1 - share)))
     theta = np.concatenate((np.zeros((_FEATURES, 1)), rng.normal(0, 0.05, (_FEATURES, RANK))), axis=1)
@@ -120,8 +124,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
+        for lo in range(0, len(order), size):
+            part = order[lo : lo + size]
             index = np.concatenate([rows[i][0] for i in part])
             value = np.concatenate([rows[i][1] for i in part])
             row = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
