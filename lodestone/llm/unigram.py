@@ -219,9 +219,21 @@ def shared_model(spark: SparkSession, model_path: str):
     return spark.sparkContext.broadcast((pieces, np.asarray(trie.base, np.int32), np.asarray(trie.check, np.int32), np.asarray(trie.value, np.int32)))
 
 
-def _model(shared) -> Unigram:
-    pieces, base, check, value = shared.value
-    return Unigram(pieces, DoubleArray(base.tolist(), check.tolist(), value.tolist()))
+_MODELS: dict[str, Unigram] = {}
+
+
+def worker_model(key: str, shared) -> Unigram:
+    """The model of this worker, with the runs that it remembers from earlier tasks."""
+    if key not in _MODELS:
+        pieces, base, check, value = shared.value
+        _MODELS.clear()
+        _MODELS[key] = Unigram(pieces, DoubleArray(base.tolist(), check.tolist(), value.tolist()))
+    return _MODELS[key]
+
+
+def _key_of(shared) -> str:
+    pieces = shared.value[0]
+    return hashlib.sha256(repr(pieces).encode()).hexdigest()
 
 
 def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,9 +241,10 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     small_batches(spark, 500, "4m")
     shared = shared_model(spark, model_path)
+    key = _key_of(shared)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = worker_model(key, shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = [model.encode(t or "") for t in texts]
@@ -256,9 +269,10 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 def detokenize(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """``tokens`` with the decoded text of each row's ids as ``out_col``; null ids decode to null."""
     shared = shared_model(tokens.sparkSession, model_path)
+    key = _key_of(shared)
 
     def texts(batches):
-        model = _model(shared)
+        model = worker_model(key, shared)
         for batch in batches:
             yield pd.Series([None if x is None else model.decode([int(i) for i in x]) for x in batch], dtype=object)
 
