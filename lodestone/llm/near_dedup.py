@@ -11,14 +11,18 @@ collisions share one of their first K - T + 1 pairs, so only these are posted;
 pairs that no other node has need no posting, but count as places.  The very
 frequent ones (boilerplate) are thereby not posted unless a node has little else.
 Skip: a posting list is first joined with its smallest node alone.  Where that
-confirms links, the nodes of a list fall together in components, and later rounds
-skip every pair that is inside one component already: lists with one component
-left are dropped, others join the nodes outside their largest component with the
-rest.  So a group of n near copies costs about n pairs, not n squared, and every
-pair of nodes between different components that shares a posted pair is counted.
-
-Retained pairs are confirmed on the full sets (``den * intersection >= num *
-union``); components of the confirmed links are found by star contraction.
+confirms links, the nodes of a list fall together in components, and lists with
+one component left are skipped from then on.  The lists that stay open are merged
+in blocks of ``BLOCK_NODES`` nodes: a task counts the collisions of the pairs of
+two blocks that aren't in one component yet, and passes on no pairs but a spanning
+forest of the retained ones.  Its components are the candidate clusters: every
+retained pair lies within one.  Within a cluster the full sets are compared in the
+same way, two blocks a task, and again only a spanning forest of the confirmed
+links goes on.  So no list or cluster is ever in one task, and no step writes more
+rows than it has nodes, times the blocks of their cluster.
+
+Links are confirmed on the full sets (``den * intersection >= num * union``);
+components of the confirmed links are found by star contraction.
 
 Null and empty texts have an empty set and are linked with nothing, as are rows
 with a null doc_id.  A text of fewer words than a shingle has one shingle of them
@@ -43,8 +47,10 @@ from .scratch import Scratch, checked_broadcast, narrow, small_batches
 K = 64
 #: Chance that a pair at the link threshold has fewer than T collisions.
 MISS = 1e-6
-#: Rounds that join posting lists with one leader each, before the rest is joined.
-LEADER_ROUNDS = 2
+#: Rounds that join posting lists with one leader each, before open lists are merged in blocks.
+LEADER_ROUNDS = 1
+#: Nodes of a list or a cluster whose pairs one task looks at are those of two such blocks.
+BLOCK_NODES = 256
 #: Links of one leader that one task confirms.
 SALT_ROWS = 2000
 
@@ -136,16 +142,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int,
     once to each task with pairs of b, and is held while theirs stream past.
     """
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.select("node", "doc_id", "set_key").join(needed, "node").select("node", "doc_id", "set_key")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = shingle_sets(batch["text"].tolist(), width, lower)
-            out = [(node, s.tobytes()) for node, key, s in zip(batch["node"], batch["set_key"], found, strict=True) if _key(s) == bytes(key)]
-            yield pd.DataFrame(out, columns=["node", "shingles"])
-
-    texts = docs.join(checked_broadcast(chosen), "doc_id").select("node", "set_key", "text")
-    full = scratch.table(texts.mapInPandas(sets, "node long, shingles binary"), f"{name}-sets").dropDuplicates(["node"])
+    full = scratch.table(_full_sets(needed, docs, nodes, width, lower), f"{name}-sets").dropDuplicates(["node"])
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     mine = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a").join(full.withColumnRenamed("node", "a"), "a")
     lead = salts.join(full.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("a"), "shingles")
@@ -168,6 +165,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int,
     return dealt.mapInPandas(check, "a long, b long")
 
 
+def _full_sets(needed: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, lower: bool) -> DataFrame:
+    """(node, shingles) from the texts of the nodes' documents."""
+    chosen = nodes.select("node", "doc_id", "set_key").join(needed, "node").select("node", "doc_id", "set_key")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = shingle_sets(batch["text"].tolist(), width, lower)
+            out = [(node, s.tobytes()) for node, key, s in zip(batch["node"], batch["set_key"], found, strict=True) if _key(s) == bytes(key)]
+            yield pd.DataFrame(out, columns=["node", "shingles"])
+
+    texts = docs.join(checked_broadcast(chosen), "doc_id").select("node", "set_key", "text")
+    return texts.mapInPandas(sets, "node long, shingles binary")
+
+
 def _key(s: np.ndarray) -> bytes:
     return np.array([W.mix(s + np.uint64(1)).sum(), W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(), len(s)], np.uint64).tobytes()
 
@@ -187,30 +198,31 @@ def near_duplicates(
     # Ids of nodes grow with the task that writes them and are read from the table ever after.
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     postings = _postings(nodes, K - t + 1, scratch)
-    links, tested, root = None, None, None
-    for k in range(LEADER_ROUNDS + 1):
-        lists = postings
-        if root is not None:
-            lists = postings.join(root, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-        else:
-            lists = lists.withColumn("root", F.col("node"))
-        pairs = _leader_pairs(lists) if k < LEADER_ROUNDS else _open_pairs(lists)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{k}")
+    links, root = None, None
+    for k in range(LEADER_ROUNDS):
+        pairs = scratch.table(_leader_pairs(_rooted(postings, root)), f"pairs-{k}")
         if pairs.isEmpty():
-            if k < LEADER_ROUNDS:
-                continue
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
         retained = scratch.table(_retained(pairs, nodes, t, num, den), f"retained-{k}")
         found = scratch.table(_confirmed(retained, docs, nodes, width, lower, num, den, scratch, f"round-{k}"), f"links-{k}")
-        scratch.drop(f"round-{k}-sets", f"retained-{k}")
+        scratch.drop(f"round-{k}-sets", f"retained-{k}", f"pairs-{k}")
         links = found if links is None else links.unionByName(found)
         root = components(links, scratch, f"components-{k}")
+    if links is not None:
+        forest = scratch.table(_open_lists(_rooted(postings, root), nodes, t), "forest")
+        if not forest.isEmpty():
+            more = scratch.table(_cluster_links(forest, root, docs, nodes, width, lower, num, den, scratch), "links-open")
+            root = components(links.unionByName(more), scratch, "components-all")
     return _labelled(signed, nodes, root)
 
 
+def _rooted(rows: DataFrame, root: DataFrame | None) -> DataFrame:
+    """``rows`` with the root of each node's component so far, which is the node itself where it has no link."""
+    if root is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(root, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("root"))
+
+
 def _leader_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): each posting list's nodes with the smallest node of its smallest component."""
     first = lists.groupBy("token").agg(F.min(F.struct("root", "node")).alias("l"), F.max("root").alias("most")).where("l.root <> most")
@@ -218,15 +230,103 @@ def _leader_pairs(lists: DataFrame) -> DataFrame:
     return joined.where("root <> lead_root").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _open_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) of a posting list in different components, one of them outside of the list's largest."""
-    sizes = lists.groupBy("token", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("l"), F.count("*").alias("roots")).where("roots > 1")
-    live = lists.join(largest.select("token", F.col("l.root").alias("major")), "token")
-    outside = live.where("root <> major").select("token", F.col("node").alias("x"), F.col("root").alias("rx"))
-    other = live.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("major")).alias("inside"))
-    joined = outside.join(other, "token").where("rx <> ry and (inside or x > y)")
-    return joined.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _dealt_blocks(members: DataFrame, key: str) -> DataFrame:
+    """Rows of each ``key`` dealt to pairs (bi, bj) of its blocks: a node goes to every pair that its own block is in."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    own = members.join(sizes, key).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = other.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("own", "other", "blocks", "n")
+    return pair.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "node")
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key from sorted batches; a key's rows are at most those of two blocks."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        for key, part in batch.groupby(keys, sort=False):
+            if key != last and held:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            last = key
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def spanning_forest(linked: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a symmetric matrix that join all that it joins, beyond what equal roots join already."""
+    _, label = np.unique(roots, return_inverse=True)
+    edges = []
+    for i in range(len(label)):
+        for j in np.flatnonzero(linked[i, :i]):
+            if label[i] != label[j]:
+                edges.append((i, int(j)))
+                label[label == label[i]] = label[j]
+    return edges
+
+
+def _open_lists(lists: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
+    """(a, b): a spanning forest of the retained pairs of each posting list that has several components."""
+    roots = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    live = lists.join(roots, "token").join(nodes.select("node", "signature"), "node").select("token", "node", "root", "signature")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["token", "bi", "bj"]):
+            ids, roots = group["node"].to_numpy(), group["root"].to_numpy()
+            if len(np.unique(roots)) < 2:
+                continue
+            signs = np.stack(group["signature"].to_numpy())
+            same = np.zeros((len(ids), len(ids)), np.uint8)
+            for k in range(signs.shape[1]):
+                same += signs[:, k][:, None] == signs[:, k][None, :]
+            edges = spanning_forest(same >= t, roots)
+            yield pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
+
+    return _dealt_blocks(live, "token").mapInPandas(rows, "a long, b long").distinct()
+
+
+def intersections(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
+    """The sizes of all pairs' intersections, from the elements that several sets have, ``most`` at a time."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    renumber = np.cumsum(count > 1) - 1
+    row, column = row[shared], renumber[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, width, most):
+        a, b = np.searchsorted(column, (lo, lo + most))
+        has = np.zeros((len(sets), min(most, width - lo)), np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def _cluster_links(forest: DataFrame, root: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, lower: bool, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(a, b): a spanning forest of the confirmed links between components of each candidate cluster."""
+    by_root = _rooted(forest.select(F.col("a").alias("node"), "b"), root).select(F.col("root").alias("ra"), F.col("b").alias("node"))
+    by_root = _rooted(by_root, root).select(F.col("ra").alias("a"), F.col("root").alias("b"))
+    clusters = components(by_root, scratch, "clusters").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    members = _rooted(nodes.select("node"), root).join(clusters, "root").select("cluster", "root", "node")
+    sets = scratch.table(_full_sets(members.select("node"), docs, nodes, width, lower), "cluster-sets").dropDuplicates(["node"])
+    full = members.join(sets, "node").select("cluster", "node", "root", "shingles")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["cluster", "bi", "bj"]):
+            ids, roots = group["node"].to_numpy(), group["root"].to_numpy()
+            if len(np.unique(roots)) < 2:
+                continue
+            own = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+            both, size = intersections(own), np.array([len(x) for x in own])
+            edges = spanning_forest(den * both >= num * (size[:, None] + size[None, :] - both), roots)
+            yield pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
+
+    return _dealt_blocks(full, "cluster").mapInPandas(rows, "a long, b long").distinct()
 
 
 def _labelled(signed: DataFrame, nodes: DataFrame, root: DataFrame | None) -> DataFrame:
