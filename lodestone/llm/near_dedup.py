@@ -255,15 +255,22 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held, ignore_index=True)
 
 
-def spanning_forest(linked: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a symmetric matrix that join all that it joins, beyond what equal roots join already."""
+def outside_largest(roots: np.ndarray) -> np.ndarray:
+    """Places of the nodes that aren't in the largest component: each pair of two components has one of them."""
+    _, label, count = np.unique(roots, return_inverse=True, return_counts=True)
+    return np.flatnonzero(label != count.argmax())
+
+
+def spanning_forest(linked: np.ndarray, chosen: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join all that ``linked`` joins, beyond what equal roots join already; its rows are the nodes ``chosen``."""
     _, label = np.unique(roots, return_inverse=True)
     edges = []
-    for i in range(len(label)):
-        for j in np.flatnonzero(linked[i, :i]):
-            if label[i] != label[j]:
-                edges.append((i, int(j)))
-                label[label == label[i]] = label[j]
+    for row, i in zip(linked, chosen.tolist(), strict=True):
+        other = np.flatnonzero(row & (label != label[i]))
+        _, at = np.unique(label[other], return_index=True)
+        for j in other[at].tolist():
+            edges.append((i, j))
+            label[label == label[j]] = label[i]
     return edges
 
 
@@ -277,18 +284,18 @@ def _open_lists(lists: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
             ids, roots = group["node"].to_numpy(), group["root"].to_numpy()
             if len(np.unique(roots)) < 2:
                 continue
-            signs = np.stack(group["signature"].to_numpy())
-            same = np.zeros((len(ids), len(ids)), np.uint8)
+            signs, few = np.stack(group["signature"].to_numpy()), outside_largest(roots)
+            same = np.zeros((len(few), len(ids)), np.uint8)
             for k in range(signs.shape[1]):
-                same += signs[:, k][:, None] == signs[:, k][None, :]
-            edges = spanning_forest(same >= t, roots)
+                same += signs[few, k][:, None] == signs[:, k][None, :]
+            edges = spanning_forest(same >= t, few, roots)
             yield pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
     return _dealt_blocks(live, "token").mapInPandas(rows, "a long, b long").distinct()
 
 
-def intersections(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
-    """The sizes of all pairs' intersections, from the elements that several sets have, ``most`` at a time."""
+def intersections(sets: list[np.ndarray], chosen: np.ndarray, most: int = 4096) -> np.ndarray:
+    """The sizes of the ``chosen`` sets' intersections with all, from the elements that several sets have, ``most`` at a time."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -297,13 +304,13 @@ def intersections(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
     row, column = row[shared], renumber[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(chosen), len(sets)), np.float32)
     width = int(column[-1]) + 1 if len(column) else 0
     for lo in range(0, width, most):
         a, b = np.searchsorted(column, (lo, lo + most))
         has = np.zeros((len(sets), min(most, width - lo)), np.float32)
         has[row[a:b], column[a:b] - lo] = 1
-        both += has @ has.T
+        both += has[chosen] @ has.T
     return both.astype(np.int64)
 
 
@@ -322,8 +329,9 @@ def _cluster_links(forest: DataFrame, root: DataFrame, docs: DataFrame, nodes: D
             if len(np.unique(roots)) < 2:
                 continue
             own = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-            both, size = intersections(own), np.array([len(x) for x in own])
-            edges = spanning_forest(den * both >= num * (size[:, None] + size[None, :] - both), roots)
+            few = outside_largest(roots)
+            both, size = intersections(own, few), np.array([len(x) for x in own])
+            edges = spanning_forest(den * both >= num * (size[few][:, None] + size[None, :] - both), few, roots)
             yield pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
     return _dealt_blocks(full, "cluster").mapInPandas(rows, "a long, b long").distinct()
