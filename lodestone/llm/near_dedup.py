@@ -261,8 +261,9 @@ def outside_largest(roots: np.ndarray) -> np.ndarray:
     return np.flatnonzero(label != count.argmax())
 
 
-def spanning_forest(linked: np.ndarray, chosen: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that join all that ``linked`` joins, beyond what equal roots join already; its rows are the nodes ``chosen``."""
+def spanning_forest(linked: np.ndarray, roots: np.ndarray, chosen: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that join all that ``linked`` joins, beyond what equal roots join already; its rows are the nodes ``chosen``, or all."""
+    chosen = np.arange(len(roots)) if chosen is None else chosen
     _, label = np.unique(roots, return_inverse=True)
     edges = []
     for row, i in zip(linked, chosen.tolist(), strict=True):
@@ -288,14 +289,15 @@ def _open_lists(lists: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
             same = np.zeros((len(few), len(ids)), np.uint8)
             for k in range(signs.shape[1]):
                 same += signs[few, k][:, None] == signs[:, k][None, :]
-            edges = spanning_forest(same >= t, few, roots)
+            edges = spanning_forest(same >= t, roots, few)
             yield pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
     return _dealt_blocks(live, "token").mapInPandas(rows, "a long, b long").distinct()
 
 
-def intersections(sets: list[np.ndarray], chosen: np.ndarray, most: int = 4096) -> np.ndarray:
-    """The sizes of the ``chosen`` sets' intersections with all, from the elements that several sets have, ``most`` at a time."""
+def intersections(sets: list[np.ndarray], chosen: np.ndarray | None = None, most: int = 4096) -> np.ndarray:
+    """The sizes of the ``chosen`` (or all) sets' intersections with all, from the elements that several sets have, ``most`` at a time."""
+    chosen = np.arange(len(sets)) if chosen is None else chosen
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -331,7 +333,7 @@ def _cluster_links(forest: DataFrame, root: DataFrame, docs: DataFrame, nodes: D
             own = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
             few = outside_largest(roots)
             both, size = intersections(own, few), np.array([len(x) for x in own])
-            edges = spanning_forest(den * both >= num * (size[few][:, None] + size[None, :] - both), few, roots)
+            edges = spanning_forest(den * both >= num * (size[few][:, None] + size[None, :] - both), roots, few)
             yield pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
     return _dealt_blocks(full, "cluster").mapInPandas(rows, "a long, b long").distinct()
