@@ -3,8 +3,10 @@
 Base kinds are three patterns, each matched leftmost and without overlaps over
 the whole text.  Added spans (kind ``token``) are runs of key-like characters
 that a byte-pair vocabulary encodes badly: a random string yields few characters
-a token, words and paths many.  Known digests (pure hexadecimal), UUIDs, numbers
-and identifiers of words are excluded, as is whatever a base span covers.
+a token, words and paths many.  Known digests (pure hexadecimal), UUIDs and
+numbers are excluded, as is what a base span covers: the rest of its run is still
+tested.  A run that is encoded well as a whole is cut at "/" and "=", and then at
+"_" and "-": neighbouring parts that are encoded badly are tested together.
 
 Null and empty texts have no spans.  Rows that repeat a doc_id are scanned as
 rows of their own; an empty table gives no rows.  Offsets are code points.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,9 +42,10 @@ _assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 and more: a shorter one can't hold a longer
 _hex = re.compile(r"[0-9a-f]{24,}")
 _run = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
-_digest = re.compile(r"[0-9a-f]+|[0-9A-F]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_=+/-]+")
-_words = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
-_cased = re.compile(r"(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}")
+_UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+_digest = re.compile(rf"[0-9a-f]+|[0-9A-F]+|{_UUID}|[0-9_=+/-]+")
+_inside = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9a-f]{{{MIN_RUN},}}|[0-9A-F]{{{MIN_RUN},}}|{_UUID})(?![A-Za-z0-9])")
+_cuts = re.compile(r"[^/=]+"), re.compile(r"[^/=_-]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -53,23 +57,46 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def known(run: str) -> bool:
-    """A digest, UUID or number, or an identifier that is made of words."""
-    return bool(_digest.fullmatch(run) or _words.fullmatch(run) or _cased.fullmatch(run))
+    """A digest, UUID or number."""
+    return bool(_digest.fullmatch(run))
+
+
+def _uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of start..end outside the spans, which are in order of their starts."""
+    for s, e in spans:
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
+def _badly_encoded(text: str, start: int, end: int, tokens, max_ratio: float, cuts: tuple = _cuts) -> Iterator[tuple[int, int, str]]:
+    part = text[start:end]
+    if len(part) < MIN_RUN or known(part):
+        return
+    if len(part) <= max_ratio * tokens(part):
+        yield start, end, "token"
+    elif cuts:
+        pieces = [(start + m.start(), start + m.end()) for m in cuts[0].finditer(part)]
+        for bad, group in itertools.groupby(pieces, lambda p: p[1] - p[0] <= max_ratio * tokens(text[p[0] : p[1]])):
+            group = list(group)
+            for a, b in [(group[0][0], group[-1][1])] if bad else group:
+                yield from _badly_encoded(text, a, b, tokens, max_ratio, cuts[1:])
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], tokens, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    """Spans of kind ``token``: runs with few characters a token that no base span overlaps.
+    """Spans of kind ``token``: runs, or parts of them, with few characters a token, outside the base spans.
 
     ``tokens`` gives the number of tokens of a string.
     """
     found = []
     for m in _run.finditer(text):
-        start, end = m.span()
-        run = m.group()
-        if any(s < end and start < e for s, e, _ in base) or known(run) or not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
-            continue
-        if len(run) <= max_ratio * tokens(run):
-            found.append((start, end, "token"))
+        taken = [(s, e) for s, e, _ in base] + [k.span() for k in _inside.finditer(text, *m.span())]
+        for start, end in _uncovered(*m.span(), sorted(taken)):
+            start += 0 if start == m.start() else len(text[start:end]) - len(text[start:end].lstrip("/="))
+            found += _badly_encoded(text, start, end, tokens, max_ratio)
     return found
 
 
