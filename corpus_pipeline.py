@@ -34,8 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document by its rate; good and clean text is raised, nothing else is meant to fall."""
-    return mixing.mix(docs, _labels(spark, sf_dir))
+    """Copies of each document by its rate; good and clean text is raised, nothing else is meant to fall.
+
+    The whole table teaches: of what the first stage keeps, hardly a row has the other quality.
+    """
+    return mixing.mix(docs, _labels(spark, sf_dir), taught_by=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

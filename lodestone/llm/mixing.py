@@ -59,9 +59,13 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray) -> list[int]:
 
 
 def _learn(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[int], float]:
-    """(log odds by bucket, share of label 1); counts are over documents that hold a word of the bucket."""
+    """(log odds by bucket, share of label 1); counts are over documents that hold a word of the bucket.
+
+    Labels without a document take no place in the sample and no part in the share.
+    """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").drop("high")
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     taught = docs.join(F.broadcast(sample), "doc_id")
     words = taught.select("y", F.explode(F.array_distinct(F.transform(_words(F.col("text")), _bucket))).alias("bucket"))
@@ -69,7 +73,7 @@ def _learn(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tup
     seen = np.zeros((2, BUCKETS))
     for row in counts:
         seen[row["y"], row["bucket"]] = row["count"]
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    sizes = {r["y"]: r["count"] for r in taught.groupBy("y").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if not (sizes.get(0) and sizes.get(1)):
         return [0] * BUCKETS, share if sizes else 0.5
@@ -86,9 +90,14 @@ def _posterior(model: tuple[list[int], float]) -> F.Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin))))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``docs`` with ``__tokens`` long and ``__posterior`` array<double> in the order of DOMAINS."""
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+def posteriors(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, taught_by: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``__tokens`` long and ``__posterior`` array<double> in the order of DOMAINS.
+
+    The labelled rows of ``taught_by`` teach, or those of ``docs``.  Where ``docs``
+    was filtered by something that goes with a label, give what it was taken from.
+    """
+    taught_by = docs if taught_by is None else taught_by
+    plain = taught_by.select(taught_by["doc_id"].cast("long").alias("doc_id"), taught_by["text"].cast("string").alias("text"))
     models = _learn(plain, labels, "quality", max_rows), _learn(plain, labels, "toxic", max_rows)
     rows = docs.withColumn("__words", F.transform(_words(docs["text"].cast("string")), _bucket))
     rows = rows.select(*docs.columns, F.size("__words").cast("long").alias("__tokens"), F.array_distinct("__words").alias("__buckets"))
@@ -151,10 +160,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] |
     return rows.withColumn("copies", _copies(F.col("rate"), F.col("doc_id")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, max_rows: int = MAX_ROWS, taught_by: DataFrame | None = None) -> DataFrame:
     """``docs`` with as many copies of each row as its rate asks for."""
     scratch = Scratch(docs.sparkSession, "mix")
-    weighted = scratch.table(posteriors(docs, labels, max_rows), "posteriors")
+    weighted = scratch.table(posteriors(docs, labels, max_rows, taught_by), "posteriors")
     steps, _ = fit_rates(weighted, BOOSTS | (boosts or {}))
     copied = weighted.withColumn("__copies", _copies(rate_column(steps), F.col("doc_id")).cast("int")).where("__copies > 0")
     return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -82,6 +82,17 @@ def test_mixing_edges(spark):
     assert mixing.mixing_rates(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_mixing_learns_from_labels_with_a_document(spark):
+    """Labels of documents that aren't there take no place in the sample and don't move the prior."""
+    docs = spark.createDataFrame([(i, f"{'good' if i % 4 else 'bad'} w{i}") for i in range(40)], "doc_id long, text string")
+    own = [(i, int(i % 4 > 0), 0) for i in range(40)]
+    absent = [(i, 0, 1) for i in range(1000, 3000)]
+    schema = "doc_id long, quality int, toxic int"
+    a, b = (mixing.mixing_rates(docs, spark.createDataFrame(x, schema), max_rows=40).toPandas().sort_values("doc_id") for x in (own, own + absent))
+    assert np.array_equal(a[list(mixing.DOMAINS)], b[list(mixing.DOMAINS)])
+    assert ((b["q1t0"] > 0.5) == (b["doc_id"] % 4 > 0)).all()
+
+
 # Quality
 
 

@@ -1,7 +1,7 @@
 """Stages one by one against what they say, and the whole pipeline."""
 
 import corpus_pipeline
-from lodestone.llm import exact_dedup, near_dedup
+from lodestone.llm import exact_dedup, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,16 @@ def test_run(spark):
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"]
     assert got.count() > 0 and got.where("not round_trip").count() == 0
     assert exact_dedup.exact_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").count() <= 200
+
+
+def test_mixing_learns_from_the_whole_table(spark, monkeypatch):
+    """The rows that reach the mixing stage are scored as they are among the whole table."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    seen = []
+    posteriors = mixing.posteriors
+    monkeypatch.setattr(mixing, "posteriors", lambda *a: seen.append(posteriors(*a)) or seen[-1])
+    assert corpus_pipeline.mix_domains(spark, good, SF).columns == docs.columns
+    whole = {r["doc_id"]: r["__posterior"] for r in posteriors(docs, labels).select("doc_id", "__posterior").collect()}
+    got = seen[0].select("doc_id", "__posterior").collect()
+    assert got and all(r["__posterior"] == whole[r["doc_id"]] for r in got)
