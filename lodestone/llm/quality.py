@@ -34,11 +34,11 @@ BUCKETS = 1 << 15
 RANK = 6
 #: Labelled rows that teach, at most.
 MAX_ROWS = 12_000
-#: Words that a training row keeps, at most (those with the largest share); scores use all words.
-MAX_WORDS = 2_000
 EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.02, 1e-4
 #: Steps that a small sample gets at least, by smaller batches and more epochs.
 MIN_STEPS = 400
+#: Features that the gradient is taken over at once; a batch with more is summed by parts.
+PART_FEATURES = 1 << 19
 
 _STATS = 16
 _BINS = 12
@@ -109,8 +109,34 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(index, value), -30, 30))))
 
 
+def _parts(batch: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The batch in parts of at most PART_FEATURES features, or of one row."""
+    ends = np.cumsum([len(rows[i][0]) for i in batch])
+    return np.split(batch, np.flatnonzero(np.diff((ends - 1) // max(1, PART_FEATURES - _FEATURES))) + 1)
+
+
+def _gradient(theta: np.ndarray, bias: float, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, their gradients, error of each row) of the loss over ``n`` rows, of which these are some."""
+    sizes = [len(i) for i, _ in rows]
+    index = np.concatenate([i for i, _ in rows]).astype(np.int64)
+    value = np.concatenate([v for _, v in rows]).astype(float)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    cut = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    v = theta[index, 1:] * value[:, None]
+    total = np.add.reduceat(v, cut)
+    margin = bias + np.add.reduceat(theta[index, 0] * value, cut) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v * v).sum(1), cut))
+    error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) / n
+    each = error[row] * value
+    grad = np.concatenate((each[:, None], each[:, None] * (total[row] - v)), axis=1)
+    used, place = np.unique(index, return_inverse=True)
+    return used, np.stack([np.bincount(place, grad[:, k], len(used)) for k in range(1 + RANK)], axis=1), error
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Minibatch Adam on the logistic loss; gradients of a batch are summed by feature."""
+    """Minibatch Adam on the logistic loss; gradients of a batch are summed by feature.
+
+    Rows keep their narrow types (6 bytes a feature) and are widened a batch at a time.
+    """
     if len(rows) == 0 or labels.min() == labels.max():
         return Machine()
     rng = np.random.default_rng(seed)
@@ -126,17 +152,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), size):
             part = order[lo : lo + size]
-            index = np.concatenate([rows[i][0] for i in part])
-            value = np.concatenate([rows[i][1] for i in part])
-            row = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
-            cut = np.concatenate(([0], np.cumsum([len(rows[i][0]) for i in part])[:-1]))
-            v = theta[index, 1:] * value[:, None]
-            total = np.add.reduceat(v, cut)
-            margin = bias + np.add.reduceat(theta[index, 0] * value, cut) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v * v).sum(1), cut))
-            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]) / len(part)
-            each = error[row] * value
-            grad = np.concatenate((each[:, None], each[:, None] * (total[row] - v)), axis=1)
-            used, place = np.unique(index, return_inverse=True)
+            sums = [_gradient(theta, bias, [rows[i] for i in few], labels[few], len(part)) for few in _parts(part, rows)]
+            error = np.concatenate([e for _, _, e in sums])
+            used, place = np.unique(np.concatenate([u for u, _, _ in sums]), return_inverse=True)
+            grad = np.concatenate([g for _, g, _ in sums])
             summed = np.stack([np.bincount(place, grad[:, k], len(used)) for k in range(1 + RANK)], axis=1) + DECAY * theta[used]
             step += 1
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -173,17 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
         for batch in batches:
             out = []
             for (index, value), label, doc_id in zip(features(batch["text"].tolist(), batch["n_chars"].tolist()), batch["quality"], batch["doc_id"], strict=True):
-                words = len(index) - _STATS
-                if words > MAX_WORDS:
-                    keep = np.sort(np.concatenate((np.argsort(-value[:words], kind="stable")[:MAX_WORDS], np.arange(words, len(index)))))
-                    index, value = index[keep], value[keep]
-                out.append((doc_id, label, index.astype("<i4").tobytes(), value.astype("<f4").tobytes()))
+                out.append((doc_id, label, index.astype("<u2").tobytes(), value.astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "index", "value"])
 
     taught = _inputs(docs).join(F.broadcast(sample), "doc_id")
     got = taught.mapInPandas(rows, "doc_id long, quality int, index binary, value binary").toPandas()
     got = got.sort_values(["doc_id", "quality", "index"]).drop_duplicates("doc_id")
-    data = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got["index"], got["value"], strict=True)]
+    data = [(np.frombuffer(i, "<u2"), np.frombuffer(v, "<f4")) for i, v in zip(got["index"], got["value"], strict=True)]
     return fit(data, got["quality"].to_numpy(float))
 
 

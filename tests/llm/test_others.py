@@ -123,6 +123,27 @@ def test_quality_never_learns_from_held_out_labels(spark):
     assert np.allclose(a, b)
 
 
+def test_quality_learns_from_every_word(spark, monkeypatch):
+    """A training row has the features that its text is scored with."""
+    rows = [(i, " ".join(f"w{j * (i + 1)}" for j in range(6000)), 60_000) for i in (0, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    seen = []
+    monkeypatch.setattr(quality, "held_out", lambda doc_id: quality.F.lit(False))
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.extend(rows))
+    quality.train(docs, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int"))
+    for (index, value), (i, v) in zip(seen, quality.features([t for _, t, _ in rows], [n for _, _, n in rows]), strict=True):
+        assert index.tolist() == i.tolist() and np.allclose(value, v) and len(index) > 5000
+
+
+def test_fit_by_parts_of_a_batch(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(quality._FEATURES, n, replace=False).astype("<u2"), rng.random(n).astype("<f4")) for n in rng.integers(1, 40, 50)]
+    whole = quality.fit(rows, np.arange(50) % 2, epochs=1)
+    monkeypatch.setattr(quality, "PART_FEATURES", 0)
+    parts = quality.fit(rows, np.arange(50) % 2, epochs=1)
+    assert np.isclose(whole.bias, parts.bias) and np.allclose(whole.weights, parts.weights, atol=1e-6) and np.allclose(whole.vectors, parts.vectors, atol=1e-6)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (9, None), (10, 0), (12, 1)], "doc_id long, quality int")
     docs = documents(spark)
