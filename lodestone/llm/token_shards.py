@@ -191,14 +191,14 @@ class WordEncoder:
     pre-tokens never cross the place before them, so a text is cut into parts
     "word" (after a space) and "\\nword", the ids of parts already seen are
     looked up, and new ones are encoded, many words in one call with a line feed
-    between them.  Other texts are encoded as they are.
+    between them.  Other texts, and those that hold an added token, are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.width = 2 if self.coder.get_vocab_size(with_added_tokens=True) <= 65_536 else 4
         feed = self.coder.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
@@ -252,7 +252,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        plain = [bool(t) and not any(x in t for x in ("  ", " \n", "\n ", "\n\n")) and not t[0].isspace() for t in texts]
+        plain = [bool(t) and not any(x in t for x in ("  ", " \n", "\n ", "\n\n", *self.added)) and not t[0].isspace() for t in texts]
         parts = [t.replace("\n", " \n").split(" ") if p else [""] for t, p in zip(texts, plain, strict=True)]
         self._learn(set().union(*(x[1:] for x in parts)))
         heads = self._encode([x[0] if p else t for x, p, t in zip(parts, plain, texts, strict=True)])

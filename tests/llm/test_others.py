@@ -182,6 +182,17 @@ def test_word_encoder_against_the_library():
         assert np.frombuffer(raw, "<u2").tolist() == coder.coder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_against_the_library():
+    from tokenizers import Tokenizer
+
+    coder, library = token_shards.WordEncoder(BPE), Tokenizer.from_file(BPE)
+    marks = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert marks
+    texts = [f"{a}{m}{b}" for m in marks for a in ("", "one two", "one ", "x\n") for b in ("", "three", " four five", "\nsix")] + ["one two three"]
+    for text, raw in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(raw, f"<u{coder.width}").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_shard_lookup(spark, tmp_path):
     shard = token_shards.ShardWriter(2, 0, 0, block_bytes=64)
     ids = [-5, 0, 3, 3, 3, 70, 1 << 40]
