@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, checked_broadcast, narrow, small_batches
+from .scratch import Scratch, checked_broadcast, free_name, narrow, small_batches
 
 CHUNK_BYTES = 64 * 1024
 #: The largest primes under 2**44, 2**43 and 2**42: shares of 2**18 chunks add up within a long.
@@ -63,18 +63,26 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return whole.select("doc_id", "size", "text_sha256", *((F.col(x) % F.lit(p)).alias(x) for x, p in zip("abc", PRIMES, strict=True)))
 
 
-def _unequal(docs: DataFrame, groups: DataFrame, members: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(doc_id, text_sha256) of members that differ in some chunk from their group's representative."""
+def _who() -> F.Column:
+    """One key for (doc_id, text_sha256) that a null id has as well."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), "text_sha256")
+
+
+def _with_raw(docs: DataFrame) -> DataFrame:
+    raw = docs.withColumn("raw", F.coalesce("text", F.lit("")).cast("binary")).withColumn("text_sha256", F.sha2("raw", 256))
+    return raw.select(_who().alias("who"), "text_sha256", "raw")
+
+
+def _unequal(docs: DataFrame, members: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(who) of members that differ in some chunk from their group's representative, the row ``rep``."""
     key = ["size", "a", "b", "c"]
-    texts = docs.join(checked_broadcast(members), "doc_id").withColumn("raw", F.coalesce("text", F.lit("")).cast("binary"))
-    texts = texts.where((F.length("raw") == F.col("size")) & (F.sha2("raw", 256) == F.col("text_sha256")))
-    pieces = texts.select("doc_id", "text_sha256", "keep_id", "salts", *key, F.posexplode(_chunks(F.col("raw"), F.length("raw"), chunk_bytes)).alias("k", "chunk"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
-    mine = pieces.select(*key, "k", salt.alias("salt"), "doc_id", "text_sha256", "chunk")
-    theirs = pieces.where(F.col("doc_id") == F.col("keep_id")).groupBy(*key, "k").agg(F.first("chunk").alias("kept_chunk"), F.first("salts").alias("salts"))
+    texts = _with_raw(docs).join(checked_broadcast(members), "who").where(F.length("raw") == F.col("size"))
+    pieces = texts.select("who", "rep", "salts", *key, F.posexplode(_chunks(F.col("raw"), F.length("raw"), chunk_bytes)).alias("k", "chunk"))
+    mine = pieces.select(*key, "k", F.pmod(F.xxhash64("who"), F.col("salts")).alias("salt"), "who", "chunk")
+    theirs = pieces.where(F.col("who") == F.col("rep")).groupBy(*key, "k").agg(F.first("chunk").alias("kept_chunk"), F.first("salts").alias("salts"))
     theirs = theirs.select(*key, "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "kept_chunk")
     compared = mine.join(theirs, [*key, "k", "salt"])
-    return compared.where(F.col("chunk") != F.col("kept_chunk")).select("doc_id", "text_sha256").distinct()
+    return compared.where(F.col("chunk") != F.col("kept_chunk")).select("who").distinct()
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -85,21 +93,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = narrow(docs, id_col, text_col)
     key = ["size", "a", "b", "c"]
     marks = scratch.table(fingerprints(docs, chunk_bytes), "marks")
-    groups = marks.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = marks.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(_who()).alias("rep"))
     groups = scratch.table(groups.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS)), "groups")
-    members = marks.join(groups, key).where(F.col("size") > 0).select("doc_id", "text_sha256", "keep_id", "salts", *key)
-    unequal = scratch.table(_unequal(docs, groups, members, chunk_bytes), "unequal")
+    members = marks.join(groups, key).where(F.col("size") > 0).select(_who().alias("who"), "rep", "salts", *key).distinct()
+    unequal = scratch.table(_unequal(docs, scratch.table(members, "members"), chunk_bytes), "unequal")
     if unequal.isEmpty():
-        found = marks.join(groups.drop("salts"), key, "left")
+        found = marks.join(groups.drop("salts", "rep"), key, "left")
     else:
         # A collision: rows that differ from their representative are grouped by the text itself.
-        apart = docs.join(checked_broadcast(unequal.select("doc_id").distinct()), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-        apart = apart.withColumn("text_sha256", F.sha2("text", 256)).join(unequal, ["doc_id", "text_sha256"])
-        own = apart.groupBy("text", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("text")
-        differ = marks.join(unequal, ["doc_id", "text_sha256"]).join(own, "text_sha256")
-        same = marks.join(unequal, ["doc_id", "text_sha256"], "left_anti")
+        apart = _with_raw(docs).join(checked_broadcast(unequal), "who")
+        texts = apart.groupBy("raw").agg(F.first("text_sha256").alias("text_sha256")).select("text_sha256")
+        marked = marks.withColumn("who", _who())
+        differ = marked.join(unequal, "who").join(texts, "text_sha256", "left_semi")
+        own = differ.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        same = marked.join(unequal, "who", "left_anti").drop("who")
         sizes = same.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        found = same.join(sizes, key).unionByName(differ.select(*same.columns, "keep_id", "group_size"))
+        found = same.join(sizes, key).unionByName(differ.join(own, "text_sha256").select(*same.columns, "keep_id", "group_size"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -109,8 +118,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the largest doc_id, once."""
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
-    on = marked["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (marked["__sha"] == stay["__sha"])
-    kept = marked.join(stay, on, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    digest = free_name(docs, "digest")
+    stay = exact_duplicates(docs).where("kept").select(_who().alias("who")).distinct()
+    who = F.concat_ws(":", docs["doc_id"].cast("long").cast("string"), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    marked = docs.withColumn(digest, who)
+    kept = marked.join(stay, marked[digest] == stay["who"], "left_semi")
+    return kept.dropDuplicates([digest]).drop(digest)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +15,33 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of this machine (local mode)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master gets a folder of this machine; on a cluster,
+    whose machines don't see each other's folders, that is an error.
+    """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lodestone-")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one run of an operator, written once and read many times.
 
@@ -59,6 +79,12 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def frame_of(rows: list[tuple], columns: list[str], whole: list[str]) -> pd.DataFrame:
+    """A frame whose ``whole`` columns are exact integers or nulls; pandas alone would make them floats."""
+    frame = pd.DataFrame(rows, columns=columns, dtype=object)
+    return frame.assign(**{c: pd.array(frame[c].tolist(), "Int64") for c in whole})
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Arrow batches of at most ``rows`` rows and about ``size``, so that Python workers hold few long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -48,6 +48,19 @@ def test_exact_collisions_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa"), (4, "cc"), (5, "bb"), (6, "aa")], "doc_id long, text string")
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect()}
     assert got == {1: (6, 3, False), 3: (6, 3, False), 6: (6, 3, True), 2: (5, 2, False), 5: (5, 2, True), 4: (4, 1, True)}
+    docs = spark.createDataFrame([(None, "aa"), (None, "bb"), (3, "aa"), (None, "bb"), (None, "aa")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"]) for r in exact_dedup.exact_duplicates(docs).collect())
+    assert got == [(0, 0, 2), (0, 0, 2), (0, 3, 3), (0, 3, 3), (3, 3, 3)]
+
+
+def test_exact_of_one_id_many_times(spark):
+    """Rows that repeat an id are joined by their text as well: as many rows out as in."""
+    docs = spark.createDataFrame([(7, f"text {i % 50}") for i in range(2000)], "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(docs)
+    assert got.count() == 2000 and {r["group_size"] for r in got.collect()} == {40}
+    clashing = docs.selectExpr("*", "1 as digest", "2 as who", "3 as gone")
+    assert exact_dedup.drop_exact_duplicates(clashing).columns == clashing.columns and exact_dedup.drop_exact_duplicates(clashing).count() == 50
+    assert near_dedup.drop_near_duplicates(clashing).columns == clashing.columns
 
 
 def _colliding(real):
@@ -81,9 +94,9 @@ def near_brute_force(rows, width, num, den):
     return label, sets
 
 
-@pytest.mark.parametrize("seed,width,num,den,blocks", [(1, 3, 85, 100, 256), (4, 5, 4, 5, 4)])
+@pytest.mark.parametrize("seed,width,num,den,blocks", [(1, 3, 85, 100, 4096), (4, 5, 4, 5, 4)])
 def test_near_against_brute_force(spark, monkeypatch, seed, width, num, den, blocks):
-    monkeypatch.setattr(near_dedup, "BLOCK_NODES", blocks)
+    monkeypatch.setattr(near_dedup, "PART_NODES", blocks)
     docs = documents(spark, seed, unique=True)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     label, sets = near_brute_force(rows, width, num, den)
@@ -95,8 +108,10 @@ def test_near_against_brute_force(spark, monkeypatch, seed, width, num, den, blo
 
 
 def test_near_group_without_a_centre(spark, monkeypatch):
-    """A chain of texts, each linked with its neighbours only, in many blocks: no link is lost."""
-    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 8)
+    """A chain of texts, each linked with its neighbours only, in many parts: no link is lost."""
+    monkeypatch.setattr(near_dedup, "PART_NODES", 8)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    monkeypatch.setattr(near_dedup, "CHUNK_NODES", 5)
     words = [f"v{i}" for i in range(400)]
     docs = spark.createDataFrame([(i, " ".join(words[5 * i : 5 * i + 100])) for i in range(60)] + [(100 + i, " ".join(words[5 * i : 5 * i + 100])) for i in range(0, 60, 7)], "doc_id long, text string")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -122,16 +137,37 @@ def test_threshold_misses_little():
     assert p <= 1e-6 and t >= 36
 
 
-def test_intersections_and_forest():
+def test_intersections():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
-    both = near_dedup.intersections(sets, most=7)
+    shared = near_dedup.SharedElements(sets, most=7)
+    both = shared.with_all(np.arange(30))
     for i in range(30):
+        assert (shared.with_all(np.array([i]))[0] == both[i])[np.arange(30) != i].all()
         for j in range(i):
             assert both[i, j] == len(np.intersect1d(sets[i], sets[j]))
-    linked = both > 14
-    edges = near_dedup.spanning_forest(linked | linked.T, np.arange(30))
-    assert len(edges) <= 29 and all(linked[i, j] for i, j in edges)
+
+
+def test_merged_is_the_closure_of_the_relation(monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_NODES", 3)
+    rng = np.random.default_rng(5)
+    for share in (0.0, 0.02, 0.05, 0.1, 0.5, 1.0):
+        linked = rng.random((40, 40)) < share
+        linked |= linked.T
+        label, want = near_dedup.merged(40, lambda a, b, m=linked: m[np.ix_(a, b)]), np.arange(40)
+        for _ in range(40):
+            for i in range(40):
+                want[linked[i]] = want[i] = min(want[i], want[linked[i]].min(initial=want[i]))
+        assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(40) for j in range(40))
+
+
+def test_hot_sets(spark, monkeypatch):
+    """Sets of many equal rows are labelled by a broadcast, null and empty ones without a join."""
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 3)
+    long = " ".join(f"x{i}" for i in range(60))
+    rows = [(i, long) for i in range(10, 20)] + [(5, long + " y"), (30, "a b c d e"), (31, "a b c d e"), (32, None), (33, ""), (None, long)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 5 for i in range(10, 20)} | {5: 5, 30: 30, 31: 30, 32: 32, 33: 33, None: None}
 
 
 def test_star_components(spark):
