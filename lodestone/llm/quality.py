@@ -7,8 +7,9 @@ interactions of all pairs through vectors of low rank, in time linear in the
 number of features by ``sum_{i<j} <v_i,v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2``.
 
 It is trained by minibatch Adam on at most ``MAX_ROWS`` labelled rows, taken by a
-hash of their id, and broadcast with the task (its size is fixed by ``BUCKETS``
-and ``RANK``).  Every row is scored, whole texts, in one pass without a shuffle.
+hash of their id.  Their features are made by all tasks and meet in one, which
+fits the machine; the driver sees the machine alone, and broadcasts it (its size
+is fixed by ``BUCKETS`` and ``RANK``).  Every row is scored, whole texts, in one pass without a shuffle.
 
 Null and empty texts are scored by their bins alone.  Labels that are null, or
 that contradict each other for one doc_id, teach nothing; where no row teaches,
@@ -38,7 +39,7 @@ EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.02, 1e-4
 #: Steps that a small sample gets at least, by smaller batches and more epochs.
 MIN_STEPS = 400
 #: Features that the gradient is taken over at once; a batch with more is summed by parts.
-PART_FEATURES = 1 << 19
+PART_FEATURES = 1 << 17
 
 _STATS = 16
 _BINS = 12
@@ -181,7 +182,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
-    """Fits the machine on at most ``max_rows`` labelled rows that are not held out."""
+    """Fits the machine on at most ``max_rows`` labelled rows that are not held out, in one task."""
     small_batches(docs.sparkSession)
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -195,11 +196,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
                 out.append((doc_id, label, index.astype("<u2").tobytes(), value.astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "index", "value"])
 
-    taught = _inputs(docs).join(F.broadcast(sample), "doc_id")
-    got = taught.mapInPandas(rows, "doc_id long, quality int, index binary, value binary").toPandas()
-    got = got.sort_values(["doc_id", "quality", "index"]).drop_duplicates("doc_id")
-    data = [(np.frombuffer(i, "<u2"), np.frombuffer(v, "<f4")) for i, v in zip(got["index"], got["value"], strict=True)]
-    return fit(data, got["quality"].to_numpy(float))
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"doc_id": [], "quality": [], "index": [], "value": []})])
+        got = got.sort_values(["doc_id", "quality", "index"]).drop_duplicates("doc_id")
+        data = [(np.frombuffer(i, "<u2"), np.frombuffer(v, "<f4")) for i, v in zip(got["index"], got["value"], strict=True)]
+        machine = fit(data, got["quality"].to_numpy(float))
+        yield pd.DataFrame({"bias": [machine.bias], "weights": [machine.weights.tobytes()], "vectors": [machine.vectors.tobytes()]})
+
+    taught = _inputs(docs).join(F.broadcast(sample), "doc_id").mapInPandas(rows, "doc_id long, quality int, index binary, value binary")
+    one = taught.repartition(1).mapInPandas(fitted, "bias double, weights binary, vectors binary").first()
+    if one is None:
+        return Machine()
+    return Machine(one["bias"], np.frombuffer(one["weights"]), np.frombuffer(one["vectors"]).reshape(-1, RANK))
 
 
 def score_column(machine: Machine, spark):
