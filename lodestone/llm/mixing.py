@@ -2,13 +2,21 @@
 
 A classifier learned from the table of labels gives each document posteriors
 over domains: naive Bayes over hashed words for each of two labels (quality and
-toxic), whose product gives four domains.  Projected-gradient least squares then
-finds document rates >= 0 near 1 so that the expected tokens of each domain,
-``sum(rate * tokens * posterior)``, meet the targets.  Documents weigh by their
-tokens in the metric of the gradient, and the residual of a step is scaled by the
-inverse of the 4 x 4 Gram matrix, so a step without clipped rates is exact.  A
-step is one distributed sum over (tokens, posteriors); rates are never stored, as
-they follow from the few step vectors so far.
+toxic), whose product gives four domains.  Least squares then finds document
+rates >= 0, as near to 1 as may be (a document counts by its tokens), so that the
+expected tokens of each domain, ``sum(rate * tokens * posterior)``, meet targets:
+shares of the tokens that are wanted in all.
+
+Projected gradient, lazily projected: the gradient of a document's rate is
+``posterior . residual`` whatever its rate is, so all steps so far are summed up
+in one vector of four numbers, and a rate is the projection of ``1 + posterior .
+steps`` to 0 and more.  Rates are never stored, and a step is one distributed sum.
+A step is scaled by the inverse Gram matrix of the documents that are not held
+at 0 and is halved until the (convex) objective falls, so it converges from
+anywhere.  ``RIDGE`` weighs the rates' distance from 1 against the squared
+residual: targets that can be met are met to about that share, and targets out
+of reach are met in the sense of least squares.  A fit that has not converged
+after ``MAX_STEPS`` raises.
 
 DataFrame and SQL functions only.  Word log odds are integers (thousandths), so
 sums don't depend on the order of rows.
@@ -16,7 +24,7 @@ sums don't depend on the order of rows.
 Null and empty texts have no tokens and the prior's posteriors.  Labels that are
 null or contradict each other teach nothing; a label without both values gives
 everything the prior's share.  Rows that repeat a doc_id are rows of their own.
-An empty table gives no rows; a domain without tokens is left out of the targets.
+An empty table gives no rows; a table without tokens keeps rates of 1.
 """
 
 from __future__ import annotations
@@ -31,14 +39,15 @@ from .scratch import Scratch
 
 #: Domains in the order of the posteriors: (quality, toxic).
 DOMAINS = ("q1t0", "q1t1", "q0t0", "q0t1")
-#: Tokens wanted of each domain, as a multiple of what there is: more of clean, good text, and nothing less.
-BOOSTS = {"q1t0": 1.25, "q1t1": 1.0, "q0t0": 1.0, "q0t1": 1.0}
+#: Shares of the wanted tokens by domain; what is wanted in all is a multiple of what there is.
+WEIGHTS = {"q1t0": 0.98, "q1t1": 0.001, "q0t0": 0.0185, "q0t1": 0.0005}
+TOTAL = 1.0
 BUCKETS = 1 << 16
 #: Labelled rows that teach, at most.
 MAX_ROWS = 20_000
 #: Buckets with weaker log odds or fewer labelled documents say nothing; the sum of the others is tempered, as words depend on each other.
 MIN_ODDS, MIN_DOCS, TEMPER = 1.0, 5, 0.7
-MAX_STEPS, TOLERANCE = 50, 1e-9
+MAX_STEPS, TOLERANCE, RIDGE = 200, 1e-9, 1e-9
 _SCALE = 1000
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -69,10 +78,10 @@ def _learn(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tup
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     taught = docs.join(F.broadcast(sample), "doc_id")
     words = taught.select("y", F.explode(F.array_distinct(F.transform(_words(F.col("text")), _bucket))).alias("bucket"))
-    counts = words.groupBy("bucket", "y").count().collect()  # at most 2 * BUCKETS rows
+    counts = words.groupBy("bucket", "y").count().agg(F.collect_list(F.struct("y", "bucket", "count")).alias("l"))  # at most 2 * BUCKETS entries
+    counts = counts.select("l.y", "l.bucket", "l.count").first()
     seen = np.zeros((2, BUCKETS))
-    for row in counts:
-        seen[row["y"], row["bucket"]] = row["count"]
+    seen[counts["y"], counts["bucket"]] = counts["count"]
     sizes = {r["y"]: r["count"] for r in taught.groupBy("y").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if not (sizes.get(0) and sizes.get(1)):
@@ -81,17 +90,17 @@ def _learn(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tup
 
 
 def _posterior(model: tuple[list[int], float]) -> F.Column:
-    """P(label = 1) from the distinct word buckets in column ``__buckets``."""
+    """P(label = 1) from the distinct word buckets in column ``buckets``."""
     odds, share = model
     table = F.from_json(F.lit(str(odds)), "array<int>")  # folded to one literal
-    total = F.aggregate("__buckets", F.lit(0).cast("long"), lambda a, b: a + F.element_at(table, b + 1))
+    total = F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + F.element_at(table, b + 1))
     prior = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
     margin = F.lit(prior) + total * F.lit(TEMPER / _SCALE)
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin))))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, taught_by: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``__tokens`` long and ``__posterior`` array<double> in the order of DOMAINS.
+    """(row, tokens long, posterior array<double> in the order of DOMAINS); row is a struct of the columns of ``docs``.
 
     The labelled rows of ``taught_by`` teach, or those of ``docs``.  Where ``docs``
     was filtered by something that goes with a label, give what it was taken from.
@@ -99,48 +108,75 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, tau
     taught_by = docs if taught_by is None else taught_by
     plain = taught_by.select(taught_by["doc_id"].cast("long").alias("doc_id"), taught_by["text"].cast("string").alias("text"))
     models = _learn(plain, labels, "quality", max_rows), _learn(plain, labels, "toxic", max_rows)
-    rows = docs.withColumn("__words", F.transform(_words(docs["text"].cast("string")), _bucket))
-    rows = rows.select(*docs.columns, F.size("__words").cast("long").alias("__tokens"), F.array_distinct("__words").alias("__buckets"))
-    rows = rows.select(*docs.columns, "__tokens", *(_posterior(m).alias(n) for m, n in zip(models, ("__q", "__t"), strict=True)))
-    q, t = F.col("__q"), F.col("__t")
-    return rows.select(*docs.columns, "__tokens", F.array(q * (1 - t), q * t, (1 - q) * (1 - t), (1 - q) * t).alias("__posterior"))
-
-
-def fit_rates(weighted: DataFrame, boosts: dict[str, float]) -> tuple[list[list[float]], dict]:
-    """Step vectors of the projected gradient over (__tokens, __posterior), and a report of the fit.
-
-    The rate after all steps is 1 moved by each ``posterior . step`` in turn and
-    held at 0 or more (``rate_column``).
+    text = docs["text"].cast("string") if "text" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.transform(_words(text), _bucket).alias("words"))
+    rows = rows.select("row", F.size("words").cast("long").alias("tokens"), F.array_distinct("words").alias("buckets"))
+    rows = rows.select("row", "tokens", *(_posterior(m).alias(n) for m, n in zip(models, ("q", "t"), strict=True)))
+    q, t = F.col("q"), F.col("t")
+    return rows.select("row", "tokens", F.array(q * (1 - t), q * t, (1 - q) * (1 - t), (1 - q) * t).alias("posterior"))
+
+
+def wanted(mass: np.ndarray, weights: dict[str, float] | None, total: float, raised: dict[str, float] | None) -> np.ndarray:
+    """Tokens wanted of each domain: shares of ``total`` times the tokens there, or multiples of what each domain has."""
+    if raised is not None:
+        return mass * np.array([raised.get(d, 1.0) for d in DOMAINS])
+    shares = np.array([(WEIGHTS if weights is None else weights).get(d, 0.0) for d in DOMAINS])
+    if not (shares >= 0).all() or not shares.sum() > 0:
+        raise ValueError("target weights must be 0 or more, and one of them must be larger")
+    return shares / shares.sum() * total * mass.sum()
+
+
+def fit_rates(weighted: DataFrame, weights: dict[str, float] | None = None, total: float = TOTAL, raised: dict[str, float] | None = None) -> tuple[np.ndarray, dict]:
+    """(the sum of all steps, a report) over (tokens, posterior); ``rate_column`` gives the rates.
+
+    In units of all tokens, with x = the sum of steps, the objective is
+    ``sum(tokens * max(0, 1 + posterior . x) ** 2) / 2 - target . x + RIDGE * x . x / 2``;
+    its gradient is the residual of the targets, negated.
     """
     n = len(DOMAINS)
-    p = [F.col("__posterior")[k] for k in range(n)]
-    t = F.col("__tokens").cast("double")
-    sums = weighted.agg(*(F.sum(t * p[i] * p[j]).alias(f"g{i}{j}") for i in range(n) for j in range(i, n)), *(F.sum(t * p[i]).alias(f"m{i}") for i in range(n))).first()
-    gram = np.array([[sums[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-    mass = np.array([sums[f"m{i}"] or 0.0 for i in range(n)])
-    target = mass * np.array([boosts.get(d, 1.0) for d in DOMAINS])
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    steps: list[list[float]] = []
-    reached, residual = mass, target - mass
-    while len(steps) < MAX_STEPS and np.abs(residual).max() > TOLERANCE * max(1.0, np.abs(target).max()):
-        steps.append([float(x) for x in inverse @ residual])
-        rate = rate_column(steps)
-        row = weighted.agg(*(F.sum(t * rate * p[i]).alias(f"m{i}") for i in range(n))).first()
-        before, reached = np.abs(residual).max(), np.array([row[f"m{i}"] or 0.0 for i in range(n)])
-        residual = target - reached
-        if len(steps) > 1 and np.abs(residual).max() > 0.999 * before:
-            break  # clipped rates leave a target out of reach: the least squares are found
-    return steps, {"mass": mass.tolist(), "target": target.tolist(), "reached": reached.tolist()}
-
-
-def rate_column(steps: list[list[float]]) -> F.Column:
+    p, t = [F.col("posterior")[k] for k in range(n)], F.col("tokens").cast("double")
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(sum of weighted squared rates, tokens reached, Gram matrix of rates over 0)."""
+        rate = F.col("rate")
+        live = t * (rate > 0).cast("double")
+        sums = weighted.withColumn("rate", rate_column(x)).agg(
+            F.sum(t * rate * rate).alias("s"), *(F.sum(t * rate * p[i]).alias(f"m{i}") for i in range(n)), *(F.sum(live * p[i] * p[j]).alias(f"g{i}{j}") for i in range(n) for j in range(i, n))
+        ).first()
+        gram = np.array([[sums[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+        return sums["s"] or 0.0, np.array([sums[f"m{i}"] or 0.0 for i in range(n)]), gram
+
+    x = np.zeros(n)
+    square, mass, gram = at(x)
+    scale, target = mass.sum(), wanted(mass, weights, total, raised)
+    report = {"mass": mass.tolist(), "target": target.tolist(), "reached": mass.tolist(), "steps": 0}
+    if scale == 0:
+        return x, report
+    objective, reached = square / scale / 2, mass
+    for step in range(MAX_STEPS):
+        slope = (reached - target) / scale + RIDGE * x
+        report |= {"reached": reached.tolist(), "steps": step}
+        move = -np.linalg.solve(gram / scale + RIDGE * np.eye(n), slope)
+        if -slope @ move <= TOLERANCE**2 or np.abs(slope).max() <= TOLERANCE:
+            return x, report
+        for _ in range(60):
+            square, reached, gram = at(x + move)
+            y = x + move
+            value = square / scale / 2 - target @ y / scale + RIDGE * y @ y / 2
+            if value <= objective + 1e-4 * slope @ move + 1e-14 * max(1.0, abs(objective)):
+                break
+            move = move / 2
+        else:
+            return x, report  # no step lowers the objective within the precision of its sums
+        x, objective = y, value
+    raise RuntimeError(f"rates have not converged after {MAX_STEPS} steps: {report}")
+
+
+def rate_column(steps: np.ndarray) -> F.Column:
     rate = F.lit(1.0)
-    for step in steps:
-        move = F.lit(0.0)
-        for k, x in enumerate(step):
-            move = move + F.col("__posterior")[k] * F.lit(x)
-        rate = F.greatest(F.lit(0.0), rate + move)
-    return rate
+    for k, x in enumerate(steps.tolist()):
+        rate = rate + F.col("posterior")[k] * F.lit(x)
+    return F.greatest(F.lit(0.0), rate)
 
 
 def _copies(rate: F.Column, key: F.Column) -> F.Column:
@@ -150,20 +186,23 @@ def _copies(rate: F.Column, key: F.Column) -> F.Column:
     return (whole + F.when(chance < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float = TOTAL, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, n_tokens, the domains' posteriors, rate, copies) of every row."""
     scratch = Scratch(docs.sparkSession, "mixing")
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    weighted = scratch.table(posteriors(plain, labels, max_rows).select("doc_id", "__tokens", "__posterior"), "posteriors")
-    steps, _ = fit_rates(weighted, BOOSTS | (boosts or {}))
-    rows = weighted.select("doc_id", F.col("__tokens").alias("n_tokens"), *(F.col("__posterior")[k].alias(d) for k, d in enumerate(DOMAINS)), rate_column(steps).alias("rate"))
+    weighted = scratch.table(posteriors(plain, labels, max_rows).select("row.doc_id", "tokens", "posterior"), "posteriors")
+    steps, _ = fit_rates(weighted, weights, total)
+    rows = weighted.select("doc_id", F.col("tokens").alias("n_tokens"), *(F.col("posterior")[k].alias(d) for k, d in enumerate(DOMAINS)), rate_column(steps).alias("rate"))
     return rows.withColumn("copies", _copies(F.col("rate"), F.col("doc_id")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, max_rows: int = MAX_ROWS, taught_by: DataFrame | None = None) -> DataFrame:
-    """``docs`` with as many copies of each row as its rate asks for."""
+def mix(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float = TOTAL, raised: dict[str, float] | None = None, max_rows: int = MAX_ROWS, taught_by: DataFrame | None = None
+) -> DataFrame:
+    """``docs`` with as many copies of each row as its rate asks for; ``raised`` states targets as multiples of what each domain has."""
     scratch = Scratch(docs.sparkSession, "mix")
     weighted = scratch.table(posteriors(docs, labels, max_rows, taught_by), "posteriors")
-    steps, _ = fit_rates(weighted, BOOSTS | (boosts or {}))
-    copied = weighted.withColumn("__copies", _copies(rate_column(steps), F.col("doc_id")).cast("int")).where("__copies > 0")
-    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    steps, _ = fit_rates(weighted, weights, total, raised)
+    copies = _copies(rate_column(steps), F.col("row.doc_id"))
+    copied = weighted.select("row", copies.cast("int").alias("copies")).where("copies > 0")
+    return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
