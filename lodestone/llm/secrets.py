@@ -61,17 +61,27 @@ def known(run: str) -> bool:
     return bool(_digest.fullmatch(run))
 
 
-def _uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """The parts of start..end outside the spans, which are in order of their starts."""
-    for s, e in spans:
-        if s < end and start < e:
-            if start < s:
-                yield start, s
-            start = e
+def _uncovered(start: int, end: int, spans: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """The parts of start..end outside the spans from place ``at`` on, which neither overlap nor touch."""
+    while at < len(spans) and spans[at][0] < end:
+        if start < spans[at][0]:
+            yield start, spans[at][0]
+        start = spans[at][1]
+        at += 1
     if start < end:
         yield start, end
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def _badly_encoded(text: str, start: int, end: int, tokens, max_ratio: float, cuts: tuple = _cuts) -> Iterator[tuple[int, int, str]]:
     part = text[start:end]
     if len(part) < MIN_RUN or known(part):
@@ -91,10 +101,13 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens, max_ratio:
 
     ``tokens`` gives the number of tokens of a string.
     """
-    found = []
-    for m in _run.finditer(text):
-        taken = [(s, e) for s, e, _ in base] + [k.span() for k in _inside.finditer(text, *m.span())]
-        for start, end in _uncovered(*m.span(), sorted(taken)):
+    found, at = [], 0
+    runs = list(_run.finditer(text))
+    taken = _united([(s, e) for s, e, _ in base] + [k.span() for m in runs for k in _inside.finditer(text, *m.span())])
+    for m in runs:
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        for start, end in _uncovered(*m.span(), taken, at):
             start += 0 if start == m.start() else len(text[start:end]) - len(text[start:end].lstrip("/="))
             found += _badly_encoded(text, start, end, tokens, max_ratio)
     return found
@@ -132,11 +145,11 @@ def scan(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
                 kinds = [kind for _, _, kind in base]
                 spans = sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                 out.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), len(added), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"])
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string"
-    return narrow(docs, id_col, text_col).mapInPandas(rows, schema)
+    schema = "doc_id string, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string"
+    plain = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("string"), "text")  # a null stays a null in pandas
+    return plain.mapInPandas(rows, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(docs: DataFrame, ranks_path: str, text_col: str = "text", mask: str = "[SECRET]", max_ratio: float = MAX_RATIO) -> DataFrame:

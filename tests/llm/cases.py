@@ -26,7 +26,7 @@ def documents(spark, seed=1, n=60, unique=False):
     rows = [(i, t, "en", "s", len(t), True, 5, "x", "y", 0.5, "z") for i, t in enumerate(texts)]
     rows.append((len(rows), None, None, None, None, None, None, None, None, None, None))
     if not unique:
-        rows += [rows[2], rows[2], (7, "other text for a known id", None, None, None, None, None, None, None, None, None), (None, texts[8], None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+        rows += [rows[2], rows[2], (7, "other text for a known id", None, None, None, None, None, None, None, None, None), ((1 << 60) + 1, texts[8], None, None, None, None, None, None, None, None, None), (None, texts[8], None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
     rng.shuffle(rows)
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 

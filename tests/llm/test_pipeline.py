@@ -43,6 +43,6 @@ def test_mixing_learns_from_the_whole_table(spark, monkeypatch):
     posteriors = mixing.posteriors
     monkeypatch.setattr(mixing, "posteriors", lambda *a: seen.append(posteriors(*a)) or seen[-1])
     assert corpus_pipeline.mix_domains(spark, good, SF).columns == docs.columns
-    whole = {r["doc_id"]: r["__posterior"] for r in posteriors(docs, labels).select("doc_id", "__posterior").collect()}
-    got = seen[0].select("doc_id", "__posterior").collect()
-    assert got and all(r["__posterior"] == whole[r["doc_id"]] for r in got)
+    whole = {r["doc_id"]: r["posterior"] for r in posteriors(docs, labels).select("row.doc_id", "posterior").collect()}
+    got = seen[0].select("row.doc_id", "posterior").collect()
+    assert got and all(r["posterior"] == whole[r["doc_id"]] for r in got)
