@@ -38,7 +38,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The whole table teaches: of what the first stage keeps, hardly a row has the other quality.
     """
-    return mixing.mix(docs, _labels(spark, sf_dir), taught_by=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixing.mix(docs, _labels(spark, sf_dir), raised={"q1t0": 1.25}, taught_by=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
