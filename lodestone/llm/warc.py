@@ -18,21 +18,24 @@ responses too.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, checked_broadcast, small_batches
+from .scratch import Scratch, checked_broadcast, frame_of, small_batches
 
 MIN_REVISIT = 1000
 #: Archives of about this many bytes.
 FILE_BYTES = 8 * 1024 * 1024
 #: Index entries that one range of the merge holds at most, about.
-RANGE_ROWS = 50_000
-EPOCH = 1_704_067_200  # captures have no time of their own: a second for each page_id from 2024 on
+RANGE_ROWS = 8_192
+#: Captures have no time of their own: a second for each page_id from 2024 on, in a cycle that ends before the year 9999.
+EPOCH, CYCLE = 1_704_067_200, 1 << 37
 _ID = "urn:page:"
 _NONE = "null"
 _COLUMNS = ["url_key", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_offset", "record_bytes"]
@@ -51,26 +54,28 @@ def url_key(url: str) -> str:
 
 
 class LoserTree:
-    """Merges sorted runs: each inner node keeps the loser of its match, the root the winner."""
+    """Merges sorted runs: each inner node keeps the loser of its match, the root the winner.
 
-    def __init__(self, runs: Sequence[Sequence[tuple]]):
-        self.runs = [r for r in runs if len(r)]
-        self.at = [0] * len(self.runs)
-        n = len(self.runs)
+    Only the first key of each run is held; equal keys go to the earlier run.
+    """
+
+    def __init__(self, runs: Sequence[Iterable[tuple]]):
+        self.rest = [iter(r) for r in runs]
+        self.heads = [next(r, None) for r in self.rest]
+        n = len(self.rest)
         self.tree = [-1] * max(n, 1)
         for run in range(n):
             self._play(run)
 
     def _beats(self, a: int, b: int) -> bool:
-        """An exhausted run loses to every other; equal keys go to the earlier run."""
-        if self.at[a] == len(self.runs[a]):
-            return False
-        if self.at[b] == len(self.runs[b]):
-            return True
-        return (self.runs[a][self.at[a]], a) < (self.runs[b][self.at[b]], b)
+        """An exhausted run loses to every other."""
+        x, y = self.heads[a], self.heads[b]
+        if x is None or y is None:
+            return y is None and x is not None
+        return x < y or (x == y and a < b)
 
     def _play(self, run: int) -> None:
-        node = (run + len(self.runs)) // 2
+        node = (run + len(self.rest)) // 2
         while node > 0:
             other = self.tree[node]
             if other < 0:  # the opponent has not come yet
@@ -82,15 +87,15 @@ class LoserTree:
         self.tree[0] = run
 
     def __iter__(self) -> Iterator[tuple]:
-        if not self.runs:
-            return
-        while True:
+        n = len(self.rest)
+        while n:
             run = self.tree[0]
-            if self.at[run] == len(self.runs[run]):
+            head = self.heads[run]
+            if head is None:
                 return
-            yield self.runs[run][self.at[run]]
-            self.at[run] += 1
-            node = (run + len(self.runs)) // 2
+            yield head
+            self.heads[run] = next(self.rest[run], None)
+            node = (run + n) // 2
             while node > 0:
                 if self._beats(self.tree[node], run):
                     self.tree[node], run = run, self.tree[node]
@@ -108,7 +113,7 @@ def _records(pages: DataFrame, min_revisit: int) -> DataFrame:
     p = p.join(checked_broadcast(shared), ["sha1", "sha256"], "left")
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     name = F.concat(F.lit(f"<{_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit(_NONE)), F.lit(">"))
-    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CYCLE))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
@@ -175,7 +180,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, raw in zip(batch["file"], batch["content"], strict=True):
                 run = [(file, k, *row) for k, row in enumerate(capture_run(bytes(raw)))]
-                yield pd.DataFrame(run, columns=["file", "k", *_COLUMNS]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield frame_of(run, ["file", "k", *_COLUMNS], ["k", "page_id", "payload_bytes", "refers_to", "record_offset", "record_bytes"])
 
     small_batches(spark, 4, "8m")
     files = spark.read.format("binaryFile").load(path)
@@ -186,40 +191,30 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in global order of (range_no, range_pos); range_no grows with the key.
 
-    A range is held by its task as the sorted pieces of all runs that reach into
-    it.  The last key of the range is page_id, so a URL with any number of
-    captures is split too.
+    A range is one Arrow table of about ``range_rows`` entries, sorted by (file, k):
+    the pieces of all runs that reach into it, which the loser tree merges as
+    iterators over (key, place).  The last key of the range is page_id, so a URL
+    with any number of captures is split too.
     """
     ranges = max(1, -(-runs.count() // range_rows))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces: dict[str, list[tuple]] = {}
-        range_no = None
-        for batch in batches:
-            range_no = int(batch["range_no"].iloc[0]) if range_no is None and len(batch) else range_no
-            ids, refers = batch["page_id"].tolist(), batch["refers_to"].tolist()
-            others = [batch[c].tolist() for c in ("file", "k", *_COLUMNS) if c not in ("page_id", "refers_to")]
-            for file, k, key, at, n, digest, kind, offset, size, page, ref in zip(*others, ids, refers, strict=True):
-                page, ref = None if pd.isna(page) else int(page), None if pd.isna(ref) else int(ref)
-                row = (key, at, page is not None, page or 0, file, k, (key, at, page, n, digest, kind, ref, offset, size))
-                pieces.setdefault(file, []).append(row)
-        out = []
-        for pos, row in enumerate(LoserTree([pieces[f] for f in sorted(pieces)])):
-            out.append((range_no, pos, row[4], *row[6]))
-            if len(out) == 5000:
-                yield frame(out)
-                out = []
-        if out:
-            yield frame(out)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["range_no", "range_pos", "file", *_COLUMNS]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        files = table["file"].to_pylist()
+        ids = table["page_id"].to_pylist()
+        keys = list(zip(table["url_key"].to_pylist(), table["captured"].to_pylist(), [i is not None for i in ids], [i or 0 for i in ids], files, range(len(ids)), strict=True))
+        cuts = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
+        order = pa.array([key[-1] for key in LoserTree([itertools.islice(keys, a, b) for a, b in itertools.pairwise(cuts)])], pa.int64())
+        merged = table.take(order).append_column("range_pos", pa.array(range(len(ids)), pa.int64()))
+        yield from merged.select(names).to_batches(max_chunksize=5000)
+
+    names = ["range_no", "range_pos", "file", *_COLUMNS]
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("file", "k")
     dealt = dealt.withColumn("range_no", F.spark_partition_id())
-    for c in ("page_id", "refers_to"):
-        dealt = dealt.withColumn(c, F.col(c).cast("string"))  # a null stays a null in pandas
-    return dealt.mapInPandas(merge, f"range_no int, range_pos long, file string, {_RUN}")
+    return dealt.mapInArrow(merge, f"range_no int, range_pos long, file string, {_RUN}")
 
 
 def capture_history(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
