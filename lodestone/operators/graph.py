@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,14 +11,20 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder (a local one only where none is set)."""
+    """A new folder in the cluster's shared checkpoint folder; only a local master may leave that unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        root = _local_folder()
     return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lodestone-")
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Writes and reads a table: the lineage ends there and survives lost executors."""
     df.write.parquet(path)

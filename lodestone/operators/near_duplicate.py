@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 # Fixed values of the screening policy.
 CONTENT_WIDTH, SHAPE_WIDTH = 7, 11
 POLICY = {
     "hard_jaccard": (7, 10), "hard_containment": (4, 5), "hard_shared": 32, "run_tokens": 64, "run_coverage": (3, 5),
     "gray_jaccard": (1, 2), "gray_containment": (3, 5), "gray_shared": 16, "shape_containment": (9, 10), "shape_shared": 48, "least_shingles": 32,
 }
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
 PRIORITY = {"clear": 0, "abstain": 1, "gray": 2, "duplicate": 3}
 
 
@@ -59,6 +62,33 @@ def shared_counts(probes: DataFrame, references: DataFrame) -> DataFrame:
     return pairs.groupBy("probe_id", "ref_id").agg(F.count("*").alias("shared"), F.first("n_probe").alias("n_probe"), F.first("n_ref").alias("n_ref"))
 
 
+def similar_pairs(sets: DataFrame, policy: dict = POLICY) -> DataFrame:
+    """(probe_id, ref_id, shared, n_probe, n_ref) of all pairs (id, set) that ``decide`` can call more than clear; probe_id < ref_id.
+
+    Each such pair shares the gray containment of its smaller set, and ``gray_shared``
+    elements at least.  So one of the smaller set's rarest elements, all but that
+    many and one more, is in the larger set: only these are joined, so elements
+    that many texts have (boilerplate) make no pairs unless a text has little
+    else.  Candidates are then counted exactly.
+    """
+    share, least = policy["gray_containment"], policy["gray_shared"]
+    folder = graph.work_folder(sets.sparkSession)
+    sets = graph.written(sets.select("id", "set", F.size("set").alias("n")), f"{folder}/sets")
+    elements = sets.select("id", "n", F.explode("set").alias("h"))
+    common = elements.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    shared = graph.written(elements.join(common, "h"), f"{folder}/shared")
+    needed = F.greatest(F.lit(least), F.ceil(F.col("n") * share[0] / share[1]))
+    listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
+    places = (F.size("l") - needed + 1).cast("int")  # elements of no other set come first and need no place
+    prefix = listed.where(places > 0).select("id", "n", F.explode(F.slice("l", F.lit(1), places)).alias("e")).select("id", "n", "e.h")
+    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), shared.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
+    met = a.join(b, "h").where("na <= nb and a <> b")
+    pairs = met.select(F.least("a", "b").alias("probe_id"), F.greatest("a", "b").alias("ref_id")).distinct()
+    p, r = (sets.select(F.col("id").alias(f"{x}_id"), F.col("set").alias(f"{x}_set"), F.col("n").alias(f"n_{x}")) for x in ("probe", "ref"))
+    both = pairs.join(p, "probe_id").join(r, "ref_id").withColumn("shared", F.size(F.array_intersect("probe_set", "ref_set")).cast("long"))
+    return both.where("shared > 0").select("probe_id", "ref_id", "shared", "n_probe", "n_ref")
+
+
 def at_least(part: Column, whole: Column, share: tuple[int, int]) -> Column:
     return (share[1] * part >= share[0] * whole) & (whole > 0)
 
@@ -115,11 +145,27 @@ def nfc(text: Column) -> Column:
 
 
 def longest_run(a: list[str], b: list[str]) -> int:
-    """The length of the longest run of tokens that both streams hold, by doubling and halving over hashed runs."""
+    """The length of the longest run of tokens that both streams hold, by halving; memory is linear in the streams.
+
+    Tokens are numbered; runs of equal rolling hash are compared token by token.
+    """
+    numbers: dict[str, int] = {}
+    x, y = ([numbers.setdefault(t, len(numbers) + 1) for t in s] for s in (a, b))
+
+    def starts(s: list[int], n: int) -> Iterator[tuple[int, int]]:
+        value, top = 0, pow(_BASE, n, _PRIME)
+        for i, t in enumerate(s):
+            value = (value * _BASE + t - (s[i - n] * top if i >= n else 0)) % _PRIME
+            if i >= n - 1:
+                yield value, i - n + 1
 
     def common(n: int) -> bool:
-        seen = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
-        return any(tuple(b[i : i + n]) in seen for i in range(len(b) - n + 1))
+        seen: dict[int, list[int]] = {}
+        for value, i in starts(x, n):
+            at = seen.setdefault(value, [])
+            if not at or all(x[j : j + n] != x[i : i + n] for j in at):
+                at.append(i)
+        return any(x[i : i + n] == y[j : j + n] for value, j in starts(y, n) for i in seen.get(value, ()))
 
     low, high = 0, min(len(a), len(b))
     while low < high:  # a common run of n implies one of n - 1

@@ -72,7 +72,7 @@ def keyword_matches(contexts: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def weighted_scores(matches: DataFrame, weights: DataFrame) -> DataFrame:
     """(unit_id, rule_id, n_matches, score) from distinct matches."""
-    weighed = matches.join(F.broadcast(weights), "kind")
+    weighed = matches.join(small_side(weights), "kind")
     return weighed.groupBy("unit_id", "rule_id").agg(F.count("*").alias("n_matches"), F.sum("weight").cast("long").alias("score"))
 
 

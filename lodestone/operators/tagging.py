@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 
 def leaf(value):
     """The text after the last dot."""
@@ -18,7 +20,7 @@ def leaf(value):
 
 
 def _of(rules: DataFrame, trigger: str) -> DataFrame:
-    return F.broadcast(rules.where(F.col("trigger") == trigger).select("tag_id", "status", "on_kind", F.col("value").alias("__v")))
+    return small_side(rules.where(F.col("trigger") == trigger).select("tag_id", "status", "on_kind", F.col("value").alias("__v")))
 
 
 def _hits(joined: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def affix_hits(facts: DataFrame, rules: DataFrame) -> DataFrame:
 def owner_role_hits(facts: DataFrame, roles: DataFrame, role_rules: DataFrame) -> DataFrame:
     """Symbol leaf together with the owner's role: facts, roles (unit_id, role), rules (tag_id, status, leaf, role)."""
     symbols = facts.where("kind = 'symbol'").withColumn("leaf", leaf(F.col("value")))
-    joined = symbols.join(roles, "unit_id").join(F.broadcast(role_rules), ["leaf", "role"])
+    joined = symbols.join(roles, "unit_id").join(small_side(role_rules), ["leaf", "role"])
     return _hits(joined)
 
 
@@ -74,7 +76,7 @@ def route_dimensions(tags: DataFrame, dimensions: DataFrame, dimension_tags: Dat
 
     ``tags`` (unit_id, tag_id), ``dimensions`` (dimension_id, always_check), ``dimension_tags`` (dimension_id, tag_id).
     """
-    by_tag = tags.join(F.broadcast(dimension_tags), "tag_id").select("unit_id", "dimension_id").distinct().withColumn("by_tag", F.lit(True))
+    by_tag = tags.join(small_side(dimension_tags), "tag_id").select("unit_id", "dimension_id").distinct().withColumn("by_tag", F.lit(True))
     always = tags.select("unit_id").distinct().crossJoin(F.broadcast(dimensions.where("always_check").select("dimension_id"))).withColumn("by_tag", F.lit(False))
     both = by_tag.unionByName(always)
     return both.groupBy("unit_id", "dimension_id").agg(F.bool_or("by_tag").alias("by_tag")).withColumn("review", F.lit(True))
@@ -82,8 +84,8 @@ def route_dimensions(tags: DataFrame, dimensions: DataFrame, dimension_tags: Dat
 
 def bind_questions(routes: DataFrame, tags: DataFrame, questions: DataFrame, question_tags: DataFrame) -> DataFrame:
     """(unit_id, dimension_id, question_id): questions of routed dimensions that always bind or share a tag."""
-    candidates = routes.join(F.broadcast(questions), "dimension_id")
-    tagged = tags.join(F.broadcast(question_tags), "tag_id").select("unit_id", "question_id").distinct().withColumn("__t", F.lit(True))
+    candidates = routes.join(small_side(questions), "dimension_id")
+    tagged = tags.join(small_side(question_tags), "tag_id").select("unit_id", "question_id").distinct().withColumn("__t", F.lit(True))
     joined = candidates.join(tagged, ["unit_id", "question_id"], "left")
     return joined.where("always_bind or __t").select("unit_id", "dimension_id", "question_id")
 

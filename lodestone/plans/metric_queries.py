@@ -46,9 +46,9 @@ def component_counts(spark, sf_dir):
 
 def _arms(spark, sf_dir):
     """Two arms over the same units: by label and digit, and by similarity; the truth is an equal label."""
-    exact = retrieval.exact_ranking(_labelled(spark, sf_dir).where("rule_id % 2 = 0 or unit_id % 3 = 0")).select(F.lit("exact").alias("arm"), "unit_id", "rule_id", "rank")
+    exact = retrieval.exact_ranking(_labelled(spark, sf_dir)).select(F.lit("exact").alias("arm"), "unit_id", "rule_id", "rank")
     vector = retrieval.vector_ranking(_pairs(spark, sf_dir), minimum=-1.0).select(F.lit("vector").alias("arm"), "unit_id", "rule_id", "rank")
-    truth = _labelled(spark, sf_dir).where("rule_id % 4 <> 1").select("unit_id", "rule_id")
+    truth = _labelled(spark, sf_dir).select("unit_id", "rule_id")
     return exact.unionByName(vector), truth
 
 
@@ -75,9 +75,9 @@ def arm_rollup(spark, sf_dir):
 
 
 def multiset_match(spark, sf_dir):
-    """Order priorities of two halves of the customers, by status."""
+    """Order priorities of large and small orders, by status."""
     o = table(spark, sf_dir, "orders")
-    return M.multiset_match(o.where("o_custkey % 2 = 0"), o.where("o_custkey % 2 = 1"), ["o_orderstatus"], "o_orderpriority")
+    return M.multiset_match(o.where("o_totalprice >= 150000"), o.where("o_totalprice < 150000"), ["o_orderstatus"], "o_orderpriority")
 
 
 def gate_report(spark, sf_dir):
@@ -108,7 +108,7 @@ def _votes(spark, sf_dir):
     first = F.when(F.col("quality") == 0, "reject").when(F.col("toxic") == 1, "accept_with_corrections").otherwise("accept")
     second = F.when((F.col("quality") == 0) & (F.col("doc_id") % 3 != 0), "reject").when(F.col("doc_id") % 11 == 0, "unsure").otherwise("accept")
     a = labels.select(F.lit("first").alias("round_name"), F.col("doc_id").alias("rule_id"), first.alias("decision"))
-    b = labels.where("doc_id % 13 <> 0").select(F.lit("second").alias("round_name"), F.col("doc_id").alias("rule_id"), second.alias("decision"))
+    b = labels.select(F.lit("second").alias("round_name"), F.col("doc_id").alias("rule_id"), second.alias("decision"))
     return a.unionByName(b)
 
 
@@ -128,7 +128,7 @@ def consensus_counts(spark, sf_dir):
 def proposal_status(spark, sf_dir):
     """Customers and suppliers of a nation propose a sign for its balance; both must agree."""
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg((F.sum("c_acctbal") > 0).cast("string").alias("payload_hash")).withColumn("round_name", F.lit("first"))
-    s = table(spark, sf_dir, "supplier").where("s_nationkey <> 7").groupBy(F.col("s_nationkey").alias("nation")).agg((F.min("s_acctbal") > 0).cast("string").alias("payload_hash")).withColumn("round_name", F.lit("second"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg((F.min("s_acctbal") > 0).cast("string").alias("payload_hash")).withColumn("round_name", F.lit("second"))
     return C.proposals(c.unionByName(s), ["nation"])
 
 
@@ -173,7 +173,7 @@ def failed_attempts(spark, sf_dir):
 
 def decision_reduce(spark, sf_dir):
     """Length and label as two decisions on each document."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 or doc_id % 3 = 0")
+    d = table(spark, sf_dir, "documents")
     static = d.select(F.col("doc_id").alias("unit_id"), F.lit("good").alias("tag"), F.when(F.col("n_chars") > 1000, "positive").otherwise("negative").alias("decision"))
     model = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("unit_id"), F.lit("good").alias("tag"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("decision"))
     return C.reduce_decisions(static, model)
@@ -183,7 +183,7 @@ def structural_diff(spark, sf_dir):
     """Nations' names against those made from their keys in another style."""
     n = table(spark, sf_dir, "nation")
     left = n.select(F.col("n_nationkey").alias("path"), F.col("n_name").alias("value"))
-    right = n.where("n_nationkey <> 3").select(F.col("n_nationkey").alias("path"), F.when(F.col("n_nationkey") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("value"))
+    right = n.select(F.col("n_nationkey").alias("path"), F.when(F.col("n_nationkey") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("value"))
     return C.differences(left, right, ["path"])
 
 
@@ -200,10 +200,10 @@ def _wilson_sql(hits, n):
 
 _ARMS_SQL = f"""
     WITH {_PAIRS_SQL}, {_EXACT_SQL},
-    x AS (SELECT 'exact' AS arm, unit_id, rule_id, row_number() OVER (PARTITION BY unit_id ORDER BY score DESC, n_matches DESC, rule_id) AS rank FROM l WHERE rule_id % 2 = 0 OR unit_id % 3 = 0
+    x AS (SELECT 'exact' AS arm, unit_id, rule_id, row_number() OVER (PARTITION BY unit_id ORDER BY score DESC, n_matches DESC, rule_id) AS rank FROM l
           UNION ALL SELECT 'vector', unit_id, rule_id, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, rule_id) FROM s WHERE similarity >= -1),
     r AS (SELECT * FROM x WHERE (arm = 'exact' AND rank <= 50) OR (arm = 'vector' AND rank <= 30)),
-    t AS (SELECT unit_id, rule_id FROM l WHERE rule_id % 4 <> 1),
+    t AS (SELECT unit_id, rule_id FROM l),
     tn AS (SELECT unit_id, count(*) AS relevant FROM t GROUP BY unit_id),
     u AS (SELECT DISTINCT arm, unit_id FROM r UNION SELECT arm, unit_id FROM tn, (SELECT DISTINCT arm FROM r)),
     j AS (SELECT r.arm, r.unit_id, r.rank, t.rule_id IS NOT NULL AS rel FROM r LEFT JOIN t ON t.unit_id = r.unit_id AND t.rule_id = r.rule_id),
@@ -218,7 +218,7 @@ _ARMS_SQL = f"""
 """
 _CONSENSUS_SQL = """
     v AS (SELECT doc_id AS rule_id, CASE WHEN quality = 0 THEN 'reject' WHEN toxic = 1 THEN 'accept_with_corrections' ELSE 'accept' END AS a,
-                 CASE WHEN doc_id % 13 = 0 THEN NULL WHEN quality = 0 AND doc_id % 3 <> 0 THEN 'reject' WHEN doc_id % 11 = 0 THEN 'unsure' ELSE 'accept' END AS b, toxic FROM labels),
+                 CASE WHEN quality = 0 AND doc_id % 3 <> 0 THEN 'reject' WHEN doc_id % 11 = 0 THEN 'unsure' ELSE 'accept' END AS b, toxic FROM labels),
     cs AS (SELECT rule_id, CASE WHEN a = 'accept' AND b = 'accept' THEN 'accepted' WHEN a = 'reject' AND b = 'reject' THEN 'rejected'
                  WHEN a IN ('accept', 'accept_with_corrections') AND b IN ('accept', 'accept_with_corrections') THEN 'correction_draft' ELSE 'unresolved' END AS status, toxic FROM v)
 """
@@ -249,7 +249,7 @@ ORACLES = {
         FROM mi a JOIN mi b ON a.k = b.k WHERE a.arm = 'exact' AND b.arm = 'vector'""",
     "arm_rollup": f"""{_ARMS_SQL}, q AS (SELECT arm, unit_id, count(*) AS n FROM r WHERE rank <= 8 GROUP BY arm, unit_id)
         SELECT arm, count(*) AS units, CAST(sum(n) AS BIGINT) AS shown, round(sum(n) / (8 * count(*))::DOUBLE, 6) AS utilisation, count(*) FILTER (WHERE n < 8) AS degraded FROM q GROUP BY arm""",
-    "multiset_match": """WITH e AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) FILTER (WHERE o_custkey % 2 = 0) AS e, count(*) FILTER (WHERE o_custkey % 2 = 1) AS a FROM orders GROUP BY ALL),
+    "multiset_match": """WITH e AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) FILTER (WHERE o_totalprice >= 150000) AS e, count(*) FILTER (WHERE o_totalprice < 150000) AS a FROM orders GROUP BY ALL),
         c AS (SELECT s, CAST(sum(least(e, a)) AS BIGINT) AS tp, CAST(sum(greatest(a - e, 0)) AS BIGINT) AS fp, CAST(sum(greatest(e - a, 0)) AS BIGINT) AS fn FROM e GROUP BY s)
         SELECT s AS o_orderstatus, tp, fp, fn, round(CASE WHEN tp + fp + fn = 0 THEN 1 WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END, 6) AS precision,
                round(CASE WHEN tp + fp + fn = 0 THEN 1 WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END, 6) AS recall FROM c""",
@@ -265,7 +265,7 @@ ORACLES = {
     "status_counts": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p, count(*) FILTER (WHERE o_orderstatus = 'X') AS n_x FROM orders GROUP BY o_orderpriority",
     "consensus_counts": f"""WITH {_CONSENSUS_SQL} SELECT lang, count(*) FILTER (WHERE status = 'accepted') AS n_accepted, count(*) FILTER (WHERE status = 'rejected') AS n_rejected,
         count(*) FILTER (WHERE status = 'correction_draft') AS n_correction_draft, count(*) FILTER (WHERE status = 'unresolved') AS n_unresolved FROM cs JOIN documents ON doc_id = rule_id GROUP BY lang""",
-    "proposal_status": """WITH c AS (SELECT c_nationkey AS nation, sum(c_acctbal) > 0 AS x FROM customer GROUP BY c_nationkey), s AS (SELECT s_nationkey AS nation, min(s_acctbal) > 0 AS y FROM supplier WHERE s_nationkey <> 7 GROUP BY s_nationkey)
+    "proposal_status": """WITH c AS (SELECT c_nationkey AS nation, sum(c_acctbal) > 0 AS x FROM customer GROUP BY c_nationkey), s AS (SELECT s_nationkey AS nation, min(s_acctbal) > 0 AS y FROM supplier GROUP BY s_nationkey)
         SELECT coalesce(c.nation, s.nation) AS nation, CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE 2 END AS rounds, CASE WHEN x IS NULL OR y IS NULL THEN 'single' WHEN x = y THEN 'confirmed' ELSE 'conflicting' END AS status
         FROM c FULL JOIN s ON c.nation = s.nation""",
     "evaluation_selection": f"""WITH {_CONSENSUS_SQL}, d AS (SELECT doc_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS n FROM documents),
@@ -279,8 +279,8 @@ ORACLES = {
     "campaign_totals": """SELECT event_type, CAST(sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS usage, count(*) AS attempts, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""",
     "failed_attempts": """SELECT round, stem FROM (SELECT o_orderstatus AS round, o_custkey AS stem FROM orders UNION SELECT 'F', c_custkey FROM customer WHERE c_acctbal < 0)
         EXCEPT SELECT o_orderstatus, o_custkey FROM orders WHERE o_totalprice > 250000""",
-    "decision_reduce": """WITH s AS (SELECT doc_id, n_chars > 1000 AS s FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0), m AS (SELECT doc_id, quality = 1 AS m FROM labels)
+    "decision_reduce": """WITH s AS (SELECT doc_id, n_chars > 1000 AS s FROM documents), m AS (SELECT doc_id, quality = 1 AS m FROM labels)
         SELECT coalesce(s.doc_id, m.doc_id) AS unit_id, 'good' AS tag, CASE WHEN s IS NULL OR m IS NULL THEN 'missing' WHEN s AND m THEN 'agree' WHEN s THEN 'static_only' WHEN m THEN 'model_only' ELSE 'neither' END AS outcome
         FROM s FULL JOIN m ON s.doc_id = m.doc_id""",
-    "structural_diff": "SELECT n_nationkey AS path, n_name AS expected, CASE WHEN n_nationkey = 3 THEN NULL ELSE lower(n_name) END AS actual FROM nation WHERE n_nationkey = 3 OR n_nationkey % 4 = 0",
+    "structural_diff": "SELECT n_nationkey AS path, n_name AS expected, lower(n_name) AS actual FROM nation WHERE n_nationkey % 4 = 0",
 }

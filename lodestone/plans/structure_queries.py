@@ -64,8 +64,8 @@ def nearest_parent(spark, sf_dir):
 def atom_overlaps(spark, sf_dir):
     """Segments and statuses that share nations: units of two sides with a common atom."""
     c = table(spark, sf_dir, "customer")
-    left = c.where("c_acctbal > 9000").select(F.col("c_mktsegment").alias("id"), F.col("c_nationkey").alias("atom"))
-    right = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select((F.col("s_suppkey") % 5).alias("id"), F.col("s_nationkey").alias("atom"))
+    left = c.select(F.col("c_mktsegment").alias("id"), F.col("c_nationkey").alias("atom"))
+    right = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("id"), F.col("s_nationkey").alias("atom"))
     found = intervals.overlaps(left, right)
     return found.select("left_id", "right_id", F.array_join(F.col("atoms").cast("array<string>"), ",").alias("atoms"))
 
@@ -83,7 +83,7 @@ def repeated_paths(spark, sf_dir):
 def hunk_units(spark, sf_dir):
     """Short spans of each order's lines as hunks; units from returned lines, or a window around the hunk."""
     li = table(spark, sf_dir, "lineitem")
-    hunks = li.where("l_quantity >= 45").select("l_orderkey", F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("hunk_id"), F.col("l_linenumber").alias("h_start"), F.col("l_linenumber").alias("h_end"), F.lit(7).alias("n_lines")).distinct()
+    hunks = li.select("l_orderkey", F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("hunk_id"), F.col("l_linenumber").alias("h_start"), F.col("l_linenumber").alias("h_end"), F.lit(7).alias("n_lines")).distinct()
     units = intervals.islands(li.where("l_returnflag = 'R'"), ["l_orderkey"], "l_linenumber").select("l_orderkey", F.concat(F.lit("u"), F.col("first").cast("string")).alias("unit_id"), F.col("first").alias("start"), F.col("last").alias("end"))
     return intervals.hunk_units(hunks, units, ["l_orderkey"], 2)
 
@@ -96,7 +96,7 @@ def merged_units(spark, sf_dir):
 
 
 def _same_text_edges(spark, sf_dir):
-    """Copies by text, and copies by their first 40 characters: two kinds of links."""
+    """Copies by text, and copies by their text with white space collapsed: two kinds of links over whole texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def star(key):
@@ -104,7 +104,7 @@ def _same_text_edges(spark, sf_dir):
         least = k.groupBy("k").agg(F.min("doc_id").alias("src"), F.count("*").alias("n")).where("n > 1")
         return k.join(least, "k").where("doc_id <> src").select("src", F.col("doc_id").alias("dst"))
 
-    return d, star(F.sha2("text", 256)).unionByName(star(F.sha2(F.left("text", F.lit(40)), 256)))
+    return d, star(F.sha2("text", 256)).unionByName(star(N.normalized_body(F.col("text"))))
 
 
 def connected_components(spark, sf_dir):
@@ -122,9 +122,9 @@ def descendant_closure(spark, sf_dir):
 
 def relation_check(spark, sf_dir):
     """Items as typed edges between parts and suppliers: unknown endpoints, self edges, repeated edges."""
-    li = table(spark, sf_dir, "lineitem").where("l_discount = 0")
+    li = table(spark, sf_dir, "lineitem")
     edges = li.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "same_as").otherwise("supplies").alias("kind"))
-    nodes = table(spark, sf_dir, "part").where("p_partkey % 97 <> 5").select(F.col("p_partkey").alias("id"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     return graph.relation_problems(edges, nodes, ("same_as",))
 
 
@@ -152,7 +152,7 @@ def seal_check(spark, sf_dir):
     from ..sources.store import seal_problems
 
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("atom_id"))
-    li = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount > 0.05").select("l_partkey", F.col("l_suppkey").cast("string").alias("atom_id"))
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("atom_id"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("binding_id"))
     bound = li.join(p, "l_partkey").select("binding_id", "atom_id").distinct()
     bindings = p.select("binding_id").distinct().unionByName(rows_of(spark, [("Brand#99",)], "binding_id string"))
@@ -249,8 +249,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
     """Representatives of equal sets that screening calls gray or duplicate, compared exactly."""
     sets = _sets(spark, sf_dir).withColumn("key", F.xxhash64(F.array_sort("set")))
     one = sets.groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("set", "doc_id").alias("set"))
-    pairs = N.shared_counts(one, one).where("probe_id < ref_id")
-    return N.decide(pairs).where("decision <> 'clear'").select("probe_id", "ref_id", "shared", F.col("n_probe").cast("long").alias("n_probe"), F.col("n_ref").cast("long").alias("n_ref"), "decision")
+    return N.decide(N.similar_pairs(one)).where("decision <> 'clear'").select("probe_id", "ref_id", "shared", F.col("n_probe").cast("long").alias("n_probe"), F.col("n_ref").cast("long").alias("n_ref"), "decision")
 
 
 def screening_decisions(spark, sf_dir):
@@ -274,7 +273,7 @@ def event_windows(spark, sf_dir):
 
 
 _GRAPH_SQL = """
-    WITH RECURSIVE k AS (SELECT doc_id, coalesce(text, '') AS t, left(coalesce(text, ''), 40) AS h FROM documents),
+    WITH RECURSIVE k AS (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS h FROM documents),
     e AS (SELECT min(doc_id) OVER (PARTITION BY t) AS a, doc_id AS b FROM k UNION SELECT min(doc_id) OVER (PARTITION BY h), doc_id FROM k),
     l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
     c(id, root) AS (SELECT doc_id, doc_id FROM k UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id)
@@ -310,20 +309,20 @@ ORACLES = {
         p AS (SELECT c.name AS id, o.name AS parent, row_number() OVER (PARTITION BY c.name ORDER BY o.e - o.s, o.name) AS k FROM i c JOIN i o ON o.s <= c.s AND o.e >= c.e AND (o.s < c.s OR o.e > c.e))
         SELECT day, id, parent FROM d, p WHERE k = 1""",
     "atom_overlaps": """SELECT c_mktsegment AS left_id, s_suppkey % 5 AS right_id, string_agg(DISTINCT CAST(c_nationkey AS VARCHAR), ',' ORDER BY lpad(CAST(c_nationkey AS VARCHAR), 3, '0')) AS atoms
-        FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9000 AND s_acctbal > 9000 GROUP BY 1, 2""",
+        FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1, 2""",
     "line_coverage_check": """WITH c AS (SELECT l_orderkey, l_linenumber AS l, count(*) AS c FROM lineitem GROUP BY ALL), m AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey), w AS (SELECT l_orderkey, unnest(range(1, n + 1)) AS l FROM m)
         SELECT l_orderkey, CAST(l AS BIGINT) AS line, 'repeated' AS problem FROM c WHERE c > 1 UNION ALL SELECT w.l_orderkey, CAST(w.l AS BIGINT), 'missing' FROM w LEFT JOIN c ON c.l_orderkey = w.l_orderkey AND c.l = w.l WHERE c.l IS NULL""",
     "repeated_paths": "SELECT p_name, p_brand, p_type, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1",
     "hunk_units": """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM d),
         u AS (SELECT l_orderkey, 'u' || CAST(min(l_linenumber) AS VARCHAR) AS unit_id, min(l_linenumber) AS s, max(l_linenumber) AS e FROM g GROUP BY l_orderkey, g),
-        h AS (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_quantity AS VARCHAR) || ':' || CAST(l_extendedprice AS VARCHAR) AS hunk_id, l_linenumber AS p FROM lineitem WHERE l_quantity >= 45)
+        h AS (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_quantity AS VARCHAR) || ':' || CAST(l_extendedprice AS VARCHAR) AS hunk_id, l_linenumber AS p FROM lineitem)
         SELECT h.l_orderkey, hunk_id, coalesce(unit_id, 'window:' || hunk_id) AS unit_id, coalesce(s, greatest(1, p - 2)) AS start, coalesce(e, least(7, p + 2)) AS "end" FROM h LEFT JOIN u ON u.l_orderkey = h.l_orderkey AND p BETWEEN s AND e""",
     "merged_units": "SELECT l_suppkey AS unit_id, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS lines, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS diagnostics FROM lineitem GROUP BY l_suppkey",
     "connected_components": _GRAPH_SQL,
     "descendant_closure": """WITH RECURSIVE e AS (SELECT n_regionkey - 100 AS p, n_nationkey AS c FROM nation UNION ALL SELECT n_nationkey // 5, n_nationkey FROM nation WHERE n_nationkey > 0 AND n_nationkey % 5 = 0),
         c(root, id) AS (SELECT x, x FROM (SELECT r_regionkey - 100 AS x FROM region UNION SELECT n_nationkey FROM nation) UNION SELECT c.root, e.c FROM c JOIN e ON e.p = c.id) SELECT root, id FROM c""",
     "relation_check": """WITH e AS (SELECT CASE WHEN l_returnflag = 'R' AND l_partkey > l_suppkey THEN l_suppkey ELSE l_partkey END AS src, CASE WHEN l_returnflag = 'R' AND l_partkey > l_suppkey THEN l_partkey ELSE l_suppkey END AS dst,
-              CASE WHEN l_returnflag = 'R' THEN 'same_as' ELSE 'supplies' END AS kind FROM lineitem WHERE l_discount = 0), n AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 97 <> 5)
+              CASE WHEN l_returnflag = 'R' THEN 'same_as' ELSE 'supplies' END AS kind FROM lineitem), n AS (SELECT p_partkey AS id FROM part)
         SELECT DISTINCT src, dst, kind, 'unknown_endpoint' AS problem FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n)
         UNION ALL SELECT DISTINCT src, dst, kind, 'self_edge' FROM e WHERE src = dst UNION ALL SELECT src, dst, kind, 'repeated' FROM e GROUP BY ALL HAVING count(*) > 1""",
     "leaf_families": r"""WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?#]+?)/?(?:[?#].*)?$', 1) AS path FROM pages), f AS (SELECT path FROM p WHERE path <> '' UNION SELECT split_part(path, '/', 1) FROM p WHERE path <> '')
@@ -332,11 +331,13 @@ ORACLES = {
         UNION ALL SELECT DISTINCT l_orderkey, 'item_without_order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
         UNION ALL SELECT o_orderkey, 'order_without_customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
         UNION ALL SELECT c_custkey, 'customer_without_orders' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
-    "seal_check": """WITH b AS (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.05), o AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000)
+    "seal_check": """WITH b AS (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey), o AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000)
         SELECT CAST(s_suppkey AS VARCHAR) AS id, 'classified_twice' AS problem FROM o WHERE s_suppkey IN (SELECT l_suppkey FROM b)
         UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'not_classified' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM b) AND s_suppkey NOT IN (SELECT s_suppkey FROM o)
         UNION ALL SELECT x, 'empty_binding' FROM (SELECT DISTINCT p_brand AS x FROM part UNION SELECT 'Brand#99') WHERE x NOT IN (SELECT p_brand FROM b)
         UNION ALL SELECT DISTINCT CAST(l_suppkey AS VARCHAR), 'unknown_atom' FROM b WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""",
+    "sentence_fragments": r"""WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '([^\n。！？；!?;]*(?:\n\s*|[。！？；]["'')\]”’」』）]*\s*|[!?;]+["'')\]”’」』）]*(?:\s+|$)|[!?;]|$))', 1), lambda x: x <> '') AS p FROM documents)
+        SELECT doc_id, len(p) AS n_pieces, length(array_to_string(p, '')) AS n_chars, sha256(array_to_string(p, chr(1))) AS pieces_sha256 FROM p""",
     "token_estimate": """SELECT doc_id, CAST(greatest(1, ceil(length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) / 4.0) + length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))) AS BIGINT) AS knowledge_tokens,
         CAST(length(t) + length(regexp_replace(t, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS BIGINT) AS utf16, CAST(strlen(t) AS BIGINT) AS utf8 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "code_token_estimate": r"""SELECT page_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]'), lambda x: greatest(1, ceil(strlen(x) / 4.0)))), 0) AS BIGINT) AS code_tokens FROM pages""",
