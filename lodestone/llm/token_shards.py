@@ -23,6 +23,7 @@ writes no shard and reads as no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from bisect import bisect_right
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, checked_broadcast, narrow, small_batches
+from .scratch import Scratch, checked_broadcast, frame_of, narrow, small_batches
 
 BLOCK_BYTES = 32 * 1024
 SHARD_BYTES = 4 * 1024 * 1024
@@ -42,8 +43,8 @@ BITS_PER_KEY, PROBES = 10, 7
 #: The writer of text files ends each file with a line feed, the magic's last byte.
 MAGIC = b"LSSST01\n"
 _FOOTER = struct.Struct("<QQQQQQQII8s")
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Distinct parts of texts whose ids a worker remembers.
+CACHE_WORDS = 600_000
 _MARKS = ".,;:!?#$%&*"
 
 
@@ -187,11 +188,13 @@ class Shard:
 class WordEncoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library.
 
-    Where white space is single spaces and line feeds between other characters,
-    pre-tokens never cross the place before them, so a text is cut into parts
-    "word" (after a space) and "\\nword", the ids of parts already seen are
-    looked up, and new ones are encoded, many words in one call with a line feed
-    between them.  Other texts, and those that hold an added token, are encoded as they are.
+    Where every white space of a text is one space or one line feed between other
+    characters, no pre-token crosses the place before it, so such a text is cut
+    into parts "word" (after a space) and "\\nword".  Parts that a worker doesn't
+    remember are encoded many in one call, and told apart by the only ids that
+    begin with their space or line feed.  Texts with any other white
+    space (a no-break space, say) or with an added token are encoded whole, and so
+    is every text if the file asks for more than byte-level pre-tokens.
     """
 
     def __init__(self, path: str):
@@ -200,64 +203,78 @@ class WordEncoder:
         self.coder = Tokenizer.from_file(path)
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.width = 2 if self.coder.get_vocab_size(with_added_tokens=True) <= 65_536 else 4
-        feed = self.coder.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
+        with open(path, "rb") as f:
+            rules = json.load(f)
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        own = rules.get("pre_tokenizer") or {}
+        self.cuts = rules.get("normalizer") is None and {k: own.get(k) for k in plain} == plain
         self.seen: dict[str, bytes] = {}
-        self.again: set[str] = set()
-        self.marks: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.coder.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True  # byte 32 in byte-level form
+        self.fed = np.arange(len(self.spaced)) == vocabulary.get("Ċ", -1)  # byte 10
+        self.cuts = self.cuts and "Ġ" in vocabulary and "Ċ" in vocabulary
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for lo in range(0, len(texts), 500) for e in self.coder.encode_batch_fast(texts[lo : lo + 500], add_special_tokens=False)]
-
-    def _encode_lines(self, lines: list[str]) -> list[bytes]:
-        """Ids of strings without white space beyond a leading space, by one call for many."""
-        out = []
-        for lo in range(0, len(lines), 1000):
-            part = lines[lo : lo + 1000]
-            ids = np.asarray(self.coder.encode("\n".join(part) + "\n", add_special_tokens=False).ids, f"<u{self.width}")
-            ends = np.flatnonzero(ids == self.feed) * self.width
-            raw, at = ids.tobytes(), 0
-            if len(ends) != len(part):
-                out += self._encode(part)
+        return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str], mark: str, begins: np.ndarray) -> None:
+        """Remembers the ids of parts, each of which begins with ``mark`` when it is encoded."""
+        chunks = [parts[lo : lo + 200] for lo in range(0, len(parts), 200)]
+        for chunk, raw in zip(chunks, self._encode([mark + mark.join(c) for c in chunks]), strict=True):
+            ids = np.frombuffer(raw, f"<u{self.width}")
+            cut = np.flatnonzero(begins[np.minimum(ids, len(begins) - 1)]) * self.width
+            key = "" if mark == " " else mark
+            if len(cut) != len(chunk):  # they can't be told apart
+                self.seen.update(zip([key + p for p in chunk], self._encode([mark + p for p in chunk]), strict=True))
+                continue
+            ends = [*cut[1:].tolist(), len(raw)]
+            self.seen.update((key + part, raw[lo:hi]) for part, lo, hi in zip(chunk, cut.tolist(), ends, strict=True))
+
+    def _learn(self, parts: dict[str, None]) -> None:
+        """Adds the parts to those that are remembered; what was not met for ``CACHE_WORDS`` / 2 new ones is forgotten."""
+        if len(self.seen) > CACHE_WORDS // 2:
+            self.old, self.seen = self.seen, {}
+        new: dict[str, None] = {}
+        marked = []
+        for part in parts:
+            known = self.old.get(part)
+            if known is not None:
+                self.seen[part] = known
                 continue
-            for end in ends.tolist():
-                out.append(raw[at:end])
-                at = end + self.width
-        return out
-
-    def _learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.seen)
-        self.again |= parts.difference(new)
-        if len(self.seen) + len(new) > CACHE_WORDS:  # what was met in one batch only is forgotten
-            self.seen = {w: self.seen[w] for w in self.again} if len(self.again) < CACHE_WORDS // 2 else {}
-            self.again = set()
-            new = parts.difference(self.seen)
-        # A word of letters and the marks after it are pre-tokens of their own: both may be known already.
-        cut = {w: len(w.rstrip(_MARKS)) for w in new}
-        stems = {w: w[:n] for w, n in cut.items() if n < len(w) and w[:n].isalpha()} if self.feed is not None else {}
-        marks = {w[cut[w] :] for w in stems}.difference(self.marks)
-        self.marks.update(zip(marks, self._encode(list(marks)), strict=True))
-        new = set(stems.values()).difference(self.seen) | new.difference(stems)
-        lines = [w for w in new if w[:1] == "\n" and len(w) > 1 and w[1:].isprintable()] if self.feed is not None else []
-        spaced = [w for w in new if w and w.isprintable()] if self.feed is not None else []
-        feed = b"" if self.feed is None else self._pack([self.feed])
-        self.seen.update((w, feed + ids) for w, ids in zip(lines, self._encode_lines([w[1:] for w in lines]), strict=True))
-        self.seen.update(zip(spaced, self._encode_lines([" " + w for w in spaced]), strict=True))
-        odd = list(new.difference(lines, spaced))
-        self.seen.update(zip(odd, self._encode([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
-        self.seen.update((w, self.seen[stem] + self.marks[w[len(stem) :]]) for w, stem in stems.items())
+            word = part.rstrip(_MARKS) if part[-1] in _MARKS else part
+            if word is not part and word.isalpha():  # letters and marks are pre-tokens of their own
+                marked.append((part, word))
+                if word not in self.seen:
+                    new[word] = None
+            else:
+                new[part] = None
+        self._encode_parts([p for p in new if p[0] != "\n"], " ", self.spaced)
+        self._encode_parts([p[1:] for p in new if p[0] == "\n"], "\n", self.fed)
+        tails = list({part[len(word) :] for part, word in marked})
+        ids = dict(zip(tails, self._encode(tails), strict=True))
+        self.seen.update((part, self.seen[word] + ids[part[len(word) :]]) for part, word in marked)
+
+    def _can_be_cut(self, text: str) -> bool:
+        """Whether all white space is single spaces and line feeds with other characters on both sides."""
+        words, n = text.split(), text.count(" ") + text.count("\n")
+        single = len(words) == n + 1 and len(text) == n + sum(map(len, words))
+        return self.cuts and single and "\u180e" not in text and not any(x in text for x in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        plain = [bool(t) and not any(x in t for x in ("  ", " \n", "\n ", "\n\n", *self.added)) and not t[0].isspace() for t in texts]
-        parts = [t.replace("\n", " \n").split(" ") if p else [""] for t, p in zip(texts, plain, strict=True)]
-        self._learn(set().union(*(x[1:] for x in parts)))
-        heads = self._encode([x[0] if p else t for x, p, t in zip(parts, plain, texts, strict=True)])
+        rows, missing = [], {}
+        for text in texts:
+            head, *parts = text.replace("\n", " \n").split(" ") if self._can_be_cut(text) else [text]
+            got = list(map(self.seen.get, parts))
+            if None in got:
+                missing.update(dict.fromkeys(p for p, ids in zip(parts, got, strict=True) if ids is None))
+            rows.append((head, parts, got))
+        self._learn(missing)
+        heads = self._encode([head for head, _, _ in rows])
         look = self.seen.__getitem__
-        return [head + b"".join(map(look, x[1:])) for head, x in zip(heads, parts, strict=True)]
+        return [head + b"".join([look(p) if ids is None else ids for p, ids in zip(parts, got, strict=True)] if None in got else got) for head, (_, parts, got) in zip(heads, rows, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -280,7 +297,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(tokenizer_path)
-        end, before = coder._pack([end_id]), 0
+        end, before = np.asarray([end_id], f"<u{coder.width}").tobytes(), 0
         part = TaskContext.get().partitionId()
         shard = ShardWriter(coder.width, part, 0, block_bytes)
         for batch in batches:
@@ -326,8 +343,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "partition", "start_in_partition", "n_tokens", "ids_crc32", "ids"])
-    return frame.astype({"doc_id": "Int64"})
+    columns = ["doc_id", "partition", "start_in_partition", "n_tokens", "ids_crc32", "ids"]
+    return frame_of(rows, columns, columns[:-1])
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -339,7 +356,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
             for raw in batch["content"]:
                 shard = Shard(bytes(raw))
                 found = [(id_of(k), np.frombuffer(x, f"<u{shard.width}").astype("<u4").tobytes()) for k in keys for x in shard.get(k)]
-                yield pd.DataFrame(found, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+                yield frame_of(found, ["doc_id", "ids"], ["doc_id"])
 
     small_batches(spark, 500, "4m")
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "doc_id long, ids binary")
