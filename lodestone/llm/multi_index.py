@@ -10,8 +10,9 @@ Codebooks are fitted by k-means on at most ``SAMPLE_ROWS`` rows, taken by a hash
 of their id; every row is indexed.  Cells are packed into shards of about
 ``SHARD_ROWS`` rows; a larger cell is split over several by a hash of the id, so
 one very common vector fills no single task.  A query goes only to shards with a
-cell that it visits.  Each shard gives its 20 best entries of a query, and a
-window over these few gives the result.
+cell that it visits.  The entries of a shard are repeated only where more than
+``QUERY_ROWS`` queries visit it, once for each block of so many.  Each shard gives
+its 20 best entries of a query, and a window over these few gives the result.
 
 Recall depends on ``share`` and on how clustered the vectors are.  The default
 is for vectors without clusters, where no index of this kind does with much less
@@ -32,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, checked_broadcast
 
 CENTROIDS = 64
 SAMPLE_ROWS = 16_384
 SHARE, LEAST = 0.6, 2_000
-SHARD_ROWS, QUERY_ROWS = 8_192, 2_048
+SHARD_ROWS, QUERY_ROWS = 8_192, 8_192
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -162,7 +163,6 @@ def nearest(
     index.pack(SHARD_ROWS)
     wanted = max(least, int(np.ceil(share * total)))
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,9 +173,14 @@ def nearest(
         return F.from_json(F.lit(str(numbers.tolist())), "array<int>")  # folded to one literal
 
     shard = F.element_at(array(index.first), F.col("cell") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(array(index.parts), F.col("cell") + 1)).cast("int")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    entries = cells.select(shard.alias("shard"), "vec_id", "cell", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.repartition("vec_id").mapInPandas(routed, "shard int, query_id long, v array<double>, visited array<int>").withColumn("block", block)
+    visits = scratch.table(asked.repartition("vec_id").mapInPandas(routed, "shard int, query_id long, v array<double>, visited array<int>"), "visits")
+    loads = visits.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    loads = scratch.table(loads, "loads")
+    entries = cells.select(shard.alias("shard"), "vec_id", "cell", "v").join(checked_broadcast(loads), "shard")
+    entries = entries.select("shard", "vec_id", "cell", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    loads = loads.select(F.col("shard").alias("s"), F.col("blocks").alias("n"))
+    queries = visits.join(checked_broadcast(loads), F.col("shard") == F.col("s"))
+    queries = queries.select("shard", "query_id", visits["v"], "visited", F.pmod(F.xxhash64("query_id"), F.col("n")).cast("int").alias("block"))
 
     def ranked(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import zlib
 from bisect import bisect_right
@@ -44,7 +45,7 @@ BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"LSSST01\n"
 _FOOTER = struct.Struct("<QQQQQQQII8s")
 #: Distinct parts of texts whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _MARKS = ".,;:!?#$%&*"
 
 
@@ -198,6 +199,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the others belong to other tasks
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)

@@ -280,6 +280,7 @@ def test_search_recall_and_order(spark):
 
 def test_search_of_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "SHARD_ROWS", 16)
+    monkeypatch.setattr(multi_index, "QUERY_ROWS", 3)
     rows = [(i, [1.0, 0.0, 0.5], 1) for i in range(90)] + [(100 + i, [float(i), 1.0, -1.0], 2) for i in range(30)]
     rows += [(200, None, 0), (220, [0.0, 0.0, 0.0], 0), (240, [1.0, None, 2.0], 0), (260, [float("nan"), 1.0, 1.0], 0), (280, [float("inf"), 1.0, 1.0], 0), (300, [1.0, 2.0], 0), (None, [1.0, 1.0, 1.0], 0), (7, [1.0, 0.0, 0.5], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int")
