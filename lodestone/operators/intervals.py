@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, width: int = 64) -> DataFrame:
-    """Points with the intervals [start, end] of the same keys that contain them.
+    """Points with the intervals [start, end] of the same keys that contain them; intervals that end before they start hold none.
 
-    A range join as an equi-join: intervals are listed under each bin of ``width``
-    that they touch, points under theirs, so the pairs looked at are those of a
-    bin, and a bin's key can be dealt out.
+    A range join as an equi-join: an interval is listed under the bins that it
+    touches at its own level, where bins (``width`` and its doublings) are no
+    shorter than it, so under two at most however long it is.  Points look into
+    their bin at each level that there is, of which there are at most 64.
     """
-    bins = intervals.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    at = points.withColumn("__bin", F.floor(F.col(point) / width))
-    joined = at.join(bins, [*keys, "__bin"])
-    return joined.where(F.col(point).between(F.col("start"), F.col("end"))).drop("__bin")
+    real = intervals.where(F.col("end") >= F.col("start"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("end") - F.col("start") + 1) / width))).cast("int")
+    leveled = real.withColumn("__level", level)
+    bin_of = lambda c: F.floor(c / (width * F.pow(F.lit(2.0), F.col("__level"))))
+    bins = leveled.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))))
+    at = points.crossJoin(F.broadcast(leveled.select("__level").distinct())).withColumn("__bin", bin_of(F.col(point)))
+    joined = at.join(bins, [*keys, "__level", "__bin"])
+    return joined.where(F.col(point).between(F.col("start"), F.col("end"))).drop("__bin", "__level")
 
 
 def innermost(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,9 +94,18 @@ def hunk_units(hunks: DataFrame, units: DataFrame, keys: list[str], around: int)
 
 
 def merge_units(units: DataFrame) -> DataFrame:
-    """One row a unit_id with the sorted union of its lines and diagnostics."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return units.groupBy("unit_id").agg(union("lines"), union("diagnostics"))
+    """One row a unit_id with the sorted union of its lines and diagnostics; null elements go.
+
+    Values are made distinct by a shuffle before they are gathered, so a unit of
+    very many rows is only as large as its distinct values.
+    """
+
+    def union(c: str) -> DataFrame:
+        one = units.select("unit_id", F.explode_outer(c).alias("v")).distinct()
+        return one.groupBy("unit_id").agg(F.array_sort(F.collect_list("v")).alias(c))
+
+    a, b = union("lines"), union("diagnostics").withColumnRenamed("unit_id", "__u")
+    return a.join(b, a["unit_id"].eqNullSafe(b["__u"])).drop("__u")
 
 
 def ordinals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

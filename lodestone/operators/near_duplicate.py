@@ -1,8 +1,8 @@
 """Near-duplicate screening with exact rational thresholds.
 
 Probes and references are token streams.  Pairs that can matter share a shingle,
-so candidates come from an equi-join on shingle hashes; equal streams shorter than
-a shingle come from a join on the stream's hash.  Thresholds are compared by
+so candidates come from an equi-join on the rarest shingle hashes; equal streams,
+however short, come from a join on the stream's hash.  Thresholds are compared by
 whole-number products, never by division.
 """
 
@@ -94,7 +94,7 @@ def at_least(part: Column, whole: Column, share: tuple[int, int]) -> Column:
 
 
 def decide(pairs: DataFrame, policy: dict = POLICY) -> DataFrame:
-    """Adds signals and decision (duplicate, gray, clear) from shared, n_probe, n_ref and, where there, equal, run, n_tokens."""
+    """Adds signals and decision (duplicate, gray, clear) from shared, n_probe, n_ref and, where there, equal, run and n_tokens (of the shorter stream), shape_shared, shape_probe, shape_ref."""
     s, a, b = F.col("shared"), F.col("n_probe"), F.col("n_ref")
     union, small = a + b - s, F.least("n_probe", "n_ref")
     hard, gray = s >= policy["hard_shared"], s >= policy["gray_shared"]
@@ -106,6 +106,9 @@ def decide(pairs: DataFrame, policy: dict = POLICY) -> DataFrame:
         F.when(gray & at_least(s, union, policy["gray_jaccard"]), "gray_jaccard"),
         F.when(gray & at_least(s, small, policy["gray_containment"]), "gray_containment"),
     ]
+    if "shape_shared" in pairs.columns:
+        alike = F.col("shape_shared")
+        signals.append(F.when((alike >= policy["shape_shared"]) & at_least(alike, F.least("shape_probe", "shape_ref"), policy["shape_containment"]), "gray_shape"))
     found = pairs.withColumn("signals", F.array_sort(F.filter(F.array(*signals).cast("array<string>"), lambda x: x.isNotNull())))
     strong = F.exists("signals", lambda x: ~x.startswith("gray"))
     return found.withColumn("decision", F.when(strong, "duplicate").when(F.size("signals") > 0, "gray").otherwise("clear"))
@@ -184,6 +187,88 @@ def longest_runs(pairs: DataFrame, a: str = "probe_tokens", b: str = "ref_tokens
     return pairs.withColumn("run", F.pandas_udf(runs, "int", F.PandasUDFType.SCALAR_ITER)(a, b))
 
 
+def candidate_pairs(sets: DataFrame, path: str) -> DataFrame:
+    """(probe, ref), distinct: keys of two sides that can share as many elements as the smaller one needs.
+
+    ``sets`` (key, side, set, size, needed): side 0 holds probes, 1 references; the
+    one of no larger ``size`` must share ``needed`` elements.  So the other has one
+    of its rarest elements, all but that many and one more, and only those are
+    joined.  ``path`` takes the elements that both sides have.
+    """
+    elements = sets.select("key", "side", "size", "needed", F.explode("set").alias("h"))
+    common = elements.groupBy("h").agg(F.count("*").alias("c"), F.min("side").alias("first"), F.max("side").alias("last")).where("first <> last").select("h", "c")
+    shared = graph.written(elements.join(common, "h"), path)
+    listed = shared.groupBy("key", "side", "size", "needed").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
+    places = (F.size("l") - F.col("needed") + 1).cast("int")
+    prefix = listed.where(places > 0).select("key", "side", "size", F.explode(F.slice("l", F.lit(1), places)).alias("e")).select("key", "side", "size", "e.h")
+    other = shared.select(F.col("key").alias("other"), F.col("side").alias("other_side"), F.col("size").alias("other_size"), "h")
+    met = prefix.join(other, "h").where("side <> other_side and size <= other_size")
+    return met.select(F.when(F.col("side") == 0, F.col("key")).otherwise(F.col("other")).alias("probe"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("key")).alias("ref")).distinct()
+
+
+def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY) -> DataFrame:
+    """(id, n_shingles, decision) of every probe (id, tokens, optionally issue) against references (tokens).
+
+    Equal streams are compared once.  duplicate: an equal stream, content shingles
+    or a common run; gray: fewer shared shingles, or the shape (identifiers and
+    numbers masked); abstain: an issue, or too short to be clear.  A null or empty
+    stream equals nothing.  Candidates for a run are exact too: a run that covers
+    its share of a stream leaves out at most the rest of its positions, so all other
+    distinct shingles are shared.  Only pairs that are still open are scanned for it.
+    """
+    folder = graph.work_folder(probes.sparkSession)
+    issue = F.coalesce("issue", F.lit(False)) if "issue" in probes.columns else F.lit(False)
+    stream = F.coalesce("tokens", F.array().cast("array<string>"))
+
+    def streams(df: DataFrame, name: str) -> DataFrame:
+        one = df.groupBy("key").agg(F.first("tokens").alias("tokens")).withColumn("masked", shape(F.col("tokens")))
+        return graph.written(
+            one.select(
+                "key", "tokens", F.size("tokens").alias("n_tokens"), shingles(F.col("tokens"), CONTENT_WIDTH).alias("content"),
+                shingles(F.col("masked"), SHAPE_WIDTH).alias("shape"), F.sha2(F.array_join("masked", "\u0001"), 256).alias("shape_key"),
+            ), f"{folder}/{name}",
+        )
+
+    keyed = lambda df, *cols: df.select(*cols, stream.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", "\u0001"), 256))
+    asked = keyed(probes, "id", issue.alias("issue"))
+    left, right = streams(asked, "probes"), streams(keyed(references), "references")
+    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+
+    def needing(column: str, size: Column, needed: Column, least: int = 0) -> DataFrame:
+        rows = sides.where(size >= least).select("key", "side", F.col(column).alias("set"), size.alias("size"), needed.cast("int").alias("needed"))
+        return candidate_pairs(rows, f"{folder}/elements-{column}-{least}")
+
+    of = lambda n, name: F.ceil(n * policy[name][0] / policy[name][1])
+    n_content, n_shape, n_tokens = F.size("content"), F.size("shape"), F.col("n_tokens")
+    pairs = needing("content", n_content, F.greatest(F.lit(policy["gray_shared"]), of(n_content, "gray_containment")))
+    pairs = pairs.union(needing("content", n_tokens, F.greatest(F.lit(1), n_content - (n_tokens - of(n_tokens, "run_coverage"))), policy["run_tokens"]))
+    pairs = pairs.union(needing("shape", n_shape, F.greatest(F.lit(policy["shape_shared"]), of(n_shape, "shape_containment")))).distinct()
+
+    a = left.select(F.col("key").alias("probe"), F.col("content").alias("pc"), F.col("shape").alias("ps"), F.col("n_tokens").alias("pn"))
+    b = right.select(F.col("key").alias("ref"), F.col("content").alias("rc"), F.col("shape").alias("rs"), F.col("n_tokens").alias("rn"))
+    shared = lambda x, y: F.size(F.array_intersect(x, y))
+    counted = pairs.join(a, "probe").join(b, "ref").select(
+        "probe", "ref", shared("pc", "rc").alias("shared"), F.size("pc").alias("n_probe"), F.size("rc").alias("n_ref"),
+        shared("ps", "rs").alias("shape_shared"), F.size("ps").alias("shape_probe"), F.size("rs").alias("shape_ref"), F.least("pn", "rn").alias("n_tokens"),
+    )
+    decided = graph.written(decide(counted, policy), f"{folder}/decided")
+    unsure = decided.where((F.col("decision") != "duplicate") & (F.col("n_tokens") >= policy["run_tokens"]) & (F.col("shared") > 0)).drop("signals", "decision")
+    words = lambda df, key, name: df.select(F.col("key").alias(key), F.col("tokens").alias(name))
+    scanned = longest_runs(unsure.join(words(left, "probe", "probe_tokens"), "probe").join(words(right, "ref", "ref_tokens"), "ref"))
+    found = decided.select("probe", "decision").union(decide(scanned.drop("probe_tokens", "ref_tokens"), policy).select("probe", "decision"))
+    best = found.groupBy(F.col("probe").alias("key")).agg(F.bool_or(F.col("decision") == "duplicate").alias("hard"), F.bool_or(F.col("decision") == "gray").alias("soft"))
+    same = right.where("n_tokens > 0").select("key", F.lit(True).alias("equal"))
+    alike = right.select("shape_key").distinct().withColumn("alike", F.lit(True))
+    known = left.select("key", "shape_key", "n_tokens", n_content.alias("n_shingles")).join(best, "key", "left").join(same, "key", "left").join(alike, "shape_key", "left")
+    known = known.fillna(False, ["hard", "soft", "equal", "alike"])
+    decision = (
+        F.when(F.col("issue"), "abstain").when(F.col("equal") | F.col("hard"), "duplicate")
+        .when(F.col("soft") | (F.col("alike") & (F.col("n_tokens") >= policy["run_tokens"])), "gray")
+        .when(F.col("n_shingles") < policy["least_shingles"], "abstain").otherwise("clear")
+    )
+    return asked.select("id", "key", "issue").join(known, "key").select("id", "n_shingles", decision.alias("decision"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, width: int, most: int = 5_000_000) -> DataFrame:
     """(doc_id, n_shared): documents that share shingles with a benchmark, and how many distinct ones.
 

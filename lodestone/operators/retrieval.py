@@ -121,19 +121,32 @@ def similarities(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def vector_ranking(pairs: DataFrame, minimum: float = MIN_SIMILARITY, limit: int = VECTOR_LIMIT) -> DataFrame:
-    """The most similar records of each unit, none below ``minimum``."""
-    return ranked(pairs.where(F.col("similarity") >= minimum), [F.desc("similarity"), F.asc("rule_id")], limit)
+    """The most similar records of each unit, none below ``minimum``; ties by ``overlap`` and ``authority`` where there, then rule_id."""
+    ties = [F.desc(F.coalesce(c, F.lit(0))) for c in ("overlap", "authority") if c in pairs.columns]
+    return ranked(pairs.where(F.col("similarity") >= minimum), [F.desc("similarity"), *ties, F.asc("rule_id")], limit)
 
 
 def reciprocal_rank_fusion(exact: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(unit_id, rule_id, exact_rank, exact_score, vector_rank, similarity, rrf_score, rank): a full outer join of two rankings."""
-    e = exact.select("unit_id", "rule_id", F.col("rank").alias("exact_rank"), F.col("score").alias("exact_score"))
-    v = vector.select("unit_id", "rule_id", F.col("rank").alias("vector_rank"), "similarity")
+    """(unit_id, rule_id, exact_rank, exact_score, vector_rank, similarity, rrf_score, rank): a full outer join of two rankings.
+
+    ``decision``, ``authority`` and ``overlap`` are carried where both rankings have
+    them; records of unknown applicability come after others, then by authority.
+    """
+    both_have = [c for c in ("decision", "authority", "overlap") if c in exact.columns and c in vector.columns]
+    e = exact.select("unit_id", "rule_id", F.col("rank").alias("exact_rank"), F.col("score").alias("exact_score"), *(F.col(c).alias(f"__e_{c}") for c in both_have))
+    v = vector.select("unit_id", "rule_id", F.col("rank").alias("vector_rank"), "similarity", *(F.col(c).alias(f"__v_{c}") for c in both_have))
     both = e.join(v, ["unit_id", "rule_id"], "full_outer")
+    for c in both_have:
+        merged = F.coalesce if c == "decision" else F.greatest
+        both = both.withColumn(c, merged(f"__e_{c}", f"__v_{c}")).drop(f"__e_{c}", f"__v_{c}")
     part = [F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(c)), F.lit(0.0)) for c in ("exact_rank", "vector_rank")]
     fused = both.withColumn("rrf_score", F.round(part[0] + part[1], 8))
-    order = [F.desc("rrf_score"), F.col("exact_rank").isNull(), F.desc(F.coalesce("exact_score", F.lit(0))), F.desc(F.coalesce("similarity", F.lit(-1.0))), F.asc("rule_id")]
-    return ranked(fused, order)
+    order = [F.desc("rrf_score"), F.col("exact_rank").isNull(), F.desc(F.coalesce("exact_score", F.lit(0))), F.desc(F.coalesce("similarity", F.lit(-1.0)))]
+    if "decision" in both_have:
+        order.append(F.coalesce(F.col("decision") == "unknown", F.lit(False)).asc())
+    if "authority" in both_have:
+        order.append(F.desc(F.coalesce("authority", F.lit(0))))
+    return ranked(fused, [*order, F.asc("rule_id")])
 
 
 def pool_fusion(hits: DataFrame, arms: dict[str, tuple[str, ...]] = ARMS, pools: dict[str, tuple[int, float]] = POOLS, k: int = RRF_K) -> DataFrame:

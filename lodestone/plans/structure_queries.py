@@ -253,13 +253,11 @@ def shingle_jaccard_pairs(spark, sf_dir):
 
 
 def screening_decisions(spark, sf_dir):
-    """The final decision for each document against the benchmark as its reference."""
-    probes = _sets(spark, sf_dir).select(F.col("doc_id").alias("id"), "set")
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r]+"), lambda w: w != "")
-    refs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), N.shingles(words, N.CONTENT_WIDTH).alias("set"))
-    decided = N.decide(N.shared_counts(probes, refs)).select("probe_id", "decision")
-    issues = probes.select(F.col("id").alias("probe_id"), F.lit(False).alias("issue"), F.lit(False).alias("incomplete"), F.size("set").alias("n_shingles"))
-    return N.axis_decision(decided, issues)
+    """The final decision for each document against the benchmark as its reference, on content, runs and shape."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
+    probes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))
+    found = N.screen(probes, table(spark, sf_dir, "benchmark").select(words.alias("tokens")))
+    return found.select(F.col("id").alias("probe_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "decision")
 
 
 def benchmark_contamination(spark, sf_dir):
@@ -285,6 +283,20 @@ _WORDS7_SQL = """
     s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 6], chr(1)) AS g FROM i),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
 """
+
+
+def _screened(p, source):
+    """Positions (i), content (s) and shape sets (m), and sizes with the streams (n) of a side, by the prefix of their names."""
+    return f"""
+    {p}w AS (SELECT id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM ({source})),
+    {p}h AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[\\p{{L}}_]') THEN '<id>' WHEN regexp_matches(x, '^\\p{{N}}') THEN '<n>' ELSE x END) AS h FROM {p}w),
+    {p}i AS (SELECT id, i, array_to_string(w[i : i + 6], chr(1)) AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 5, 1))) AS i FROM {p}w)),
+    {p}s AS (SELECT DISTINCT id, g FROM {p}i),
+    {p}m AS (SELECT DISTINCT id, array_to_string(h[i : i + 10], chr(1)) AS g FROM (SELECT id, h, unnest(range(1, greatest(len(h) - 9, 1))) AS i FROM {p}h)),
+    {p}n AS (SELECT x.id, len(w) AS t, array_to_string(w, chr(1)) AS w, array_to_string(h, chr(1)) AS h, coalesce(s.n, 0) AS n, coalesce(m.n, 0) AS m FROM {p}h x
+        LEFT JOIN (SELECT id, count(*) AS n FROM {p}s GROUP BY id) s ON s.id = x.id LEFT JOIN (SELECT id, count(*) AS n FROM {p}m GROUP BY id) m ON m.id = x.id)"""
+
+
 _SIGNALS = "CASE WHEN (c >= 32 AND (10 * c >= 7 * (a + b - c) OR 5 * c >= 4 * least(a, b))) THEN 'duplicate' WHEN (c >= 16 AND (2 * c >= a + b - c OR 5 * c >= 3 * least(a, b))) THEN 'gray' ELSE 'clear' END"
 
 QUERIES = {
@@ -363,13 +375,16 @@ ORACLES = {
         p AS (SELECT x.doc_id AS probe_id, y.doc_id AS ref_id, count(*) AS c FROM z x JOIN z y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
         q AS (SELECT p.*, n1.n AS a, n2.n AS b FROM p JOIN n n1 ON n1.doc_id = probe_id JOIN n n2 ON n2.doc_id = ref_id)
         SELECT probe_id, ref_id, c AS shared, a AS n_probe, b AS n_ref, {_SIGNALS} AS decision FROM q WHERE {_SIGNALS} <> 'clear'""",
-    "screening_decisions": f"""WITH {_WORDS7_SQL},
-        bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM benchmark), bi AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 5, 1))) AS i FROM bw),
-        bs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 6], chr(1)) AS g FROM bi), bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
-        p AS (SELECT s.doc_id, bs.item_id, count(*) AS c FROM s JOIN bs ON s.g = bs.g GROUP BY ALL),
-        q AS (SELECT p.doc_id, {_SIGNALS} AS decision FROM (SELECT p.*, n.n AS a, bn.n AS b FROM p JOIN n ON n.doc_id = p.doc_id JOIN bn ON bn.item_id = p.item_id) p),
-        m AS (SELECT doc_id, bool_or(decision = 'duplicate') AS d, bool_or(decision = 'gray') AS g FROM q GROUP BY doc_id)
-        SELECT n.doc_id AS probe_id, CASE WHEN m.d THEN 'duplicate' WHEN m.g THEN 'gray' WHEN n.n < 32 THEN 'abstain' ELSE 'clear' END AS decision FROM n LEFT JOIN m ON m.doc_id = n.doc_id""",
+    "screening_decisions": f"""WITH {_screened("d", "SELECT doc_id AS id, text FROM documents")}, {_screened("b", "SELECT row_number() OVER () AS id, text FROM benchmark")},
+        p AS (SELECT x.id, y.id AS ref, count(*) AS c FROM ds x JOIN bs y ON x.g = y.g GROUP BY ALL),
+        r AS (SELECT id, ref, max(n) + 6 AS run FROM (SELECT id, ref, count(*) AS n FROM (SELECT x.id, y.id AS ref, x.i - y.i AS k, x.i - row_number() OVER (PARTITION BY x.id, y.id, x.i - y.i ORDER BY x.i) AS z FROM di x JOIN bi y ON x.g = y.g) GROUP BY id, ref, k, z) GROUP BY id, ref),
+        q AS (SELECT id, CASE WHEN run >= 64 AND 5 * run >= 3 * t THEN 'duplicate' ELSE {_SIGNALS} END AS decision
+              FROM (SELECT p.id, c, run, least(u.t, v.t) AS t, u.n AS a, v.n AS b FROM p JOIN r ON r.id = p.id AND r.ref = p.ref JOIN dn u ON u.id = p.id JOIN bn v ON v.id = p.ref)),
+        o AS (SELECT x.id FROM dm x JOIN bm y ON x.g = y.g JOIN dn u ON u.id = x.id JOIN bn v ON v.id = y.id GROUP BY x.id, y.id, u.m, v.m HAVING count(*) >= 48 AND 10 * count(*) >= 9 * least(u.m, v.m)),
+        f AS (SELECT id, bool_or(decision = 'duplicate') AS d, bool_or(decision = 'gray') AS g FROM q GROUP BY id)
+        SELECT u.id AS probe_id, u.n AS n_shingles, CASE WHEN (u.t > 0 AND u.w IN (SELECT w FROM bn)) OR f.d THEN 'duplicate'
+            WHEN f.g OR u.id IN (SELECT id FROM o) OR (u.t >= 64 AND u.h IN (SELECT h FROM bn)) THEN 'gray' WHEN u.n < 32 THEN 'abstain' ELSE 'clear' END AS decision
+        FROM dn u LEFT JOIN f ON f.id = u.id""",
     "benchmark_contamination": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM t), s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 12], chr(1)) AS g FROM i),
         bt AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM benchmark), bi AS (SELECT w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM bt), b AS (SELECT DISTINCT array_to_string(w[i : i + 12], chr(1)) AS g FROM bi)
         SELECT doc_id, count(*) AS n_shared FROM s WHERE g IN (SELECT g FROM b) GROUP BY doc_id""",
