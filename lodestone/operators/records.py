@@ -137,3 +137,33 @@ def annotations(clauses: DataFrame, hits: list[DataFrame], key: str = "clause_id
         found = found.unionByName(more)
     sets = found.distinct().groupBy(key).agg(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "value"))).alias("annotations"))
     return clauses.select(key).join(sets, key, "left").withColumn("annotations", F.coalesce("annotations", F.array().cast("array<string>")))
+
+
+def observed(truth: DataFrame, seen: DataFrame, case: str) -> DataFrame:
+    """(case, found, missing, extra): for each case of the truth (case, value) whether anything was seen, and the sorted differences.
+
+    A null value of the truth expects nothing; what is seen of other cases is left out.
+    """
+    t = truth.select(case, "value", F.lit(True).alias("wanted")).where("value is not null").distinct()
+    s = seen.select(case, "value", F.lit(True).alias("there")).where("value is not null").distinct()
+    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("value"))))
+    by_case = t.join(s, [case, "value"], "full").groupBy(case).agg(
+        F.coalesce(F.bool_or("there"), F.lit(False)).alias("found"), pick(F.col("there").isNull()).alias("missing"), pick(F.col("wanted").isNull()).alias("extra")
+    )
+    none = F.array().cast("array<string>")
+    cases = truth.select(case).distinct().join(by_case, case, "left")
+    return cases.select(case, F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("missing", none).alias("missing"), F.coalesce("extra", none).alias("extra"))
+
+
+def excerpts(lines: DataFrame, clauses: DataFrame, keys: list[str], before: int, after: int) -> DataFrame:
+    """(keys, clause_id, start, end, excerpt): the lines around each clause (keys, clause_id, start, end), as far as the document goes.
+
+    ``lines`` (keys, line, text).  A clause asks for each of its lines by number, so the
+    join is on (keys, line) and no document is gathered; repeated line numbers are an
+    error of the input and are joined in the order of their texts.
+    """
+    asked = clauses.select(*keys, "clause_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - before), F.col("end") + after)).alias("line"))
+    found = asked.join(lines.select(*keys, "line", "text"), [*keys, "line"])
+    return found.groupBy(*keys, "clause_id").agg(
+        F.min("line").alias("start"), F.max("line").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("excerpt")
+    )

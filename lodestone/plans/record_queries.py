@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as X
+from ..operators import graph, retrieval
 from ..operators import records as R
-from ..operators import retrieval
 from ..session import rows_of, table
+from ..sources import readers
+from ..sources.store import SnapshotStore
 
 _POLICY = [("F", "1-URGENT"), ("F", "2-HIGH"), ("O", "3-MEDIUM"), ("P", "1-URGENT")]
 _SHADOWS = [("page", "click", 100, 200), ("page", "signup", 0, 719), ("form", "click", 900, 1000)]
@@ -155,11 +157,73 @@ def score_conventions(spark, sf_dir):
     return n.select("n_nationkey", F.round(stats.ratio(h, h + w), 6).alias("open"), F.round(stats.ratio_or_zero(h, h + w), 6).alias("zero"), stats.ratio_or_perfect(h, w, F.lit(0), w).alias("perfect"))
 
 
+def snapshot_by_alias(spark, sf_dir):
+    """Parts published twice as one version, then read through the alias that was switched last."""
+    store = SnapshotStore(spark, graph.work_folder(spark))
+    p = table(spark, sf_dir, "part")
+    first = store.publish(p.select("p_partkey", "p_name"))
+    second = store.publish(p.select("p_partkey", "p_name", "p_brand").repartition("p_brand"))
+    if store.publish(p.select("p_partkey", "p_name", "p_brand")) != second:
+        raise AssertionError("equal content has two versions")
+    for version in (first, second):
+        store.switch_alias("current", version)
+    return store.load_alias("current")
+
+
+def strict_json_records(spark, sf_dir):
+    """Customers as JSON, some of it with a repeated, unknown or missing key, or none at all."""
+    c = table(spark, sf_dir, "customer")
+    key, more = F.concat(F.lit('{"key": '), F.col("c_custkey").cast("string")), F.concat(F.lit(', "nation": '), F.col("c_nationkey").cast("string"))
+    segment = F.col("c_mktsegment")
+    text = F.when(segment == "BUILDING", F.concat(key, more, F.lit(', "key": 1}'))).when(segment == "HOUSEHOLD", F.concat(key, more, F.lit(', "other": 1}')))
+    text = text.when(segment == "MACHINERY", F.concat(key, F.lit("}"))).when(segment == "FURNITURE", F.concat(key, more)).otherwise(F.concat(key, more, F.lit("}")))
+    found = readers.strict_records(c.select("c_custkey", text.alias("value")), "key long, nation long")
+    return found.select("c_custkey", "problem", F.col("record.key").alias("key"), F.col("record.nation").alias("nation"))
+
+
+def seed_discovery(spark, sf_dir):
+    """Pages' paths as seeds against an inventory of the pages with much HTML; those that fail have a reason."""
+    path = F.regexp_extract("url", r"^https?://[^/?#]+/?([^?#]*)", 1)
+    p = table(spark, sf_dir, "pages").select(path.alias("path"), F.length("html").alias("n")).where("path <> ''")
+    found, problems = readers.discovery(p.select("path").distinct(), p.where("n > 2000").select("path"), ["en/**", "fr/**", "de/*"], ["**/*5"])
+    return found.select("path", F.lit("found").alias("reason")).unionByName(problems)
+
+
+def hunk_texts(spark, sf_dir):
+    """Lines and quantities as start:count texts; others give nulls."""
+    li = table(spark, sf_dir, "lineitem")
+    text = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "R", "-").otherwise(":"), F.col("l_quantity").cast("int").cast("string"))
+    return readers.hunks(li.select("l_orderkey", "l_linenumber", text.alias("hunk")))
+
+
+def sample_selection(spark, sf_dir):
+    """Suppliers of a nation as samples of a category."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.col("s_nationkey").cast("string").alias("category"))
+    return readers.select_samples(s, category="3")
+
+
+def case_observation(spark, sf_dir):
+    """Truth cases (orders) observed live: found, what was seen, and whether it agrees."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    truth = o.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("value"))
+    seen = li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linestatus").alias("value"))
+    return R.observed(truth, seen, "case_id").select("case_id", "found", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
+def review_excerpts(spark, sf_dir):
+    """Turns of the assistant with the turn before and after them, as one text."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    clauses = c.where("role = 'assistant'").select("conv_id", F.concat_ws(":", "conv_id", "line").alias("clause_id"), F.col("line").alias("start"), F.col("line").alias("end"))
+    found = R.excerpts(c.select("conv_id", "line", "text"), clauses, ["conv_id"], 1, 1)
+    return found.select("clause_id", "start", "end", F.sha2("excerpt", 256).alias("excerpt_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         with_signals, projected_facts, export_decisions, set_mismatch, normalized_changes, necessity_order, role_order, budget_summary, pooled_ratios, regrouped, document_catalog, field_scores, bound_calls, change_sides,
         clause_annotations, hint_tags, evidence_diagnostics, utc_times, score_conventions,
+        snapshot_by_alias, strict_json_records, seed_discovery, hunk_texts, sample_selection, case_observation, review_excerpts,
     )
 }
 
@@ -214,4 +278,18 @@ ORACLES = {
     "utc_times": "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS utc FROM events",
     "score_conventions": """WITH n AS (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < -900) AS h, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < -500) AS w FROM nation)
         SELECT n_nationkey, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) END AS open, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) ELSE 0 END AS zero, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) ELSE 1 END AS perfect FROM n""",
+    "snapshot_by_alias": "SELECT p_partkey, p_name, p_brand FROM part",
+    "strict_json_records": """WITH c AS (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 'duplicate_key' WHEN 'HOUSEHOLD' THEN 'unknown_key' WHEN 'MACHINERY' THEN 'missing_key' WHEN 'FURNITURE' THEN 'not_json' END AS problem FROM customer)
+        SELECT c_custkey, problem, CASE WHEN problem IS NULL THEN c_custkey END AS key, CASE WHEN problem IS NULL THEN c_nationkey END AS nation FROM c""",
+    "seed_discovery": r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/?#]+/?([^?#]*)', 1) AS path, length(html) AS n FROM pages), d AS (SELECT DISTINCT path FROM p WHERE path <> '')
+        SELECT path, CASE WHEN NOT (regexp_matches(path, '^(en|fr)/.*$') OR regexp_matches(path, '^de/[^/]*$')) OR regexp_matches(path, '^(?:.*/)?[^/]*5$') THEN 'not_allowed' WHEN path NOT IN (SELECT path FROM p WHERE n > 2000) THEN 'missing' ELSE 'found' END AS reason FROM d""",
+    "hunk_texts": """WITH h AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '-' ELSE ':' END AS k, CAST(l_quantity AS INTEGER) AS q FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_linenumber || k || q AS hunk, CASE WHEN k = ':' THEN l_linenumber END AS start, CASE WHEN k = ':' THEN q END AS count FROM h""",
+    "sample_selection": "SELECT s_suppkey AS sample_id, CAST(s_nationkey AS VARCHAR) AS category FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey",
+    "case_observation": """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS v FROM orders), s AS (SELECT DISTINCT l_orderkey AS id, l_linestatus AS v FROM lineitem)
+        SELECT id AS case_id, id IN (SELECT id FROM s) AS found, CASE WHEN (id, v) NOT IN (SELECT (id, v) FROM s) THEN v ELSE '' END AS missing,
+               coalesce((SELECT string_agg(s.v, ',' ORDER BY s.v) FROM s WHERE s.id = t.id AND s.v <> t.v), '') AS extra FROM t""",
+    "review_excerpts": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
+        SELECT a.conv_id || ':' || a.turn AS clause_id, min(b.turn) AS start, max(b.turn) AS "end", sha256(string_agg(b.text, chr(10) ORDER BY b.turn)) AS excerpt_sha256
+        FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn""",
 }

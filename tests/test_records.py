@@ -48,3 +48,60 @@ def test_similar_pairs_keep_every_pair_that_is_not_clear(spark):
     all_pairs = near_duplicate.shared_counts(df, df).where("probe_id < ref_id")
     want = {(r["probe_id"], r["ref_id"]): r["shared"] for r in near_duplicate.decide(all_pairs).where("decision <> 'clear'").collect()}
     assert got == want and len(want) > 20
+
+
+def test_screening_signals(spark):
+    """Equal short streams, a long run beside few shared shingles, shape alone, too short, empty and null streams, copies and issues."""
+    words = [f"w{i}" for i in range(400)]
+    numbers = [str(i) for i in range(300)]
+    half = [w for k in range(40) for w in (words[k], ",")]
+    reference = [["a", "b", "c"], words[:100], [*half, *numbers[:40]], []]
+    probes = [
+        (1, ["a", "b", "c"], False), (2, ["a", "b", "d"], False), (3, [*words[:70], *words[200:240]], False), (4, [*words[:20], *words[200:270]], False), (11, [*words[:20], *words[200:280]], False),
+        (5, [w for k in range(300, 340) for w in (words[k], ",")] + numbers[100:140], False), (6, [], False), (7, None, False), (8, words[:100], True), (9, words[:100], False), (9, words[:100], False),
+        (10, ["a"] * 200, False),
+    ]
+    p = spark.createDataFrame(probes, "id long, tokens array<string>, issue boolean")
+    r = spark.createDataFrame([(x,) for x in reference], "tokens array<string>")
+    got = values(near_duplicate.screen(p, r), "id", "decision")
+    want = {1: "duplicate", 2: "abstain", 3: "duplicate", 4: "clear", 11: "gray", 5: "gray", 6: "abstain", 7: "abstain", 8: "abstain", 9: "duplicate", 10: "abstain"}
+    assert got == sorted((i, want[i]) for i, _, _ in probes)
+    assert near_duplicate.screen(p.limit(0), r).count() == 0
+    assert {d for _, d in values(near_duplicate.screen(p, r.limit(0)), "id", "decision")} == {"abstain", "clear"}
+
+
+def test_run_with_repeated_shingles_is_found(spark):
+    """A stream of one repeated word has a single shingle; its long run with another stream still counts."""
+    p = spark.createDataFrame([(1, ["x"] * 80)], "id long, tokens array<string>")
+    r = spark.createDataFrame([(["y"] * 30 + ["x"] * 70,)], "tokens array<string>")
+    assert values(near_duplicate.screen(p, r), "decision") == [("duplicate",)]
+
+
+def test_long_intervals_take_few_bins(spark):
+    from lodestone.operators import intervals
+
+    spans = [(1, 0, 10**12), (2, 5, 5), (3, -700, 63), (4, 9, 3), (5, 64, 200)]
+    points = [(x,) for x in (-701, -700, 0, 5, 63, 64, 200, 201, 10**12, 10**12 + 1)]
+    i = spark.createDataFrame([("f", *s) for s in spans], "f string, id int, start long, end long")
+    p = spark.createDataFrame([("f", *x) for x in points], "f string, line long")
+    got = values(intervals.containing(p, i, ["f"], "line"), "line", "id")
+    assert got == sorted((x, s[0]) for (x,) in points for s in spans if s[1] <= x <= s[2])
+
+
+def test_excerpts_and_observation(spark):
+    lines = spark.createDataFrame([("d", n, f"t{n}") for n in range(1, 6)], "doc string, line int, text string")
+    clauses = spark.createDataFrame([("d", "a", 1, 1), ("d", "b", 3, 4), ("d", "z", 50, 51)], "doc string, clause_id string, start int, end int")
+    assert values(records.excerpts(lines, clauses, ["doc"], 1, 1), "clause_id", "start", "end", "excerpt") == [("a", 1, 2, "t1\nt2"), ("b", 2, 5, "t2\nt3\nt4\nt5")]
+    truth = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (3, "x")], "case int, value string")
+    seen = spark.createDataFrame([(1, "y"), (1, "z"), (2, "q"), (9, "x")], "case int, value string")
+    got = {r["case"]: (r["found"], r["missing"], r["extra"]) for r in records.observed(truth, seen, "case").collect()}
+    assert got == {1: (True, ["x"], ["z"]), 2: (True, [], ["q"]), 3: (False, ["x"], [])}
+
+
+def test_unknown_applicability_ranks_after(spark):
+    from lodestone.operators import retrieval
+
+    schema = "unit_id int, rule_id int, rank int, score long, decision string, authority int"
+    e = spark.createDataFrame([(1, 7, 1, 5, "unknown", 9), (2, 7, 1, 5, "unknown", 9), (2, 8, 1, 5, "applicable", 1), (2, 9, 1, 5, "applicable", 2)], schema)
+    v = spark.createDataFrame([], "unit_id int, rule_id int, rank int, similarity double, decision string, authority int")
+    assert values(retrieval.reciprocal_rank_fusion(e, v), "unit_id", "rank", "rule_id") == [(1, 1, 7), (2, 1, 9), (2, 2, 8), (2, 3, 7)]
