@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -47,6 +48,9 @@ _FOOTER = struct.Struct("<QQQQQQQII8s")
 #: Distinct parts of texts whose ids a worker remembers.
 CACHE_WORDS = 1_200_000
 _MARKS = ".,;:!?#$%&*"
+#: White space other than spaces and line feeds.
+_ODD_ASCII = "\t\r\v\f\x1c\x1d\x1e\x1f"
+_ODD = re.compile(r"[^\S \n]|\u180e")
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -234,10 +238,8 @@ class WordEncoder:
             ends = [*cut[1:].tolist(), len(raw)]
             self.seen.update((key + part, raw[lo:hi]) for part, lo, hi in zip(chunk, cut.tolist(), ends, strict=True))
 
-    def _learn(self, parts: dict[str, None]) -> None:
-        """Adds the parts to those that are remembered; what was not met for ``CACHE_WORDS`` / 2 new ones is forgotten."""
-        if len(self.seen) > CACHE_WORDS // 2:
-            self.old, self.seen = self.seen, {}
+    def _learn(self, parts: set[str]) -> None:
+        """Adds the parts to those that are remembered."""
         new: dict[str, None] = {}
         marked = []
         for part in parts:
@@ -258,25 +260,35 @@ class WordEncoder:
         ids = dict(zip(tails, self._encode(tails), strict=True))
         self.seen.update((part, self.seen[word] + ids[part[len(word) :]]) for part, word in marked)
 
-    def _can_be_cut(self, text: str) -> bool:
-        """Whether all white space is single spaces and line feeds with other characters on both sides."""
-        words, n = text.split(), text.count(" ") + text.count("\n")
-        single = len(words) == n + 1 and len(text) == n + sum(map(len, words))
-        return self.cuts and single and "\u180e" not in text and not any(x in text for x in self.added)
+    def _cut(self, text: str) -> list[str]:
+        """The text in parts; those of repeated, leading or trailing white space are "" or a lone line feed.  Other texts are one part."""
+        odd = any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text)
+        if odd or not self.cuts or any(x in text for x in self.added):
+            return [text]
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        rows, missing = [], {}
+        """Packed ids of each text; what was not met for ``CACHE_WORDS`` / 2 new parts is forgotten."""
+        if len(self.seen) > CACHE_WORDS // 2:
+            self.old, self.seen = self.seen, {}
+        look = self.seen.__getitem__
+        rows, missing = [], set()
         for text in texts:
-            head, *parts = text.replace("\n", " \n").split(" ") if self._can_be_cut(text) else [text]
-            got = list(map(self.seen.get, parts))
-            if None in got:
-                missing.update(dict.fromkeys(p for p, ids in zip(parts, got, strict=True) if ids is None))
+            head, *parts = self._cut(text)
+            if not head:
+                head, parts = text, []
+            try:
+                got = b"".join(map(look, parts))
+            except KeyError:
+                got, new = None, set(parts).difference(self.seen)
+                if new.isdisjoint(("", "\n")):
+                    missing |= new
+                else:
+                    head, parts = text, []
             rows.append((head, parts, got))
         self._learn(missing)
         heads = self._encode([head for head, _, _ in rows])
-        look = self.seen.__getitem__
-        return [head + b"".join([look(p) if ids is None else ids for p, ids in zip(parts, got, strict=True)] if None in got else got) for head, (_, parts, got) in zip(heads, rows, strict=True)]
+        return [head + (b"".join(map(look, parts)) if got is None else got) for head, (_, parts, got) in zip(heads, rows, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
