@@ -260,12 +260,10 @@ class WordEncoder:
         ids = dict(zip(tails, self._encode(tails), strict=True))
         self.seen.update((part, self.seen[word] + ids[part[len(word) :]]) for part, word in marked)
 
-    def _cut(self, text: str) -> list[str]:
-        """The text in parts; those of repeated, leading or trailing white space are "" or a lone line feed.  Other texts are one part."""
+    def _can_be_cut(self, text: str) -> bool:
+        """Whether it has no white space but spaces and line feeds, and no added token; ``encode`` finds those that aren't single by their parts."""
         odd = any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text)
-        if odd or not self.cuts or any(x in text for x in self.added):
-            return [text]
-        return text.replace("\n", " \n").split(" ")
+        return self.cuts and not odd and not any(x in text for x in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; what was not met for ``CACHE_WORDS`` / 2 new parts is forgotten."""
@@ -274,7 +272,7 @@ class WordEncoder:
         look = self.seen.__getitem__
         rows, missing = [], set()
         for text in texts:
-            head, *parts = self._cut(text)
+            head, *parts = text.replace("\n", " \n").split(" ") if self._can_be_cut(text) else [text]
             if not head:
                 head, parts = text, []
             try:
@@ -283,7 +281,7 @@ class WordEncoder:
                 got, new = None, set(parts).difference(self.seen)
                 if new.isdisjoint(("", "\n")):
                     missing |= new
-                else:
+                else:  # repeated or trailing white space
                     head, parts = text, []
             rows.append((head, parts, got))
         self._learn(missing)
