@@ -139,3 +139,10 @@ def set_version(prefix: str, members: Column) -> Column:
 def utc_timestamp(text: Column) -> Column:
     """A timestamp from ISO text that ends in Z or +00:00; null for any other zone."""
     return F.when(text.rlike(r"(Z|\+00:00)$"), F.try_to_timestamp(text))
+
+
+def escape_markdown(text: Column) -> Column:
+    """The text with its markup characters as entities or behind a backslash."""
+    for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(character), F.lit(entity))
+    return F.regexp_replace(text, r"([\\`*_\[\]#|])", r"\\$1")

@@ -5,10 +5,14 @@ Every operator is a plan of joins, groupings and windows; keys are given by name
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, ratio_or_perfect
+from ..functions.text import escape_markdown
 from ..session import small_side
 
 # Necessities of a context candidate and roles of a match, in order.
@@ -167,3 +171,42 @@ def excerpts(lines: DataFrame, clauses: DataFrame, keys: list[str], before: int,
     return found.groupBy(*keys, "clause_id").agg(
         F.min("line").alias("start"), F.max("line").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("excerpt")
     )
+
+
+def extracted(documents: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], media_type: str = "media_type") -> DataFrame:
+    """The rows of every extractor over the documents of its media type; a type without one is an error."""
+    other = documents.where(F.col(media_type).isNull() | ~F.col(media_type).isin(*extractors)).select(media_type).first()
+    if other is not None:
+        raise ValueError(f"unsupported media type: {other[0]}")
+    return reduce(DataFrame.unionByName, (extract(documents.where(F.col(media_type) == kind)) for kind, extract in extractors.items()))
+
+
+def span_problems(spans: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """``spans`` (keys, start, end, anchor) with ``problem``, null where a span lies in its document (keys, n_lines) and its anchor names it.
+
+    A span has the first that holds of unknown_document, no_lines (null, under 1 or
+    reversed), out_of_range and other_anchor (a null anchor too).
+    """
+    start, end = F.col("start"), F.col("end")
+    known = documents.select(*keys, F.col("n_lines").alias("__lines"), F.lit(True).alias("__known"))
+    anchor = F.concat(F.lit("L"), start.cast("string"), F.lit("-L"), end.cast("string"))
+    problem = F.when(F.col("__known").isNull(), "unknown_document").when(~F.coalesce((start >= 1) & (start <= end), F.lit(False)), "no_lines")
+    problem = problem.when(end > F.coalesce("__lines", F.lit(0)), "out_of_range").when(~F.col("anchor").eqNullSafe(anchor), "other_anchor")
+    return spans.join(known, keys, "left").withColumn("problem", problem).drop("__lines", "__known")
+
+
+def rendered(titles: DataFrame, entries: DataFrame, key: str, categories: dict[str, str]) -> DataFrame:
+    """(key, markdown): the title of each document (key, title), then its entries (key, category, ordinal, title) under the label of each category.
+
+    Categories come in the order of ``categories``; those without entries, and entries
+    of other categories, aren't shown.  A section is gathered by (key, category) first.
+    """
+    line = F.concat(F.lit("- "), escape_markdown(F.coalesce("title", F.lit(""))))
+    place = role_order(F.col("category"), tuple(categories))
+    sections = entries.where(F.col("category").isin(*categories)).groupBy(key, "category").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("lines"))
+    label = F.coalesce(*(F.when(F.col("category") == c, label) for c, label in categories.items()))
+    text = F.concat(F.lit("### "), label, F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    whole = sections.select(key, F.struct(place.alias("place"), text.alias("text")).alias("section")).groupBy(key).agg(F.array_sort(F.collect_list("section")).alias("sections"))
+    body = F.array_join(F.transform(F.coalesce("sections", F.array().cast("array<struct<place:int,text:string>>")), lambda x: F.concat(F.lit("\n"), x["text"])), "")
+    head = F.concat(F.lit("# "), escape_markdown(F.coalesce("title", F.lit(""))), F.lit("\n"))
+    return titles.select(key, "title").join(whole, key, "left").select(key, F.concat(head, body).alias("markdown"))

@@ -10,7 +10,7 @@ from ..operators import graph, retrieval
 from ..operators import records as R
 from ..session import rows_of, table
 from ..sources import readers
-from ..sources.store import SnapshotStore
+from ..sources.store import SnapshotStore, load_projection, publish_projection
 
 _POLICY = [("F", "1-URGENT"), ("F", "2-HIGH"), ("O", "3-MEDIUM"), ("P", "1-URGENT")]
 _SHADOWS = [("page", "click", 100, 200), ("page", "signup", 0, 719), ("form", "click", 900, 1000)]
@@ -218,12 +218,42 @@ def review_excerpts(spark, sf_dir):
     return found.select("clause_id", "start", "end", F.sha2("excerpt", 256).alias("excerpt_sha256"))
 
 
+def sealed_projection(spark, sf_dir):
+    """Suppliers bound to nations where they are in credit, the others left out on purpose; published in two phases and read back."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("atom_id"), F.col("s_nationkey").cast("string").alias("binding_id"), "s_acctbal")
+    bound = s.where("s_acctbal >= 0").select("binding_id", "atom_id")
+    store = SnapshotStore(spark, graph.work_folder(spark))
+    parts = {"atoms": s.select("atom_id"), "bindings": bound.select("binding_id").distinct(), "binding_atoms": bound, "unclassified": s.where("s_acctbal < 0").select("atom_id")}
+    return load_projection(store, publish_projection(store, parts))["binding_atoms"]
+
+
+def extraction_spans(spark, sf_dir):
+    """Items as spans of their orders, extracted by line status, with what is wrong about them."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("n_lines"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("end"), "l_linestatus", "l_returnflag")
+    anchor = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"), F.lit("-L"), F.col("end").cast("string"))
+
+    def spans(df, wrong):
+        return df.select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("start"), "end", F.when(F.col("l_returnflag") == wrong, "L1").otherwise(anchor).alias("anchor"))
+
+    found = R.extracted(li, {"F": lambda df: spans(df, "R"), "O": lambda df: spans(df, "A")}, "l_linestatus")
+    return R.span_problems(found, o, ["l_orderkey"])
+
+
+def rendered_projection(spark, sf_dir):
+    """Suppliers of each nation as Markdown, by the state of their account."""
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    category = F.when(F.col("s_acctbal") < 0, "debt").when(F.col("s_acctbal") < 9000, "credit").otherwise("large")
+    entries = s.select(F.col("s_nationkey").alias("n_nationkey"), category.alias("category"), F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("title"))
+    return R.rendered(n.select("n_nationkey", F.col("n_name").alias("title")), entries, "n_nationkey", {"large": "Large accounts", "debt": "In debt"})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         with_signals, projected_facts, export_decisions, set_mismatch, normalized_changes, necessity_order, role_order, budget_summary, pooled_ratios, regrouped, document_catalog, field_scores, bound_calls, change_sides,
         clause_annotations, hint_tags, evidence_diagnostics, utc_times, score_conventions,
-        snapshot_by_alias, strict_json_records, seed_discovery, hunk_texts, sample_selection, case_observation, review_excerpts,
+        snapshot_by_alias, strict_json_records, seed_discovery, hunk_texts, sample_selection, case_observation, review_excerpts, sealed_projection, extraction_spans, rendered_projection,
     )
 }
 
@@ -292,4 +322,12 @@ ORACLES = {
     "review_excerpts": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
         SELECT a.conv_id || ':' || a.turn AS clause_id, min(b.turn) AS start, max(b.turn) AS "end", sha256(string_agg(b.text, chr(10) ORDER BY b.turn)) AS excerpt_sha256
         FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn""",
+    "sealed_projection": "SELECT CAST(s_nationkey AS VARCHAR) AS binding_id, CAST(s_suppkey AS VARCHAR) AS atom_id FROM supplier WHERE s_acctbal >= 0",
+    "extraction_spans": """WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber AS start, CAST(trunc(l_quantity) AS INTEGER) AS "end", (l_linestatus, l_returnflag) IN (('F', 'R'), ('O', 'A')) AS wrong FROM lineitem),
+        o AS (SELECT o_orderkey, floor(o_totalprice / 5000) AS n FROM orders WHERE o_orderstatus <> 'P')
+        SELECT l_orderkey, l_linenumber, start, "end", CASE WHEN wrong THEN 'L1' ELSE 'L' || start || '-L' || "end" END AS anchor,
+               CASE WHEN n IS NULL THEN 'unknown_document' WHEN start < 1 OR start > "end" THEN 'no_lines' WHEN "end" > n THEN 'out_of_range' WHEN wrong THEN 'other_anchor' END AS problem FROM x LEFT JOIN o ON l_orderkey = o_orderkey""",
+    "rendered_projection": r"""WITH e AS (SELECT s_nationkey AS k, CASE WHEN s_acctbal < 0 THEN 1 WHEN s_acctbal >= 9000 THEN 0 END AS p, s_suppkey, '- ' || regexp_replace(s_name, '([\\`*_\[\]#|])', '\\\1', 'g') AS line FROM supplier),
+        c AS (SELECT k, p, chr(10) || '### ' || CASE p WHEN 0 THEN 'Large accounts' ELSE 'In debt' END || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) || chr(10) AS t FROM e WHERE p IS NOT NULL GROUP BY k, p)
+        SELECT n_nationkey, '# ' || regexp_replace(n_name, '([\\`*_\[\]#|])', '\\\1', 'g') || chr(10) || coalesce((SELECT string_agg(t, '' ORDER BY p) FROM c WHERE k = n_nationkey), '') AS markdown FROM nation""",
 }

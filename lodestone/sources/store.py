@@ -101,3 +101,28 @@ def seal_problems(atoms: DataFrame, bindings: DataFrame, binding_atoms: DataFram
     empty = bindings.join(binding_atoms, "binding_id", "left_anti").select(F.col("binding_id").alias("id"), F.lit("empty_binding").alias("problem"))
     unknown = used.join(atoms, "atom_id", "left_anti").select(F.col("atom_id").alias("id"), F.lit("unknown_atom").alias("problem"))
     return both.unionByName(neither).unionByName(empty).unionByName(unknown)
+
+
+#: Tables of a projection, in the order of ``seal_problems``.
+PARTS = ("atoms", "bindings", "binding_atoms", "unclassified")
+
+
+def publish_projection(store: SnapshotStore, parts: dict[str, DataFrame]) -> str:
+    """Publishes the tables of a projection in two phases, and gives the version of the whole.
+
+    First each table is a version of its own, which nothing points to (building).
+    The tables are read back and must have no seal problem; only then is the list of
+    their versions published (verified).  A second run of the same content changes
+    nothing, and one that breaks off leaves no verified version.
+    """
+    versions = [(name, store.publish(parts[name])) for name in PARTS]
+    problems = seal_problems(*(store.load(version) for _, version in versions))
+    first = problems.orderBy("problem", "id").first()
+    if first is not None:
+        raise SnapshotConflict(f"{first['problem']}: {first['id']}")
+    return store.publish(store.spark.createDataFrame(versions, "part string, index_version string").coalesce(1))
+
+
+def load_projection(store: SnapshotStore, version: str) -> dict[str, DataFrame]:
+    """The tables of a verified projection; its list has one row for each."""
+    return {row["part"]: store.load(row["index_version"]) for row in store.load(version).collect()}

@@ -1,6 +1,7 @@
 """Missing votes, dangling edges, one-sided keys and the other cases that whole tables don't show."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import consensus, graph, near_duplicate, records
 
@@ -105,3 +106,43 @@ def test_unknown_applicability_ranks_after(spark):
     e = spark.createDataFrame([(1, 7, 1, 5, "unknown", 9), (2, 7, 1, 5, "unknown", 9), (2, 8, 1, 5, "applicable", 1), (2, 9, 1, 5, "applicable", 2)], schema)
     v = spark.createDataFrame([], "unit_id int, rule_id int, rank int, similarity double, decision string, authority int")
     assert values(retrieval.reciprocal_rank_fusion(e, v), "unit_id", "rank", "rule_id") == [(1, 1, 7), (2, 1, 9), (2, 2, 8), (2, 3, 7)]
+
+
+def test_projection_is_verified_only_without_seal_problems(spark, tmp_path):
+    from lodestone.sources import store as S
+
+    store = S.SnapshotStore(spark, str(tmp_path))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    parts = {
+        "atoms": frame([("a",), ("b",)], "atom_id string"), "bindings": frame([("x",)], "binding_id string"),
+        "binding_atoms": frame([("x", "a")], "binding_id string, atom_id string"), "unclassified": frame([], "atom_id string"),
+    }
+    with pytest.raises(S.SnapshotConflict, match="not_classified: b"):
+        S.publish_projection(store, parts)
+    parts["unclassified"] = frame([("b",)], "atom_id string")
+    version = S.publish_projection(store, parts)
+    assert S.publish_projection(store, parts) == version
+    assert [tuple(r) for r in S.load_projection(store, version)["binding_atoms"].collect()] == [("x", "a")]
+
+
+def test_span_problems_and_media_types(spark):
+    spans = spark.createDataFrame(
+        [(1, 1, 2, "L1-L2"), (1, 2, 9, "L2-L9"), (1, 2, 1, "L2-L1"), (1, None, 1, "L1-L1"), (1, 1, 1, None), (2, 1, 1, "L1-L1"), (3, 1, 1, "L1-L1"), (None, 1, 1, "L1-L1")], "doc int, start int, end int, anchor string"
+    )
+    documents = spark.createDataFrame([(1, 3), (2, None)], "doc int, n_lines int")
+    got = records.span_problems(spans, documents, ["doc"]).collect()
+    want = [None, "out_of_range", "no_lines", "no_lines", "other_anchor", "out_of_range", "unknown_document", "unknown_document"]
+    assert sorted(str(r["problem"]) for r in got) == sorted(map(str, want))
+    typed = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "media_type string, n int")
+    by_type = {"a": lambda df: df.select("n"), "b": lambda df: df.select((F.col("n") * 10).alias("n"))}
+    assert sorted(r["n"] for r in records.extracted(typed, by_type).collect()) == [1, 3, 20]
+    for other in ("c", None):
+        with pytest.raises(ValueError, match="unsupported"):
+            records.extracted(spark.createDataFrame([(other, 1)], "media_type string, n int"), by_type)
+
+
+def test_rendered_documents(spark):
+    titles = spark.createDataFrame([(1, "A & *b*"), (2, None)], "doc int, title string")
+    entries = spark.createDataFrame([(1, "y", 2, "two|"), (1, "y", 1, None), (1, "x", 1, "<i>"), (1, "z", 1, "unknown"), (3, "x", 1, "no title")], "doc int, category string, ordinal int, title string")
+    got = dict(map(tuple, records.rendered(titles, entries, "doc", {"x": "X", "y": "Y", "w": "W"}).collect()))
+    assert got == {1: "# A &amp; \\*b\\*\n\n### X\n\n- &lt;i&gt;\n\n### Y\n\n- \n- two\\|\n", 2: "# \n"}
