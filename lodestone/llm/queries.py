@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, multi_index, near_dedup, quality, secrets, substring_dedup, token_shards, unigram, warc
+from . import exact_dedup, mixing, multi_index, near_dedup, prefix_trie, quality, quality_rules, secrets, substring_dedup, token_shards, unigram, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_quality": op2_quality,
@@ -64,6 +76,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -108,4 +123,28 @@ ORACLES = {
         SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c.root) AS component_id, min(c.root) = d.doc_id AS kept
         FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
     """,
+    "op11_prefix_trie": """
+        WITH bits AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab
+                      FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+        t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+              FROM conversations WHERE conv_id IS NOT NULL),
+        cs AS (SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                         lambda a, b: xor(a >> 8, tab[xor(a, b) % 256 + 1])), 4294967295) % 6 AS h
+               FROM (SELECT DISTINCT c FROM t), bits),
+        r AS (SELECT cs.c, 0 AS own, t.pos, t.role, t.text FROM cs JOIN t ON t.c = cs.c - cs.c % 100 AND t.pos < cs.h
+              UNION ALL SELECT t.c, 1, t.pos, t.role, t.text FROM t JOIN cs ON t.c = cs.c AND t.pos >= cs.h),
+        p AS (SELECT c, row_number() OVER w AS depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS k, length(text) AS points, count(*) OVER (PARTITION BY c) AS n
+              FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+        m AS (SELECT c, depth, k, points, n FROM p UNION ALL SELECT c, 0, '', 0, coalesce((SELECT max(p.n) FROM p WHERE p.c = cs.c), 0) FROM cs),
+        nodes AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, min(points) AS points, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256
+                  FROM m GROUP BY depth, k),
+        kids AS (SELECT left(k, CAST(64 * (depth - 1) AS BIGINT)) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON nodes.k = kids.k),
+        up AS (SELECT left(k, CAST(64 * a AS BIGINT)) AS k, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * points) AS saved_tokens
+               FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM own) GROUP BY 1)
+        SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(up.n_leaves AS BIGINT) AS n_leaves,
+               CAST(up.saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+        FROM own JOIN up ON up.k = own.k LEFT JOIN nodes q ON own.depth > 0 AND q.k = left(own.k, CAST(64 * (own.depth - 1) AS BIGINT))
+    """,
 }
