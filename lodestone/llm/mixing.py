@@ -12,11 +12,13 @@ Projected gradient, lazily projected: the gradient of a document's rate is
 in one vector of four numbers, and a rate is the projection of ``1 + posterior .
 steps`` to 0 and more.  Rates are never stored, and a step is one distributed sum.
 A step is scaled by the inverse Gram matrix of the documents that are not held
-at 0 and is halved until the (convex) objective falls, so it converges from
-anywhere.  ``RIDGE`` weighs the rates' distance from 1 against the squared
+at 0 and is halved until the (convex) objective falls.  Steps stay in the span of
+the posteriors, which may have fewer dimensions than there are domains (few labels,
+uniform texts).  ``RIDGE`` weighs the rates' distance from 1 against the squared
 residual: targets that can be met are met to about that share, and targets out
-of reach are met in the sense of least squares.  A fit that has not converged
-after ``MAX_STEPS`` raises.
+of reach are met in the sense of least squares; the steps then add up to large
+numbers, and the fit ends where the residual is within their rounding.  A fit that
+has not converged after ``MAX_STEPS`` raises.
 
 DataFrame and SQL functions only.  Word log odds are integers (thousandths), so
 sums don't depend on the order of rows.
@@ -48,6 +50,8 @@ MAX_ROWS = 20_000
 #: Buckets with weaker log odds or fewer labelled documents say nothing; the sum of the others is tempered, as words depend on each other.
 MIN_ODDS, MIN_DOCS, TEMPER = 1.0, 5, 0.7
 MAX_STEPS, TOLERANCE, RIDGE = 200, 1e-9, 1e-9
+#: Directions with less than this share of the largest variance aren't told apart; the rounding of a sum of a few products, relative to its parts.
+RANK_SHARE, ROUNDING = 1e-12, 16 * np.finfo(float).eps
 _SCALE = 1000
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -152,12 +156,14 @@ def fit_rates(weighted: DataFrame, weights: dict[str, float] | None = None, tota
     report = {"mass": mass.tolist(), "target": target.tolist(), "reached": mass.tolist(), "steps": 0}
     if scale == 0:
         return x, report
+    span = _span(gram / scale)  # a step outside the posteriors' span changes no rate
     objective, reached = square / scale / 2, mass
     for step in range(MAX_STEPS):
-        slope = (reached - target) / scale + RIDGE * x
+        slope = span @ (span.T @ ((reached - target) / scale + RIDGE * x))
         report |= {"reached": reached.tolist(), "steps": step}
-        move = -np.linalg.solve(gram / scale + RIDGE * np.eye(n), slope)
-        if -slope @ move <= TOLERANCE**2 or np.abs(slope).max() <= TOLERANCE:
+        move = -span @ np.linalg.solve(span.T @ gram @ span / scale + RIDGE * np.eye(span.shape[1]), span.T @ slope)
+        rounding = ROUNDING * np.abs(x).sum()  # of 1 + posterior . x, and so of the tokens reached
+        if -slope @ move <= TOLERANCE**2 or np.abs(slope).max() <= TOLERANCE + rounding:
             return x, report
         for _ in range(60):
             square, reached, gram = at(x + move)
@@ -172,6 +178,12 @@ def fit_rates(weighted: DataFrame, weights: dict[str, float] | None = None, tota
     raise RuntimeError(f"rates have not converged after {MAX_STEPS} steps: {report}")
 
 
+def _span(gram: np.ndarray) -> np.ndarray:
+    """An orthonormal basis (columns) of what the posteriors span."""
+    values, vectors = np.linalg.eigh(gram)
+    return vectors[:, values > RANK_SHARE * values.max()]
+
+
 def rate_column(steps: np.ndarray) -> F.Column:
     rate = F.lit(1.0)
     for k, x in enumerate(steps.tolist()):

@@ -94,6 +94,30 @@ def test_mixing_is_the_least_squares(spark, shares):
         mixing.fit_rates(df, {"q1t0": -1.0})
 
 
+@pytest.mark.parametrize("rank", [1, 2, 3])
+@pytest.mark.parametrize("shares", [(0.98, 0.001, 0.0185, 0.0005), (0.25, 0.25, 0.25, 0.25)])
+def test_mixing_where_posteriors_have_few_dimensions(spark, rank, shares):
+    """Fewer independent posteriors than domains, targets in and out of reach: the fit ends, at the least squares."""
+    rng = np.random.default_rng(rank)
+    p, t = rng.dirichlet([0.8] * rank, 40) @ rng.dirichlet([0.7] * 4, rank), rng.integers(1, 50, 40)
+    for target in (np.array(shares), (p * t[:, None]).sum(0) / t.sum()):
+        df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>").coalesce(1).cache()
+        steps, report = mixing.fit_rates(df, dict(zip(mixing.DOMAINS, target.tolist(), strict=True)))
+        wanted = t.sum() * target / target.sum()
+        best = np.linalg.norm(wanted - nonnegative_least_squares((p * t[:, None]).T, wanted))
+        rate = np.maximum(0, 1 + p @ steps)
+        assert np.linalg.norm(wanted - (p * (t * rate)[:, None]).sum(0)) <= best + 1e-4 * t.sum()
+        assert report["steps"] <= 40
+
+
+@pytest.mark.parametrize("known", [4, 60])
+def test_mixing_of_short_texts_with_few_labels(spark, known):
+    docs = spark.createDataFrame([(i, "one two three") for i in range(60)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2, i // 2 % 2) for i in range(known)], "doc_id long, quality int, toxic int").coalesce(1)
+    got = mixing.mixing_rates(docs, labels).toPandas()
+    assert len(got) == 60 and (got["rate"] >= 0).all()
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, 1), (None, 1, 1), (9, None, None), (10, 0, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark)
