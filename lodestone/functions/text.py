@@ -108,13 +108,30 @@ def source_family(path: Column, marker: str = "src") -> Column:
     return F.when(at > 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(1))), "/")).otherwise(parts[0])
 
 
+# Fixed values of the fragment rules.
+CLOSING = "\"'”’」』）)]}》〉"
+SOFT = "，、,:：。！？；!?; \t\n"
+MOST_CHARACTERS = 800
+_SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
+
+
 def sentence_pieces(text: Column) -> Column:
-    """A lossless split: pieces end after a line feed, after a full-width terminator, or after ! ? ; before space or the end."""
-    close = "[\"')\\]”’」』）]*"
-    piece = rf"([^\n。！？；!?;]*(?:\n\s*|[。！？；]{close}\s*|[!?;]+{close}(?:\s+|$)|[!?;]|$))"
+    """A lossless split: pieces end after a line feed, after a full-width terminator, or after ! ? ; where white space or the end follows.
+
+    Closing marks after a terminator and all white space belong to the piece before them.
+    """
+    close = "[\"'”’」』）)\\]}》〉]*"
+    piece = rf"(?s)(.*?(?:\n{_SPACE}*|[。！？；]{close}{_SPACE}*|[!?;]{close}(?:{_SPACE}+|\z))|.+\z)"
     return F.filter(F.regexp_extract_all(text, F.lit(piece), F.lit(1)), lambda x: x != "")
 
 
+def bounded_pieces(pieces: Column, most: int = MOST_CHARACTERS) -> Column:
+    """Pieces of at most ``most`` characters: a longer one is cut after the last soft character in the second half of its bound, else at the bound."""
+    half = most // 2
+    cut = rf"(?s)((?=.{{{most + 1}}})(?:.{{{half + 1},{most}}}(?<=[{SOFT}])|.{{{most}}})|.+)"
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > most, F.regexp_extract_all(p, F.lit(cut), F.lit(1))).otherwise(F.array(p))))
+
+
 def labelled_line(label: str, values: Column, most: int = 8) -> Column:
     """``label: a, b`` of the first values; null where there are none."""
     return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(values, 1, most), ", ")))

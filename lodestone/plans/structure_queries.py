@@ -161,8 +161,8 @@ def seal_check(spark, sf_dir):
 
 
 def sentence_fragments(spark, sf_dir):
-    """Number and length of each document's sentence pieces; no character is lost."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.sentence_pieces(F.coalesce("text", F.lit(""))).alias("p"))
+    """Number and length of each document's sentence pieces, bounded ones too; no character is lost."""
+    d = table(spark, sf_dir, "documents").select("doc_id", X.bounded_pieces(X.sentence_pieces(F.coalesce("text", F.lit("")))).alias("p"))
     return d.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.length(F.array_join("p", "")).cast("long").alias("n_chars"), F.sha2(F.array_join("p", "\u0001"), 256).alias("pieces_sha256"))
 
 
@@ -348,8 +348,23 @@ ORACLES = {
         UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'not_classified' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM b) AND s_suppkey NOT IN (SELECT s_suppkey FROM o)
         UNION ALL SELECT x, 'empty_binding' FROM (SELECT DISTINCT p_brand AS x FROM part UNION SELECT 'Brand#99') WHERE x NOT IN (SELECT p_brand FROM b)
         UNION ALL SELECT DISTINCT CAST(l_suppkey AS VARCHAR), 'unknown_atom' FROM b WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""",
-    "sentence_fragments": r"""WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '([^\n。！？；!?;]*(?:\n\s*|[。！？；]["'')\]”’」』）]*\s*|[!?;]+["'')\]”’」』）]*(?:\s+|$)|[!?;]|$))', 1), lambda x: x <> '') AS p FROM documents)
-        SELECT doc_id, len(p) AS n_pieces, length(array_to_string(p, '')) AS n_chars, sha256(array_to_string(p, chr(1))) AS pieces_sha256 FROM p""",
+    "sentence_fragments": r"""WITH RECURSIVE ch AS (SELECT doc_id, i, substr(text, i, 1) AS c FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, length(coalesce(text, '')) + 1)) AS i FROM documents)),
+        k AS (SELECT *, regexp_matches(c, '[\s\pZ\x{1C}-\x{1F}\x{85}\x{0B}]') AS sp, contains('"''”’」』）)]}》〉', c) AS cl FROM ch),
+        n AS (SELECT *, min(CASE WHEN NOT sp THEN i END) OVER f AS text_at, min(CASE WHEN NOT cl THEN i END) OVER f AS open_at, max(i) OVER (PARTITION BY doc_id) + 1 AS over
+              FROM k WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        e AS (SELECT n.doc_id, coalesce(CASE WHEN n.c = chr(10) THEN n.text_at WHEN o.sp THEN o.text_at ELSE n.open_at END, n.over) AS pos
+              FROM n LEFT JOIN n o ON o.doc_id = n.doc_id AND o.i = n.open_at
+              WHERE n.c = chr(10) OR contains('。！？；', n.c) OR (contains('!?;', n.c) AND (n.open_at IS NULL OR o.sp))),
+        b AS (SELECT doc_id, pos FROM e UNION SELECT doc_id, 1 FROM documents UNION SELECT doc_id, length(coalesce(text, '')) + 1 FROM documents),
+        s AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM b),
+        p AS (SELECT s.doc_id, s.pos, substr(d.text, s.pos, s.stop - s.pos) AS x FROM s JOIN documents d ON d.doc_id = s.doc_id WHERE s.stop IS NOT NULL),
+        cut(doc_id, pos, off, part, rest) AS (
+            SELECT doc_id, pos, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), x FROM p
+            UNION ALL
+            SELECT doc_id, pos, off + w, left(rest, w), substr(rest, w + 1)
+            FROM (SELECT *, CASE WHEN length(rest) <= 800 THEN length(rest) ELSE coalesce(list_max(list_filter(range(401, 801), lambda j: contains('，、,:：。！？；!?; ' || chr(9) || chr(10), substr(rest, CAST(j AS BIGINT), 1)))), 800) END AS w FROM cut WHERE length(rest) > 0)),
+        l AS (SELECT d.doc_id, list(part ORDER BY pos, off) FILTER (WHERE part IS NOT NULL) AS p FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id GROUP BY d.doc_id)
+        SELECT doc_id, CAST(coalesce(len(p), 0) AS BIGINT) AS n_pieces, CAST(length(coalesce(array_to_string(p, ''), '')) AS BIGINT) AS n_chars, sha256(coalesce(array_to_string(p, chr(1)), '')) AS pieces_sha256 FROM l""",
     "token_estimate": """SELECT doc_id, CAST(greatest(1, ceil(length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) / 4.0) + length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))) AS BIGINT) AS knowledge_tokens,
         CAST(length(t) + length(regexp_replace(t, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS BIGINT) AS utf16, CAST(strlen(t) AS BIGINT) AS utf8 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "code_token_estimate": r"""SELECT page_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]'), lambda x: greatest(1, ceil(strlen(x) / 4.0)))), 0) AS BIGINT) AS code_tokens FROM pages""",

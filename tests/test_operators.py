@@ -249,3 +249,41 @@ def test_readers(spark, tmp_path):
     assert [r["problem"] for r in records.collect()] == [None, "duplicate_key", "unknown_key", "missing_key", "not_json", "not_json"]
     h = readers.hunks(spark.createDataFrame([("3:4",), ("x",)], "hunk string"))
     assert [(r["start"], r["count"]) for r in h.collect()] == [(3, 4), (None, None)]
+
+
+def plain_pieces(text, most):
+    """Sentence pieces by walking over the characters, then cut to a bound."""
+    pieces, start, i = [], 0, 0
+    while i < len(text):
+        c, j = text[i], i + 1
+        while j < len(text) and text[j] in X.CLOSING:
+            j += 1
+        ends = c == "\n" or c in "。！？；" or (c in "!?;" and (j == len(text) or text[j].isspace()))
+        if not ends:
+            i += 1
+            continue
+        i = i + 1 if c == "\n" else j
+        while i < len(text) and text[i].isspace():
+            i += 1
+        pieces.append(text[start:i])
+        start = i
+    pieces.append(text[start:])
+    out = []
+    for p in filter(None, pieces):
+        while len(p) > most:
+            cut = next((k for k in range(most, most // 2, -1) if p[k - 1] in X.SOFT), most)
+            out.append(p[:cut])
+            p = p[cut:]
+        out.append(p)
+    return out
+
+
+def test_sentence_pieces_against_a_loop(spark):
+    rng = random.Random(5)
+    texts = ["a;b &amp; c?d=1", "One! Two。三\nfour; x!y", "he said “no!” then) 》left!》 x", "", "!", "x。\n)y", "a!!  b", "w " * 700, "x" * 2000, "a;" * 500 + " b"]
+    texts += ["".join(rng.choices(list("ab!?;。；\n 　 ,)》\"'"), k=rng.randint(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r for r in df.select("i", X.sentence_pieces(F.col("t")).alias("p"), X.bounded_pieces(X.sentence_pieces(F.col("t")), 10).alias("b"), X.bounded_pieces(X.sentence_pieces(F.col("t"))).alias("l")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["p"] == plain_pieces(t, 10**9) and got[i]["b"] == plain_pieces(t, 10) and got[i]["l"] == plain_pieces(t, 800), t
+        assert "".join(got[i]["b"]) == t
