@@ -22,7 +22,7 @@ FACT = "kind string, name string, value string, start int, stop int, line int"
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 _OPENS = r"(?:\s*<[^<>{};()]*>)?\s*(?:\?\.)?\s*\("
 _CALL = re.compile(rf"(?<![A-Za-z0-9_$])({_NAME}(?:\s*(?:\?\.|\.)\s*{_NAME})*){_OPENS}")
-_IMPORT = re.compile(r"""^[ \t]*(import)\s+((?:(?!^[ \t]*import\b)[\s\S])+?)\s+from\s+['"]([^'"]+)['"]""", re.MULTILINE)
+_IMPORT = re.compile(r"""^[ \t]*(import)\s+(?!['"])((?:(?!^[ \t]*import\b)[\s\S])+?)\s+from\s+['"]([^'"]+)['"]""", re.MULTILINE)
 _BARE_IMPORT = re.compile(r"""^[ \t]*(import)\s+(?:lazy\s+)?['"]([^'"]+)['"]""", re.MULTILINE)
 _DECORATOR = re.compile(r"@[A-Za-z_]\w*", re.ASCII)
 _TYPE = re.compile(r"\b(struct|class)\s+([A-Za-z_]\w*)[^{;]*\{", re.ASCII)

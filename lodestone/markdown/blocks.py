@@ -115,7 +115,7 @@ class Scan:
             kept += 1
         blank = not rest.strip()
         if kept < len(self.open):
-            if self.leaf is not None and self.leaf.kind == "paragraph" and not blank and not self._starts(rest):
+            if self.leaf is not None and self.leaf.kind == "paragraph" and not blank and not self._starts(rest, self.open[kept - 1].kind == "list" if kept else False):
                 self._extend(no, rest)
                 return
             self.leaf = None
@@ -131,9 +131,10 @@ class Scan:
             return
         self._content(no, rest)
 
-    def _starts(self, rest: str) -> bool:
+    def _starts(self, rest: str, in_list: bool) -> bool:
+        """Whether the line can't go on with a paragraph; within a list any marker is the next item."""
         item = _ITEM.match(rest)
-        return bool(_QUOTE.match(rest) or _BREAK.match(rest) or _HEADING.match(rest) or _FENCE.match(rest) or _COMMENT.match(rest) or (item and rest[item.end() :].strip() and item[2] in (None, "1")))
+        return bool((item and in_list) or _QUOTE.match(rest) or _BREAK.match(rest) or _HEADING.match(rest) or _FENCE.match(rest) or _COMMENT.match(rest) or (item and rest[item.end() :].strip() and item[2] in (None, "1")))
 
     def _inside(self, no: int, rest: str, blank: bool) -> bool:
         """Whether the line belongs to an open fence, comment or piece of HTML, which it may end."""
