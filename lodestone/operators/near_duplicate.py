@@ -9,12 +9,13 @@ whole-number products, never by division.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..code.lexing import KEYWORDS, lexed
 from . import graph
 
 # Fixed values of the screening policy.
@@ -129,12 +130,13 @@ def axis_decision(comparisons: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def normalized_body(text: Column) -> Column:
-    """SHA-256 of the text with white space collapsed."""
-    return F.sha2(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")), 256)
+    """SHA-256 of the text in NFC, with white space collapsed."""
+    return F.sha2(F.trim(F.regexp_replace(nfc(text), r"[ \t\n\r\f\x0B]+", " ")), 256)
 
 
-def template_cluster(stream: Column) -> Column:
-    return F.sha2(F.array_join(shape(stream), " "), 256)
+def template_cluster(text: Column) -> Column:
+    """SHA-256 of a text's shape stream: its tokens, words that aren't keywords masked, literals by their kind."""
+    return F.sha2(F.array_join(lexed(text)["shape"], " "), 256)
 
 
 def nfc(text: Column) -> Column:
@@ -206,7 +208,17 @@ def candidate_pairs(sets: DataFrame, path: str) -> DataFrame:
     return met.select(F.when(F.col("side") == 0, F.col("key")).otherwise(F.col("other")).alias("probe"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("key")).alias("ref")).distinct()
 
 
-def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY) -> DataFrame:
+def lexical_shape(stream: Column) -> Column:
+    """The shape of a lexer's content stream: words that aren't keywords masked, everything else as it is."""
+    return F.transform(stream, lambda t: F.when(t.rlike(r"^[\p{L}_$]") & ~t.isin(*sorted(KEYWORDS)), F.lit("<id>")).otherwise(t))
+
+
+def lexical_probes(texts: DataFrame) -> DataFrame:
+    """(id, tokens, issue) of ``texts`` (id, text) by the lexer; an unfinished string or comment, or a control character, is an issue."""
+    return texts.select("id", lexed(F.coalesce("text", F.lit(""))).alias("x")).select("id", F.col("x.content").alias("tokens"), (F.size("x.issues") > 0).alias("issue"))
+
+
+def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY, shape_of: Callable[[Column], Column] = shape) -> DataFrame:
     """(id, n_shingles, decision) of every probe (id, tokens, optionally issue) against references (tokens).
 
     Equal streams are compared once.  duplicate: an equal stream, content shingles
@@ -221,7 +233,7 @@ def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY) -> D
     stream = F.coalesce("tokens", F.array().cast("array<string>"))
 
     def streams(df: DataFrame, name: str) -> DataFrame:
-        one = df.groupBy("key").agg(F.first("tokens").alias("tokens")).withColumn("masked", shape(F.col("tokens")))
+        one = df.groupBy("key").agg(F.first("tokens").alias("tokens")).withColumn("masked", shape_of(F.col("tokens")))
         return graph.written(
             one.select(
                 "key", "tokens", F.size("tokens").alias("n_tokens"), shingles(F.col("tokens"), CONTENT_WIDTH).alias("content"),

@@ -77,6 +77,17 @@ _TOKEN = "|".join(
 _WHOLE = "^(?:" + "|".join(rf"{q}(?:[^{q}\\]|\\[\s\S])*{q}" for q in "'\"") + ")$"
 _KEYWORDS = ", ".join(f"'{k}'" for k in sorted(L.KEYWORDS))
 
+
+def lexed_sql(p: str, source: str) -> str:
+    """``lexed`` behind the prefix ``p`` (id, c, s): content and shape of the texts of ``source`` (id, text), without the insides of templates."""
+    return rf"""
+    {p}t AS (SELECT id, list_filter(regexp_extract_all(nfc_normalize(coalesce(text, '')), $re${_TOKEN}$re$), lambda x: NOT regexp_matches(x, $re$^({_SPACE}|//)$re$) AND NOT (x LIKE '/*%*/' AND length(x) > 3)) AS w FROM ({source})),
+    {p}u AS (SELECT id, list_transform(w, lambda x: CASE WHEN left(x, 2) = '/*' THEN '<unterminated-comment>'
+            WHEN left(x, 1) IN (chr(39), chr(34)) THEN CASE WHEN regexp_matches(x, $re${_WHOLE}$re$) THEN '<string>' ELSE '<unterminated-string>' END
+            WHEN left(x, 1) = '`' THEN CASE WHEN length(x) > 1 AND right(x, 1) = '`' THEN '<template>' ELSE '<unterminated-template>' END WHEN regexp_matches(x, $re$^\p{{Nd}}$re$) THEN '<number>' ELSE x END) AS c FROM {p}t),
+    {p}lexed AS (SELECT id, c, list_transform(c, lambda x: CASE WHEN regexp_matches(x, $re$^[\pL_$]$re$) AND NOT list_contains([{_KEYWORDS}], x) THEN '<id>' ELSE x END) AS s FROM {p}u)"""
+
+
 QUERIES = {f.__name__: f for f in (masked_pages, page_brackets, code_declarations, code_calls, lexical_streams)}
 ORACLES = {
     "masked_pages": f"WITH {_MASKED} SELECT page_id, sha256(m) AS masked_sha256, length(m) = n AS same_length, CAST(length(regexp_replace(m, '[ \\n]', '', 'g')) AS BIGINT) AS ink FROM m",
@@ -101,13 +112,9 @@ ORACLES = {
         WITH o AS (SELECT o_custkey, o_orderkey, left(o_orderpriority, 1) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
         SELECT o_custkey, 'Customer' || o_custkey || '.order' || o_orderkey AS owner, CASE p WHEN '1' THEN 'bus.default.put' ELSE 'send' END AS canonical, count(*) AS n, CAST(min(3 * k + 1) AS INT) AS line
         FROM o WHERE p IN ('1', '2') GROUP BY ALL""",
-    "lexical_streams": rf"""
-        WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(nfc_normalize(coalesce(text, '')), $re${_TOKEN}$re$), lambda x: NOT regexp_matches(x, $re$^({_SPACE}|//)$re$) AND NOT (x LIKE '/*%*/' AND length(x) > 3)) AS w FROM documents),
-        u AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN left(x, 2) = '/*' THEN '<unterminated-comment>'
-                WHEN left(x, 1) IN (chr(39), chr(34)) THEN CASE WHEN regexp_matches(x, $re${_WHOLE}$re$) THEN '<string>' ELSE '<unterminated-string>' END
-                WHEN left(x, 1) = '`' THEN CASE WHEN length(x) > 1 AND right(x, 1) = '`' THEN '<template>' ELSE '<unterminated-template>' END WHEN regexp_matches(x, $re$^\p{{Nd}}$re$) THEN '<number>' ELSE x END) AS c FROM t),
-        v AS (SELECT doc_id, c, list_transform(c, lambda x: CASE WHEN regexp_matches(x, $re$^[\pL_$]$re$) AND NOT list_contains([{_KEYWORDS}], x) THEN '<id>' ELSE x END) AS s FROM u)
-        SELECT doc_id, CAST(len(c) AS BIGINT) AS n_tokens, sha256(coalesce(array_to_string(c, ' '), '')) AS content_sha256, sha256(coalesce(array_to_string(s, ' '), '')) AS cluster,
+    "lexical_streams": f"""
+        WITH {lexed_sql("d", "SELECT doc_id AS id, text FROM documents")}
+        SELECT id AS doc_id, CAST(len(c) AS BIGINT) AS n_tokens, sha256(coalesce(array_to_string(c, ' '), '')) AS content_sha256, sha256(coalesce(array_to_string(s, ' '), '')) AS cluster,
                concat_ws(',', CASE WHEN list_contains(c, '<unterminated-comment>') THEN 'unterminated_block_comment' END, CASE WHEN list_contains(c, '<unterminated-string>') THEN 'unterminated_string_literal' END,
-                         CASE WHEN list_contains(c, '<unterminated-template>') THEN 'unterminated_template_literal' END) AS issues FROM v""",
+                         CASE WHEN list_contains(c, '<unterminated-template>') THEN 'unterminated_template_literal' END) AS issues FROM dlexed""",
 }

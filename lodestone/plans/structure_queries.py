@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import graph, intervals
 from ..operators import near_duplicate as N
 from ..session import rows_of, table
+from .code_queries import lexed_sql
 
 
 def heading_ordinals(spark, sf_dir):
@@ -232,9 +233,8 @@ def normalized_body_dupes(spark, sf_dir):
 
 
 def template_cluster(spark, sf_dir):
-    """Pages by the shape of their opening tag sequence: identifiers and numbers masked."""
-    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))
-    d = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.array_join(tags, " "), 256).alias("cluster"))
+    """Pages by the shape of their token stream: words masked, literals by their kind."""
+    d = table(spark, sf_dir, "pages").select("page_id", N.template_cluster(F.coalesce("html", F.lit(""))).alias("cluster"))
     return d.groupBy("cluster").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
 
 
@@ -260,6 +260,14 @@ def screening_decisions(spark, sf_dir):
     return found.select(F.col("id").alias("probe_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "decision")
 
 
+def lexical_screening(spark, sf_dir):
+    """The same by the lexer's tokens and shape; a document with an unfinished string abstains."""
+    probes = N.lexical_probes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    references = N.lexical_probes(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    found = N.screen(probes, references.select("tokens"), shape_of=N.lexical_shape)
+    return found.select(F.col("id").alias("probe_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "decision")
+
+
 def benchmark_contamination(spark, sf_dir):
     return N.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13)
 
@@ -285,26 +293,40 @@ _WORDS7_SQL = """
 """
 
 
-def _screened(p, source):
+def _screened(p, source, lexical=False):
     """Positions (i), content (s) and shape sets (m), and sizes with the streams (n) of a side, by the prefix of their names."""
-    return f"""
+    words = f"""
     {p}w AS (SELECT id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM ({source})),
-    {p}h AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[\\p{{L}}_]') THEN '<id>' WHEN regexp_matches(x, '^\\p{{N}}') THEN '<n>' ELSE x END) AS h FROM {p}w),
+    {p}h AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[\\p{{L}}_]') THEN '<id>' WHEN regexp_matches(x, '^\\p{{N}}') THEN '<n>' ELSE x END) AS h FROM {p}w),"""
+    if lexical:
+        words = f"{lexed_sql(p, source)}, {p}h AS (SELECT id, c AS w, s AS h FROM {p}lexed), {p}w AS (SELECT id, w FROM {p}h),"
+    return f"""{words}
     {p}i AS (SELECT id, i, array_to_string(w[i : i + 6], chr(1)) AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 5, 1))) AS i FROM {p}w)),
     {p}s AS (SELECT DISTINCT id, g FROM {p}i),
     {p}m AS (SELECT DISTINCT id, array_to_string(h[i : i + 10], chr(1)) AS g FROM (SELECT id, h, unnest(range(1, greatest(len(h) - 9, 1))) AS i FROM {p}h)),
-    {p}n AS (SELECT x.id, len(w) AS t, array_to_string(w, chr(1)) AS w, array_to_string(h, chr(1)) AS h, coalesce(s.n, 0) AS n, coalesce(m.n, 0) AS m FROM {p}h x
+    {p}n AS (SELECT x.id, len(w) AS t, array_to_string(w, chr(1)) AS w, array_to_string(h, chr(1)) AS h, coalesce(s.n, 0) AS n, coalesce(m.n, 0) AS m, len(list_filter(w, lambda x: x LIKE '<unterminated-%')) > 0 AS issue FROM {p}h x
         LEFT JOIN (SELECT id, count(*) AS n FROM {p}s GROUP BY id) s ON s.id = x.id LEFT JOIN (SELECT id, count(*) AS n FROM {p}m GROUP BY id) m ON m.id = x.id)"""
 
 
 _SIGNALS = "CASE WHEN (c >= 32 AND (10 * c >= 7 * (a + b - c) OR 5 * c >= 4 * least(a, b))) THEN 'duplicate' WHEN (c >= 16 AND (2 * c >= a + b - c OR 5 * c >= 3 * least(a, b))) THEN 'gray' ELSE 'clear' END"
 
+_SCREENING_SQL = f"""
+        p AS (SELECT x.id, y.id AS ref, count(*) AS c FROM ds x JOIN bs y ON x.g = y.g GROUP BY ALL),
+        r AS (SELECT id, ref, max(n) + 6 AS run FROM (SELECT id, ref, count(*) AS n FROM (SELECT x.id, y.id AS ref, x.i - y.i AS k, x.i - row_number() OVER (PARTITION BY x.id, y.id, x.i - y.i ORDER BY x.i) AS z FROM di x JOIN bi y ON x.g = y.g) GROUP BY id, ref, k, z) GROUP BY id, ref),
+        q AS (SELECT id, CASE WHEN run >= 64 AND 5 * run >= 3 * t THEN 'duplicate' ELSE {_SIGNALS} END AS decision
+              FROM (SELECT p.id, c, run, least(u.t, v.t) AS t, u.n AS a, v.n AS b FROM p JOIN r ON r.id = p.id AND r.ref = p.ref JOIN dn u ON u.id = p.id JOIN bn v ON v.id = p.ref)),
+        o AS (SELECT x.id FROM dm x JOIN bm y ON x.g = y.g JOIN dn u ON u.id = x.id JOIN bn v ON v.id = y.id GROUP BY x.id, y.id, u.m, v.m HAVING count(*) >= 48 AND 10 * count(*) >= 9 * least(u.m, v.m)),
+        f AS (SELECT id, bool_or(decision = 'duplicate') AS d, bool_or(decision = 'gray') AS g FROM q GROUP BY id)
+        SELECT u.id AS probe_id, u.n AS n_shingles, CASE WHEN u.issue THEN 'abstain' WHEN (u.t > 0 AND u.w IN (SELECT w FROM bn)) OR f.d THEN 'duplicate'
+            WHEN f.g OR u.id IN (SELECT id FROM o) OR (u.t >= 64 AND u.h IN (SELECT h FROM bn)) THEN 'gray' WHEN u.n < 32 THEN 'abstain' ELSE 'clear' END AS decision
+        FROM dn u LEFT JOIN f ON f.id = u.id"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         heading_ordinals, neighbor_lag_lead, disambiguated_ids, line_islands, innermost_interval, nearest_parent, atom_overlaps, line_coverage_check, repeated_paths, hunk_units, merged_units, connected_components,
         descendant_closure, relation_check, leaf_families, integrity_anti_joins, seal_check, sentence_fragments, token_estimate, code_token_estimate, identifier_signals, canonical_calls, clause_classify, path_filter,
-        path_scope_overlap, native_ids, text_assembly, set_versions, normalized_body_dupes, template_cluster, shingle_jaccard_pairs, screening_decisions, benchmark_contamination, event_windows,
+        path_scope_overlap, native_ids, text_assembly, set_versions, normalized_body_dupes, template_cluster, shingle_jaccard_pairs, screening_decisions, lexical_screening, benchmark_contamination, event_windows,
     )
 }
 
@@ -383,23 +405,15 @@ ORACLES = {
     "text_assembly": """SELECT p_partkey, concat_ws(chr(10), p_name, 'brand: ' || p_brand, CASE WHEN p_size > 25 THEN 'size: ' || CAST(p_size AS VARCHAR) END) AS retrieval_text,
         'part:sha256:' || sha256('{"big":' || CASE WHEN p_size > 25 THEN '"yes"' ELSE 'null' END || ',"key":' || CAST(p_partkey AS VARCHAR) || ',"name":"' || p_name || '"}') AS identity FROM part""",
     "set_versions": "SELECT p_brand, 'names:sha256:' || sha256(string_agg(DISTINCT p_name, chr(10) ORDER BY p_name)) AS version FROM part GROUP BY p_brand",
-    "normalized_body_dupes": r"""SELECT body, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS body FROM documents) GROUP BY body HAVING count(*) > 1""",
-    "template_cluster": """SELECT cluster, count(*) AS n, min(page_id) AS first_id FROM (SELECT page_id, sha256(array_to_string(regexp_extract_all(coalesce(html, ''), '<([a-zA-Z][a-zA-Z0-9]*)', 1), ' ')) AS cluster FROM pages) GROUP BY cluster""",
+    "normalized_body_dupes": r"""SELECT body, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS body FROM documents) GROUP BY body HAVING count(*) > 1""",
+    "template_cluster": f"WITH {lexed_sql('p', 'SELECT page_id AS id, html AS text FROM pages')} SELECT cluster, count(*) AS n, min(id) AS first_id FROM (SELECT id, sha256(coalesce(array_to_string(s, ' '), '')) AS cluster FROM plexed) GROUP BY cluster",
     "shingle_jaccard_pairs": f"""WITH {_WORDS7_SQL}, k AS (SELECT doc_id, md5(string_agg(g, chr(2) ORDER BY g)) AS k FROM s GROUP BY doc_id), r AS (SELECT min(doc_id) AS doc_id FROM k GROUP BY k),
         z AS (SELECT s.doc_id, s.g FROM s JOIN r ON r.doc_id = s.doc_id),
         p AS (SELECT x.doc_id AS probe_id, y.doc_id AS ref_id, count(*) AS c FROM z x JOIN z y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
         q AS (SELECT p.*, n1.n AS a, n2.n AS b FROM p JOIN n n1 ON n1.doc_id = probe_id JOIN n n2 ON n2.doc_id = ref_id)
         SELECT probe_id, ref_id, c AS shared, a AS n_probe, b AS n_ref, {_SIGNALS} AS decision FROM q WHERE {_SIGNALS} <> 'clear'""",
-    "screening_decisions": f"""WITH {_screened("d", "SELECT doc_id AS id, text FROM documents")}, {_screened("b", "SELECT row_number() OVER () AS id, text FROM benchmark")},
-        p AS (SELECT x.id, y.id AS ref, count(*) AS c FROM ds x JOIN bs y ON x.g = y.g GROUP BY ALL),
-        r AS (SELECT id, ref, max(n) + 6 AS run FROM (SELECT id, ref, count(*) AS n FROM (SELECT x.id, y.id AS ref, x.i - y.i AS k, x.i - row_number() OVER (PARTITION BY x.id, y.id, x.i - y.i ORDER BY x.i) AS z FROM di x JOIN bi y ON x.g = y.g) GROUP BY id, ref, k, z) GROUP BY id, ref),
-        q AS (SELECT id, CASE WHEN run >= 64 AND 5 * run >= 3 * t THEN 'duplicate' ELSE {_SIGNALS} END AS decision
-              FROM (SELECT p.id, c, run, least(u.t, v.t) AS t, u.n AS a, v.n AS b FROM p JOIN r ON r.id = p.id AND r.ref = p.ref JOIN dn u ON u.id = p.id JOIN bn v ON v.id = p.ref)),
-        o AS (SELECT x.id FROM dm x JOIN bm y ON x.g = y.g JOIN dn u ON u.id = x.id JOIN bn v ON v.id = y.id GROUP BY x.id, y.id, u.m, v.m HAVING count(*) >= 48 AND 10 * count(*) >= 9 * least(u.m, v.m)),
-        f AS (SELECT id, bool_or(decision = 'duplicate') AS d, bool_or(decision = 'gray') AS g FROM q GROUP BY id)
-        SELECT u.id AS probe_id, u.n AS n_shingles, CASE WHEN (u.t > 0 AND u.w IN (SELECT w FROM bn)) OR f.d THEN 'duplicate'
-            WHEN f.g OR u.id IN (SELECT id FROM o) OR (u.t >= 64 AND u.h IN (SELECT h FROM bn)) THEN 'gray' WHEN u.n < 32 THEN 'abstain' ELSE 'clear' END AS decision
-        FROM dn u LEFT JOIN f ON f.id = u.id""",
+    "screening_decisions": f"WITH {_screened('d', 'SELECT doc_id AS id, text FROM documents')}, {_screened('b', 'SELECT row_number() OVER () AS id, text FROM benchmark')}, {_SCREENING_SQL}",
+    "lexical_screening": f"WITH {_screened('d', 'SELECT doc_id AS id, text FROM documents', True)}, {_screened('b', 'SELECT item_id AS id, text FROM benchmark', True)}, {_SCREENING_SQL}",
     "benchmark_contamination": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM t), s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 12], chr(1)) AS g FROM i),
         bt AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS w FROM benchmark), bi AS (SELECT w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM bt), b AS (SELECT DISTINCT array_to_string(w[i : i + 12], chr(1)) AS g FROM bi)
         SELECT doc_id, count(*) AS n_shared FROM s WHERE g IN (SELECT g FROM b) GROUP BY doc_id""",
