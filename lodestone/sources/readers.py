@@ -46,30 +46,67 @@ def discovery(seeds: DataFrame, inventory: DataFrame, include: list[str], exclud
 
 
 def strict_records(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Rows of JSON text with ``record``, or ``problem``: unknown_key, duplicate_key, missing_key or not_json.
+    """Rows of JSON text with ``record``, or ``problem``: not_json, not_object, duplicate_key, unknown_key, missing_key, wrong_type.
 
-    Repeated keys are lost in any JSON parser of the JVM, so the keys are looked at in Python.
+    Keys count at every depth.  A whole number must be one and fit its type, a number
+    must be finite, text must be text; null is allowed.  Repeated keys are lost in any
+    JSON parser of the JVM, so records are looked at in Python.
     """
-    spark = lines.sparkSession
-    wanted = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else spark.createDataFrame([], schema).schema
-    names = {f.name for f in wanted.fields}
+    wanted = T.StructType.fromDDL(schema)
 
     def problems(values: pd.Series) -> pd.Series:
-        return pd.Series([_problem(v, names) for v in values], dtype=object)
+        return pd.Series([_problem(v, wanted) for v in values], dtype=object)
 
     checked = lines.withColumn("problem", F.pandas_udf(problems, "string")(column))
-    return checked.withColumn("record", F.when(F.col("problem").isNull(), F.from_json(column, wanted)))
+    return checked.withColumn("record", F.when(F.col("problem").isNull(), F.from_json(column, wanted, {"mode": "FAILFAST"})))
 
 
-def _problem(value: str | None, names: set[str]) -> str | None:
+class _Object(list):
+    """The (key, value) pairs of a JSON object; a list is a JSON array."""
+
+
+_WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def _problem(value: str | None, wanted: T.StructType) -> str | None:
     try:
-        pairs = json.loads(value or "", object_pairs_hook=list)
-        keys = [k for k, _ in pairs]
-    except (ValueError, TypeError):
+        found = json.loads(value or "", object_pairs_hook=_Object, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
         return "not_json"
-    if len(keys) != len(set(keys)):
-        return "duplicate_key"
-    return "unknown_key" if set(keys) - names else "missing_key" if names - set(keys) else None
+    return _mismatch(found, wanted) if isinstance(found, _Object) else "not_object"
+
+
+def _mismatch(value: object, wanted: T.DataType) -> str | None:
+    """The first problem of a value for a type, from the outside in."""
+    if value is None:
+        return None
+    if isinstance(wanted, T.StructType):
+        if not isinstance(value, _Object):
+            return "wrong_type"
+        keys, types = [k for k, _ in value], {f.name: f.dataType for f in wanted.fields}
+        if len(keys) != len(set(keys)):
+            return "duplicate_key"
+        if set(keys) != set(types):
+            return "unknown_key" if set(keys) - set(types) else "missing_key"
+        return next(filter(None, (_mismatch(v, types[k]) for k, v in value)), None)
+    if isinstance(wanted, T.ArrayType):
+        return next(filter(None, (_mismatch(v, wanted.elementType) for v in value)), None) if type(value) is list else "wrong_type"
+    if isinstance(wanted, T.StringType):
+        good = isinstance(value, str)
+    elif isinstance(wanted, T.BooleanType):
+        good = isinstance(value, bool)
+    elif type(wanted) in _WHOLE:
+        bound = 1 << (_WHOLE[type(wanted)] - 1)
+        good = type(value) is int and -bound <= value < bound
+    elif isinstance(wanted, (T.FloatType, T.DoubleType)):
+        good = type(value) in (int, float) and abs(value) < float("inf")
+    else:
+        raise ValueError(f"no rule for {wanted.simpleString()}")
+    return None if good else "wrong_type"
 
 
 def hunks(lines: DataFrame, column: str = "hunk") -> DataFrame:

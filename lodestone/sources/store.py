@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -12,14 +16,18 @@ class SnapshotConflict(ValueError):
 
 
 def checksum(df: DataFrame) -> tuple[int, str]:
-    """(rows, sum of row hashes): the same for any order or partitioning of the rows."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    got = df.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s")).first()
-    return got["n"], str(got["s"] or 0)
+    """(rows, digest of the sums of row digests): the same for any order or partitioning of the rows.
+
+    A row's SHA-256 is added up as four whole numbers of 64 bits.
+    """
+    digest = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring("digest", 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")).alias(f"p{k}") for k in range(4)]
+    got = df.select(digest.alias("digest")).agg(F.count("*").alias("n"), *parts).first()
+    return got["n"], hashlib.sha256(":".join(str(got[f"p{k}"] or 0) for k in range(4)).encode()).hexdigest()
 
 
 class SnapshotStore:
-    """Immutable versions under ``root/versions`` and a table of aliases under ``root/aliases``."""
+    """Immutable versions under ``root/versions`` and numbered pointers of aliases under ``root/aliases``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,26 +73,70 @@ class SnapshotStore:
             raise SnapshotConflict(f"version {version} is damaged")
         return entries
 
-    def switch_alias(self, alias: str, version: str, origin: str = "approved", allowed: tuple[str, ...] = ("approved",)) -> None:
-        """Points an alias to a sealed version; the newest row of an alias counts."""
+    def switch_alias(self, alias: str, version: str, origin: str = "approved", allowed: tuple[str, ...] = ("approved",), expected: str | None = None) -> int:
+        """Points an alias to a sealed version; gives the number of its pointer.
+
+        A pointer is a file whose number follows that of the newest one, and is made
+        only if it isn't there: of two writers one gets the number, and the other one
+        looks again.  With ``expected`` the alias must still point to that version.
+        """
         if origin not in allowed:
             raise SnapshotConflict(f"origin {origin} may not switch aliases")
         if not self.exists(version):
             raise SnapshotConflict(f"no version {version}")
-        turn = self.aliases().where(F.col("alias") == alias).agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0] + 1
-        row = self.spark.createDataFrame([(alias, version, origin, turn)], "alias string, index_version string, origin string, turn long")
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/aliases")
+        while True:
+            turn, now = self._newest(alias)
+            if expected is not None and now != expected:
+                raise SnapshotConflict(f"alias {alias} points to {now}, not to {expected}")
+            if self._create(f"{self._folder(alias)}/{turn + 1:012d}.json", json.dumps({"alias": alias, "index_version": version, "origin": origin, "turn": turn + 1})):
+                return turn + 1
+
+    def _folder(self, alias: str) -> str:
+        return f"{self.root}/aliases/{hashlib.sha256(alias.encode()).hexdigest()[:32]}"
+
+    def _newest(self, alias: str) -> tuple[int, str | None]:
+        """(the highest number taken, the version of the newest whole pointer): a writer may have died before it wrote."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self._folder(alias))
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        taken = [int(n.split(".")[0]) for n in names if n.endswith(".json") and not n.startswith(".")]
+        row = self.aliases().where(F.col("alias") == alias).orderBy(F.desc("turn")).first() if taken else None
+        return max(taken, default=0), row["index_version"] if row else None
+
+    def _create(self, path: str, content: str) -> bool:
+        """Whether the file was made by this call; one that is there stays as it is.
+
+        HDFS makes a file once; Hadoop's local file system looks first, so there Java makes it.
+        Stores of objects that can't refuse to replace one aren't fit for aliases.
+        """
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        local = target.toUri().getScheme() in (None, "file")
+        try:
+            if local:
+                fs.mkdirs(target.getParent())
+                jvm.java.nio.file.Files.createFile(jvm.java.io.File(target.toUri().getPath()).toPath(), self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            out = fs.create(target, local)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception.toString()):
+                return False
+            raise
+        out.write(bytearray((content + "\n").encode()))
+        out.close()
+        return True
 
     def aliases(self) -> DataFrame:
+        """(alias, index_version, origin, turn) of all pointers."""
         schema = "alias string, index_version string, origin string, turn long"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/aliases")
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").json(f"{self.root}/aliases").where("turn is not null")
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
     def resolve_alias(self, alias: str) -> str | None:
-        row = self.aliases().where(F.col("alias") == alias).orderBy(F.desc("turn")).first()
-        return row["index_version"] if row else None
+        return self._newest(alias)[1]
 
     def load_alias(self, alias: str) -> DataFrame:
         version = self.resolve_alias(alias)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from lodestone.functions import stats
 from lodestone.functions import text as X
 from lodestone.operators import applicability, consensus, graph, intervals, metrics, near_duplicate, retrieval, tagging
 from lodestone.sources import readers
-from lodestone.sources.store import SnapshotConflict, SnapshotStore
+from lodestone.sources.store import SnapshotConflict, SnapshotStore, checksum
 
 
 def values(df, *cols):
@@ -214,6 +215,14 @@ def test_tag_triggers(spark):
     assert got == {1: (["t1"], ["t1", "t3"], []), 2: ([], [], ["t2"])}
 
 
+def _fails(call):
+    try:
+        call()
+    except SnapshotConflict:
+        return True
+    return False
+
+
 def test_snapshots(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/store")
     a, b = spark.range(5).withColumn("x", F.col("id") * 2), spark.range(6).withColumn("x", F.col("id") * 2)
@@ -229,6 +238,18 @@ def test_snapshots(spark, tmp_path):
         store.switch_alias("live", "nothing")
     with pytest.raises(SnapshotConflict):
         store.switch_alias("live", v, origin="trial")
+    with pytest.raises(SnapshotConflict, match="points to"):
+        store.switch_alias("live", v, expected=v)
+    assert store.switch_alias("live", v, expected=w) == 3 and store.resolve_alias("live") == v
+    (tmp_path / "store/aliases").joinpath(store._folder("live").rsplit("/", 1)[1], "000000000004.json").write_text("")  # a writer that died
+    assert store.resolve_alias("live") == v and store.switch_alias("live", w, expected=v) == 5
+    with ThreadPoolExecutor(4) as pool:  # each of several writers gets a number of its own
+        turns = list(pool.map(lambda k: store.switch_alias("busy", (v, w)[k % 2]), range(8)))
+    assert sorted(turns) == list(range(1, 9)) and store.resolve_alias("busy") == (v, w)[turns.index(8) % 2]
+    with ThreadPoolExecutor(4) as pool:  # of those that expect the same version, one wins
+        won = list(pool.map(lambda k: not _fails(lambda: store.switch_alias("live", v, expected=w)), range(4)))
+    assert sum(won) == 1
+    assert checksum(a) != checksum(a.withColumn("x", F.col("x") + 1)) and checksum(a.union(a)) != checksum(a) and checksum(a.limit(0))[0] == 0
     store.load(v).limit(1).write.mode("append").parquet(f"file://{tmp_path}/store/versions/index_version={w}/entries")
     with pytest.raises(SnapshotConflict):
         store.load(w)
@@ -247,6 +268,16 @@ def test_readers(spark, tmp_path):
     lines = spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"a":1,"a":2,"b":"x"}',), ('{"a":1,"b":"x","c":0}',), ('{"a":1}',), ("{",), (None,)], "value string")
     records = readers.strict_records(lines, "a int, b string")
     assert [r["problem"] for r in records.collect()] == [None, "duplicate_key", "unknown_key", "missing_key", "not_json", "not_json"]
+    cases = {
+        '[["a",1],["b","x"]]': "not_object", "3": "not_object", '{"a":NaN,"b":"x"}': "not_json", '{"a":1.5,"b":"x"}': "wrong_type", '{"a":true,"b":"x"}': "wrong_type", '{"a":"1","b":"x"}': "wrong_type",
+        '{"a":1,"b":2}': "wrong_type", '{"a":2147483648,"b":"x"}': "wrong_type", '{"a":null,"b":"x"}': None, '{"a":1,"b":{"x":1,"x":2}}': "wrong_type", '{"a":-2147483648,"b":""}': None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "value string")
+    assert {r["value"]: r["problem"] for r in readers.strict_records(df, "a int, b string").collect()} == cases
+    nested = {'{"o":{"x":1,"x":2},"l":[1]}': "duplicate_key", '{"o":{"x":1},"l":[1,"a"]}': "wrong_type", '{"o":{"y":1},"l":[]}': "unknown_key", '{"o":{},"l":[]}': "missing_key", '{"o":{"x":1e3},"l":[1,null]}': None, '{"o":{"x":1e999},"l":[]}': "wrong_type", '{"o":[1],"l":[]}': "wrong_type", '{"o":null,"l":{}}': "wrong_type"}
+    df = spark.createDataFrame([(k,) for k in nested], "value string")
+    got = readers.strict_records(df, "o struct<x: double>, l array<long>").collect()
+    assert {r["value"]: r["problem"] for r in got} == nested and {r["record"]["o"]["x"] for r in got if r["problem"] is None} == {1000.0}
     h = readers.hunks(spark.createDataFrame([("3:4",), ("x",)], "hunk string"))
     assert [(r["start"], r["count"]) for r in h.collect()] == [(3, 4), (None, None)]
 
