@@ -229,33 +229,6 @@ def diagnostics(units: DataFrame) -> DataFrame:
     return units.select("unit_id", F.array_sort(F.array_distinct(F.filter(F.array(*present), lambda x: x.isNotNull()))).alias("codes"))
 
 
-def first_fit_bins(items: DataFrame, groups: tuple[str, ...] = ("group_id",)) -> DataFrame:
-    """(keys, item_id, tokens, bin): items in order of ``seq`` go to the first bin with room; -1 if larger than ``capacity``.
-
-    Order-dependent, so a group (the few candidates of one question) is one group in pandas.
-    """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "item_id"], kind="stable")
-        capacity, used, bins = int(pdf["capacity"].iloc[0]), [0], []
-        for tokens in pdf["tokens"].tolist():
-            if tokens > capacity:
-                bins.append(-1)
-                continue
-            at = next((i for i, u in enumerate(used) if u + tokens <= capacity), len(used))
-            if at == len(used):
-                used.append(0)
-            used[at] += tokens
-            bins.append(at)
-        pdf["bin"] = pd.array(bins, dtype="int32")
-        return pdf[out]
-
-    fields = [f for f in items.schema if f.name in (*groups, "item_id", "tokens")]
-    out = [*(f.name for f in fields), "bin"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", bin int"
-    return items.groupBy(*groups).applyInPandas(pack, schema)
-
-
 def even_split(total: Column, position: Column, parts: Column) -> Column:
     """The share of part ``position`` (from 1): the remainder goes one each to the first parts."""
     return (F.floor(total / parts) + (position - 1 < total % parts).cast("long")).cast("long")

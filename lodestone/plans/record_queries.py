@@ -40,9 +40,9 @@ def export_decisions(spark, sf_dir):
 
 
 def set_mismatch(spark, sf_dir):
-    """Nations and segments of customers in debt against those of customers with large balances."""
-    c = table(spark, sf_dir, "customer")
-    return R.set_mismatch(c.where("c_acctbal < -900"), c.where("c_acctbal > 9900"), ["c_nationkey", "c_mktsegment"])
+    """Nations, segments and hundreds of balance of customers in debt against those of all others."""
+    c = table(spark, sf_dir, "customer").withColumn("hundreds", F.floor(F.abs("c_acctbal") / 100))
+    return R.set_mismatch(c.where("c_acctbal < 0"), c.where("c_acctbal >= 0 or c_acctbal is null"), ["c_nationkey", "c_mktsegment", "hundreds"])
 
 
 def normalized_changes(spark, sf_dir):
@@ -110,10 +110,10 @@ def bound_calls(spark, sf_dir):
 
 
 def change_sides(spark, sf_dir):
-    """Customers' open orders against their finished ones: the largest priority on each side."""
-    o = table(spark, sf_dir, "orders")
-    side = lambda status: o.where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.max("o_orderpriority").alias("v"))
-    return R.sides(side("F"), side("O"), ["o_custkey"], "v")
+    """Customers' finished orders against all others: the largest priority on each side."""
+    o = table(spark, sf_dir, "orders").withColumn("done", F.coalesce(F.col("o_orderstatus") == "F", F.lit(False)))
+    side = lambda rows: rows.groupBy("o_custkey").agg(F.max("o_orderpriority").alias("v"))
+    return R.sides(side(o.where("done")), side(o.where("not done")), ["o_custkey"], "v")
 
 
 def clause_annotations(spark, sf_dir):
@@ -128,10 +128,9 @@ def clause_annotations(spark, sf_dir):
 
 
 def hint_tags(spark, sf_dir):
-    """Nations of a region's suppliers that aren't nations of its customers in debt."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("unit_id"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
-    of = lambda t, key: n.join(t.select(F.col(key).alias("k")).distinct(), "k", "left_semi").select("unit_id", "value")
-    return retrieval.hint_only(of(table(spark, sf_dir, "customer").where("c_acctbal < -950"), "c_nationkey"), of(table(spark, sf_dir, "supplier"), "s_nationkey"))
+    """Priorities of a customer's unfinished orders that none of the finished ones has."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit_id"), F.col("o_orderpriority").alias("value"), F.coalesce(F.col("o_orderstatus") == "F", F.lit(False)).alias("done"))
+    return retrieval.hint_only(o.where("done").select("unit_id", "value"), o.where("not done").select("unit_id", "value")).distinct()
 
 
 def evidence_diagnostics(spark, sf_dir):
@@ -149,12 +148,11 @@ def utc_times(spark, sf_dir):
 
 
 def score_conventions(spark, sf_dir):
-    """The three conventions for empty denominators side by side, by nation: customers in debt against suppliers in debt."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal < -900").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("hits"))
-    s = table(spark, sf_dir, "supplier").where("s_acctbal < -500").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("wrong"))
-    n = table(spark, sf_dir, "nation").select("n_nationkey").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").fillna(0)
-    h, w = F.col("hits"), F.col("wrong")
-    return n.select("n_nationkey", F.round(stats.ratio(h, h + w), 6).alias("open"), F.round(stats.ratio_or_zero(h, h + w), 6).alias("zero"), stats.ratio_or_perfect(h, w, F.lit(0), w).alias("perfect"))
+    """The three conventions for empty denominators side by side, by groups of customers: deep debts against large balances."""
+    c = table(spark, sf_dir, "customer").withColumn("part", F.abs(F.floor(F.col("c_acctbal") / 100)) % 97)
+    g = c.groupBy("c_nationkey", "c_mktsegment", "part").agg(F.sum((F.col("c_acctbal") < -500).cast("long")).alias("hits"), F.sum((F.col("c_acctbal") > 5000).cast("long")).alias("wrong"))
+    h, w = F.coalesce("hits", F.lit(0)), F.coalesce("wrong", F.lit(0))
+    return g.select("c_nationkey", "c_mktsegment", "part", F.round(stats.ratio(h, h + w), 6).alias("open"), F.round(stats.ratio_or_zero(h, h + w), 6).alias("zero"), stats.ratio_or_perfect(h, w, F.lit(0), w).alias("perfect"))
 
 
 def snapshot_by_alias(spark, sf_dir):
@@ -229,7 +227,7 @@ def sealed_projection(spark, sf_dir):
 
 def extraction_spans(spark, sf_dir):
     """Items as spans of their orders, extracted by line status, with what is wrong about them."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("n_lines"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("n_lines"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("end"), "l_linestatus", "l_returnflag")
     anchor = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"), F.lit("-L"), F.col("end").cast("string"))
 
@@ -270,7 +268,8 @@ ORACLES = {
     "projected_facts": """SELECT r_name AS unit_id, s_suppkey AS fact_id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         WHERE s_acctbal > 0 AND floor(s_acctbal) >= 1000 AND floor(s_acctbal) + 500 <= 7000""",
     "export_decisions": f"SELECT o_orderkey, (o_orderstatus, o_orderpriority) IN ({_values(_POLICY)}) AS allowed FROM orders",
-    "set_mismatch": """WITH a AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < -900), b AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9900)
+    "set_mismatch": """WITH c AS (SELECT c_nationkey, c_mktsegment, CAST(floor(abs(c_acctbal) / 100) AS BIGINT) AS hundreds, coalesce(c_acctbal < 0, false) AS debt FROM customer),
+        a AS (SELECT DISTINCT c_nationkey, c_mktsegment, hundreds FROM c WHERE debt), b AS (SELECT DISTINCT c_nationkey, c_mktsegment, hundreds FROM c WHERE NOT debt)
         SELECT *, 'not_expected' AS problem FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'not_declared' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "normalized_changes": """WITH f AS (SELECT DISTINCT l_orderkey, CASE WHEN l_returnflag <> 'A' THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS old, CASE WHEN l_returnflag <> 'R' THEN l_linestatus END AS new,
             CASE WHEN l_tax > 0.02 THEN l_linenumber END AS line, l_discount = 0 AS is_binary, l_partkey, l_suppkey FROM lineitem)
@@ -295,19 +294,20 @@ ORACLES = {
     "bound_calls": f"""WITH c AS (SELECT event_id, CASE WHEN value > 50 THEN 'form' ELSE 'page' END AS f, event_type AS a, hour(ts) * 60 + minute(ts) AS l FROM events)
         SELECT event_id AS call_id, canonical FROM c JOIN (VALUES {_values(_IMPORTS)}) i(f, a, canonical) ON c.f = i.f AND c.a = i.a
         WHERE NOT EXISTS (SELECT 1 FROM (VALUES {_values(_SHADOWS)}) s(f, a, b, e) WHERE s.f = c.f AND s.a = c.a AND c.l BETWEEN s.b AND s.e)""",
-    "change_sides": """WITH b AS (SELECT o_custkey, max(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), h AS (SELECT o_custkey, max(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+    "change_sides": """WITH b AS (SELECT o_custkey, max(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), h AS (SELECT o_custkey, max(o_orderpriority) AS v FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F' GROUP BY o_custkey)
         SELECT coalesce(b.o_custkey, h.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'added' WHEN h.o_custkey IS NULL THEN 'removed' WHEN b.v IS NOT DISTINCT FROM h.v THEN 'kept' ELSE 'changed' END AS source_role
         FROM b FULL JOIN h ON b.o_custkey = h.o_custkey""",
     "clause_annotations": "WITH d AS (SELECT *, lower(coalesce(text, '')) AS t FROM documents), a AS ("
     + " UNION ALL ".join(f"SELECT doc_id, 'tag:{tag}' AS x FROM d WHERE contains(t, '{word}')" for word, tag in _CUES)
     + """ UNION ALL SELECT doc_id, 'size:long' FROM d WHERE n_chars > 5000 UNION ALL SELECT doc_id, 'lang:' || lang FROM d WHERE lang <> 'en')
         SELECT d.doc_id AS clause_id, coalesce(string_agg(DISTINCT x, ',' ORDER BY x), '') AS annotations FROM d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id""",
-    "hint_tags": """SELECT n_regionkey AS unit_id, n_name AS value FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -950)""",
+    "hint_tags": """SELECT DISTINCT o_custkey AS unit_id, o_orderpriority AS value FROM orders o WHERE o_orderstatus IS DISTINCT FROM 'F'
+        AND NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_custkey = o.o_custkey AND f.o_orderpriority = o.o_orderpriority AND f.o_orderstatus = 'F')""",
     "evidence_diagnostics": """SELECT c_custkey AS unit_id, concat_ws(',', CASE WHEN c_mktsegment = 'BUILDING' THEN 'applicability_unknown' END, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'no_evidence' END,
         CASE WHEN c_acctbal < 0 THEN 'retrieval_blocked' END, CASE WHEN c_acctbal > 9000 THEN 'token_budget_exhausted' END) AS codes FROM customer""",
     "utc_times": "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS utc FROM events",
-    "score_conventions": """WITH n AS (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < -900) AS h, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < -500) AS w FROM nation)
-        SELECT n_nationkey, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) END AS open, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) ELSE 0 END AS zero, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) ELSE 1 END AS perfect FROM n""",
+    "score_conventions": """WITH n AS (SELECT c_nationkey, c_mktsegment, abs(CAST(floor(c_acctbal / 100) AS BIGINT)) % 97 AS part, count(*) FILTER (WHERE c_acctbal < -500) AS h, count(*) FILTER (WHERE c_acctbal > 5000) AS w FROM customer GROUP BY ALL)
+        SELECT c_nationkey, c_mktsegment, part, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) END AS open, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) ELSE 0 END AS zero, CASE WHEN h + w > 0 THEN round(h / (h + w)::DOUBLE, 6) ELSE 1 END AS perfect FROM n""",
     "snapshot_by_alias": "SELECT p_partkey, p_name, p_brand FROM part",
     "strict_json_records": """WITH c AS (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 'duplicate_key' WHEN 'HOUSEHOLD' THEN 'unknown_key' WHEN 'MACHINERY' THEN 'missing_key' WHEN 'FURNITURE' THEN 'not_json' END AS problem FROM customer)
         SELECT c_custkey, problem, CASE WHEN problem IS NULL THEN c_custkey END AS key, CASE WHEN problem IS NULL THEN c_nationkey END AS nation FROM c""",
@@ -324,7 +324,7 @@ ORACLES = {
         FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn""",
     "sealed_projection": "SELECT CAST(s_nationkey AS VARCHAR) AS binding_id, CAST(s_suppkey AS VARCHAR) AS atom_id FROM supplier WHERE s_acctbal >= 0",
     "extraction_spans": """WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber AS start, CAST(trunc(l_quantity) AS INTEGER) AS "end", (l_linestatus, l_returnflag) IN (('F', 'R'), ('O', 'A')) AS wrong FROM lineitem),
-        o AS (SELECT o_orderkey, floor(o_totalprice / 5000) AS n FROM orders WHERE o_orderstatus <> 'P')
+        o AS (SELECT o_orderkey, floor(o_totalprice / 5000) AS n FROM orders)
         SELECT l_orderkey, l_linenumber, start, "end", CASE WHEN wrong THEN 'L1' ELSE 'L' || start || '-L' || "end" END AS anchor,
                CASE WHEN n IS NULL THEN 'unknown_document' WHEN start < 1 OR start > "end" THEN 'no_lines' WHEN "end" > n THEN 'out_of_range' WHEN wrong THEN 'other_anchor' END AS problem FROM x LEFT JOIN o ON l_orderkey = o_orderkey""",
     "rendered_projection": r"""WITH e AS (SELECT s_nationkey AS k, CASE WHEN s_acctbal < 0 THEN 1 WHEN s_acctbal >= 9000 THEN 0 END AS p, s_suppkey, '- ' || regexp_replace(s_name, '([\\`*_\[\]#|])', '\\\1', 'g') AS line FROM supplier),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import applicability, retrieval, tagging
+from ..operators import applicability, planning, retrieval, tagging
 from ..session import rows_of, table
 
 #: Queries are the vectors whose id is divisible by this; all vectors are the index.
@@ -245,11 +245,11 @@ def budget_select(spark, sf_dir):
 
 
 def bin_pack(spark, sf_dir):
-    """A day's orders of a customer packed first-fit by their number of items; a group is one customer's."""
+    """All orders of a customer packed first-fit by their number of items, in the order of their keys."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("int").alias("tokens"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("group_id"))
     items = li.join(o, "l_orderkey").select("group_id", F.col("l_orderkey").alias("item_id"), F.col("l_orderkey").alias("seq"), "tokens", F.lit(150).alias("capacity"))
-    return retrieval.first_fit_bins(items)
+    return planning.first_fit_bins(items)
 
 
 def even_budget_split(spark, sf_dir):

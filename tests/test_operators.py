@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import stats
 from lodestone.functions import text as X
-from lodestone.operators import applicability, consensus, graph, intervals, metrics, near_duplicate, retrieval, tagging
+from lodestone.operators import applicability, consensus, graph, intervals, metrics, near_duplicate, planning, retrieval, tagging
 from lodestone.sources import readers
 from lodestone.sources.store import SnapshotConflict, SnapshotStore, checksum
 
@@ -62,7 +62,7 @@ def test_budget_met_exactly(spark):
 
 def test_first_fit(spark):
     df = spark.createDataFrame([(1, i, i, t, 10) for i, t in enumerate([6, 5, 4, 11, 5, 1])], "group_id int, item_id int, seq int, tokens int, capacity int")
-    assert values(retrieval.first_fit_bins(df), "item_id", "bin") == [(0, 0), (1, 1), (2, 0), (3, -1), (4, 1), (5, 2)]
+    assert values(planning.first_fit_bins(df), "item_id", "bin") == [(0, 0), (1, 1), (2, 0), (3, -1), (4, 1), (5, 2)]
 
 
 def test_ties_are_broken_by_authority_then_id(spark):
@@ -318,3 +318,83 @@ def test_sentence_pieces_against_a_loop(spark):
     for i, t in enumerate(texts):
         assert got[i]["p"] == plain_pieces(t, 10**9) and got[i]["b"] == plain_pieces(t, 10) and got[i]["l"] == plain_pieces(t, 800), t
         assert "".join(got[i]["b"]) == t
+
+
+def test_first_fit_against_a_scan():
+    rng = random.Random(8)
+    for _ in range(300):
+        capacity, bins = rng.randint(1, 30), []
+        tree = planning.FirstFit(capacity)
+        for _ in range(rng.randint(0, 60)):
+            size = rng.randint(0, 32)
+            at = next((i for i, u in enumerate(bins) if u + size <= capacity), len(bins)) if size <= capacity else None
+            if at is not None:
+                bins += [0] * (at == len(bins))
+                bins[at] += size
+            assert tree.put(size) == at
+
+
+def plain_plan(groups, questions, candidates, budget):
+    """One question after the other, one candidate after the other."""
+    decisions, bundles = set(), set()
+    for g, primary, blocked in groups:
+        for _, q in [x for x in questions if x[0] == g]:
+            spent, missing, helpful, degraded = 0, False, [], False
+            for c, _, tokens, need, relation, quality in sorted([x[2:] for x in candidates if x[:2] == (g, q)], key=lambda x: (x[1], x[0])):
+                bad = "distractor_rejected" if need == "distractor" or relation in planning.NOT_EVIDENCE else "relation_degraded" if quality != "exact" else "context_blocked" if blocked else "budget_exceeded" if primary > budget else None
+                degraded |= bad == "relation_degraded"
+                if not bad and need == "required" and primary + spent + tokens > budget:
+                    bad = "budget_exceeded"
+                if bad:
+                    missing |= need == "required"
+                    decisions.add((g, q, c, "omitted", bad, None))
+                elif need == "required":
+                    spent += tokens
+                    decisions.add((g, q, c, "selected", "required_context", None))
+                else:
+                    helpful.append((c, tokens))
+            used = [0]
+            for c, tokens in helpful:
+                at = None if missing or tokens > budget - primary - spent else next((i for i, u in enumerate(used) if u + tokens <= budget - primary - spent), len(used))
+                decisions.add((g, q, c, "omitted", "context_blocked" if missing else "budget_exceeded", None) if at is None else (g, q, c, "selected", "helpful_context", at))
+                if at is not None:
+                    used += [0] * (at == len(used))
+                    used[at] += tokens
+            poor = missing or blocked or primary > budget
+            issues = ",".join(n for n, on in (("context_insufficient", poor), ("primary_exceeds_budget", primary > budget), ("relation_degraded", degraded)) if on)
+            bundles |= {(g, q, i, spent + u, primary + spent + u, not poor, issues) for i, u in enumerate(used)}
+    return decisions, bundles
+
+
+def test_context_plan_against_a_loop(spark):
+    rng = random.Random(4)
+    groups = [(g, rng.choice([0, 40, 100, 101, 20]), g % 7 == 3) for g in range(25)]
+    questions = [(g, q) for g in range(25) for q in ("a", "b")] + [(99, "a")]
+    candidates = [
+        (rng.randrange(27), rng.choice("ab"), c, rng.randrange(5), rng.choice([0, 5, 30, 31, 60, 120]), rng.choice(["required", "helpful", "helpful", "helpful", "distractor"]), rng.choice(["call", "call", "call", "same_host"]), rng.choice(["exact"] * 9 + ["partial", None]))
+        for c in range(400)
+    ]
+    frames = [spark.createDataFrame(r, s).repartition(3) for r, s in ((groups, "group_id int, primary_tokens int, blocked boolean"), (questions, "group_id int, question_id string"), (candidates, "group_id int, question_id string, candidate_id int, seq int, tokens int, necessity string, relation_type string, quality string"))]
+    decisions, bundles = planning.context_plan(*frames, 100)
+    want = plain_plan(groups, questions, candidates, 100)
+    assert {tuple(r) for r in decisions.collect()} == want[0] and decisions.count() == len(want[0])
+    assert {tuple(r) for r in bundles.collect()} == want[1] and bundles.count() == len(want[1])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_distinct_picks_against_a_loop(spark, seed):
+    rng = random.Random(seed)
+    members = [(f"f{rng.randrange(30)}", f"m{rng.randrange(25):02d}") for _ in range(120)] + [(None, "m01"), ("f1", None)]
+    sets = {}
+    for f, m in members:
+        if f and m:
+            sets.setdefault(f, set()).add(m)
+    used, want = set(), {}
+    for f in sorted(sets, key=lambda x: (len(sets[x]), x)):
+        free = sorted(sets[f] - used)
+        if free:
+            want[f] = free[0]
+            used.add(free[0])
+    got = planning.distinct_picks(spark.createDataFrame(members, "family string, member string"), graph.work_folder(spark))
+    assert dict(values(got, "family", "pick")) == want
+    assert planning.distinct_picks(spark.createDataFrame([], "family string, member string"), graph.work_folder(spark)).count() == 0
