@@ -395,4 +395,27 @@ ORACLES = {
     "even_sampling": """SELECT conv_id, CAST(n AS INTEGER) AS n, CASE WHEN n <= 5 THEN array_to_string(range(0, n), ',')
                ELSE array_to_string(list_transform(range(0, 5), lambda i: CAST(round_even(i * (n - 1) / 4.0::DOUBLE, 0) AS INTEGER)), ',') END AS positions
         FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""",
+    "bin_pack": """
+        WITH RECURSIVE i AS (SELECT o_custkey AS group_id, l_orderkey AS item_id, CAST(sum(l_quantity) AS INT) AS tokens FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY item_id) AS n FROM i),
+        w(group_id, n, item_id, tokens, used, slot) AS (
+            SELECT group_id, n, item_id, tokens, CASE WHEN tokens <= 150 THEN [tokens] ELSE [0] END, CASE WHEN tokens <= 150 THEN 1 ELSE 0 END FROM o WHERE n = 1
+            UNION ALL SELECT group_id, n, item_id, tokens, CASE WHEN slot = 0 THEN used WHEN slot > len(used) THEN list_append(used, tokens) ELSE list_concat(used[: slot - 1], [used[slot] + tokens], used[slot + 1 :]) END, slot
+            FROM (SELECT o.group_id, o.n, o.item_id, o.tokens, w.used, CASE WHEN o.tokens > 150 THEN 0 ELSE coalesce(list_position(list_transform(w.used, lambda u: u + o.tokens <= 150), true), len(w.used) + 1) END AS slot
+                  FROM w JOIN o ON o.group_id = w.group_id AND o.n = w.n + 1))
+        SELECT group_id, item_id, tokens, CAST(slot - 1 AS INT) AS bin FROM w""",
+    "budget_select": f"""
+        WITH RECURSIVE d AS (SELECT source AS unit_id, doc_id AS rule_id, lang, CAST(greatest(1, ceil(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 4.0) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) AS INT) AS tokens FROM documents WHERE text <> ''),
+        h AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY tokens, rule_id) AS rank FROM d QUALIFY rank <= 80),
+        s AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY j, rank) AS n FROM (
+            SELECT h.*, j FROM h JOIN (VALUES (1, 'de'), (2, 'odd'), (3, 'fr')) w(j, d) ON lang = d OR (d = 'odd' AND tokens % 2 = 1) UNION ALL SELECT h.*, 9 FROM h)),
+        w(unit_id, n, j, spent, sel, over, done) AS (
+            SELECT DISTINCT unit_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false FROM h
+            UNION ALL SELECT unit_id, n, j, CASE WHEN takes THEN spent + tokens ELSE spent END, CASE WHEN takes THEN list_append(sel, rule_id) ELSE sel END, CASE WHEN tried AND NOT takes THEN list_append(over, rule_id) ELSE over END, (done AND j = before) OR (takes AND j < 9)
+            FROM (SELECT *, tried AND spent + tokens <= 900 AS takes FROM (SELECT s.unit_id, s.n, s.j, s.rule_id, s.tokens, w.spent, w.sel, w.over, w.done, w.j AS before,
+                    NOT (w.done AND w.j = s.j) AND NOT list_contains(w.sel, s.rule_id) AND len(w.sel) < {retrieval.RESULT_LIMIT} AS tried FROM w JOIN s ON s.unit_id = w.unit_id AND s.n = w.n + 1))),
+        f AS (SELECT unit_id, arg_max(sel, n) AS sel, arg_max(over, n) AS over FROM w GROUP BY unit_id),
+        x AS (SELECT h.*, list_contains(sel, rule_id) AS chosen, list_contains(over, rule_id) AS late FROM h JOIN f ON f.unit_id = h.unit_id)
+        SELECT unit_id, rule_id, CAST(rank AS INT) AS rank, tokens, CASE WHEN chosen THEN 'selected' WHEN late THEN 'token_budget' ELSE 'result_limit' END AS status,
+               CAST(CASE WHEN chosen THEN sum(CAST(chosen AS INT)) OVER (PARTITION BY unit_id ORDER BY rank) ELSE 0 END AS INT) AS position FROM x""",
 }
