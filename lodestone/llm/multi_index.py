@@ -7,16 +7,20 @@ in the order of their summed distance with a heap, until the cells visited hold
 are ranked by their inner product in double precision.
 
 Codebooks are fitted by k-means on at most ``SAMPLE_ROWS`` rows, taken by a hash
-of their id; every row is indexed.  Cells are packed into shards of about
+of their id; every row is indexed.  Nearness is an inner product, so the distance of a
+half is ``-(query . centroid + REACH * |query| * radius / sqrt(dimensions))``: what a
+row of the cell may add beyond its centroid, which tells where long vectors are.
+``share`` is the smallest of ``SHARES`` that finds ``AIM`` of the nearest within the
+sample, for up to ``SAMPLE_QUERIES`` of its rows, or the largest.  Cells are packed into shards of about
 ``SHARD_ROWS`` rows; a larger cell is split over several by a hash of the id, so
 one very common vector fills no single task.  A query goes only to shards with a
 cell that it visits.  The entries of a shard are repeated only where more than
 ``QUERY_ROWS`` queries visit it, once for each block of so many.  Each shard gives
 its 20 best entries of a query, and a window over these few gives the result.
 
-Recall depends on ``share`` and on how clustered the vectors are.  The default
-is for vectors without clusters, where no index of this kind does with much less
-than half of the rows.
+Recall depends on ``share`` and on how clustered the vectors are.  Vectors without
+clusters need the largest share: no index of this kind does with much less than
+half of the rows there.
 
 Rows whose vector is null, zero or holds a null or non-finite component, whose id
 is null, or whose length is not the commonest take no part.  Of rows that repeat
@@ -37,7 +41,8 @@ from .scratch import Scratch, checked_broadcast
 
 CENTROIDS = 64
 SAMPLE_ROWS = 16_384
-SHARE, LEAST = 0.6, 2_000
+SHARES, LEAST = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6), 200
+AIM, SAMPLE_QUERIES, REACH = 0.98, 200, 3.0
 SHARD_ROWS, QUERY_ROWS = 8_192, 8_192
 
 
@@ -92,8 +97,16 @@ class MultiIndex:
         self.half = max(1, sample.shape[1] // 2)
         self.books = k_means(sample[:, : self.half], centroids), k_means(sample[:, self.half :], centroids)
         self.n = len(self.books[1])
+        self.radii = self._radii(sample[:, : self.half], self.books[0]), self._radii(sample[:, self.half :], self.books[1])
         self.counts = np.zeros(len(self.books[0]) * self.n, np.int64)
 
+    @staticmethod
+    def _radii(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Of each centroid the root mean square distance of its points, over the root of the dimensions."""
+        nearest = assign(points, centres)
+        squares = np.bincount(nearest, weights=((points - centres[nearest]) ** 2).sum(1), minlength=len(centres))
+        return np.sqrt(squares / np.maximum(1, np.bincount(nearest, minlength=len(centres))) / max(1, points.shape[1]))
+
     def cells(self, points: np.ndarray) -> np.ndarray:
         return assign(points[:, : self.half], self.books[0]) * self.n + assign(points[:, self.half :], self.books[1])
 
@@ -110,12 +123,33 @@ class MultiIndex:
             if self.parts[cell] > 1:
                 shard, filled = shard + int(self.parts[cell]), 0
 
+    def visited(self, query: np.ndarray, wanted: int) -> list[int]:
+        halves = query[: self.half], query[self.half :]
+        first, second = (-(book @ half + REACH * np.linalg.norm(half) * radii) for book, half, radii in zip(self.books, halves, self.radii, strict=True))
+        return visit(first, second, self.counts, wanted)
+
+    def share_for(self, sample: np.ndarray, k: int) -> float:
+        """The smallest share that finds AIM of the ``k`` nearest within the sample, or the largest there is."""
+        cells = self.cells(sample)
+        trial = MultiIndex.__new__(MultiIndex)
+        trial.__dict__ |= self.__dict__ | {"counts": np.bincount(cells, minlength=len(self.counts))}
+        rows = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))
+        found = np.zeros(len(SHARES))
+        for row in rows.tolist():
+            score = sample @ sample[row]
+            score[row] = -np.inf
+            near = cells[np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]]
+            place = {c: i for i, c in enumerate(trial.visited(sample[row], len(sample)))}
+            reached = np.cumsum(trial.counts[list(place)])  # rows seen after each cell
+            before = np.array([reached[place[c]] - trial.counts[c] for c in near])
+            found += [(before < max(LEAST, share * len(sample))).mean() if len(near) else 1.0 for share in SHARES]
+        good = np.flatnonzero(found / max(1, len(rows)) >= AIM)
+        return SHARES[good[0]] if len(good) else SHARES[-1]
+
     def route(self, query: np.ndarray, wanted: int) -> dict[int, list[int]]:
         """The cells to visit, by shard."""
-        # The distance of a half is its inner product with the centroid, negated.
-        cells = visit(-self.books[0] @ query[: self.half], -self.books[1] @ query[self.half :], self.counts, wanted)
         shards: dict[int, list[int]] = {}
-        for cell in cells:
+        for cell in self.visited(query, wanted):
             for shard in range(self.first[cell], self.first[cell] + self.parts[cell]):
                 shards.setdefault(int(shard), []).append(cell)
         return shards
@@ -137,7 +171,7 @@ def best(ids: np.ndarray, cells: np.ndarray, points: np.ndarray, query_id: int,
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHARE, least: int = LEAST, centroids: int = CENTROIDS, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, every: int = 20, k: int = 20, share: float | None = None, least: int = LEAST, centroids: int = CENTROIDS, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -148,7 +182,9 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == lengths["n"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()
-    index = MultiIndex(np.stack(sample["v"].to_numpy()), centroids)
+    known = np.stack(sample["v"].to_numpy())
+    index = MultiIndex(known, centroids)
+    share = index.share_for(known, k) if share is None else share
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

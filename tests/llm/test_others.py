@@ -302,6 +302,27 @@ def test_search_recall_and_order(spark):
         assert part["rank"].tolist() == list(range(1, 21)) and part["score"].is_monotonic_decreasing and q not in set(part["vec_id"])
 
 
+@pytest.mark.parametrize("kind, share", [("lengths", 0.6), ("clusters", 0.1), ("none", 0.6)])
+def test_recall_by_kinds_of_vectors(spark, kind, share):
+    """Lengths that vary a lot, clusters, and neither: at least 0.9 of the true nearest; clusters need few rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 32))
+    if kind == "lengths":
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+    if kind == "clusters":
+        x = rng.normal(size=(40, 32))[rng.integers(0, 40, len(x))] + 0.2 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = multi_index.nearest(df, every=40).toPandas()
+    hits = []
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(set(np.argsort(-score)[:20]) & set(own["vec_id"])) / 20)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9
+    assert multi_index.MultiIndex(x, 64).share_for(x, 20) <= share
+
+
+
 def test_search_of_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "SHARD_ROWS", 16)
     monkeypatch.setattr(multi_index, "QUERY_ROWS", 3)
