@@ -28,6 +28,8 @@ CHUNK_BYTES = 64 * 1024
 PRIMES = (2**44 - 17, 2**43 - 57, 2**42 - 11)
 #: Rows of a group that are compared with one copy of its representative.
 SALT_ROWS = 512
+#: Members of groups that are broadcast, at most, of about 150 bytes each; more are shuffled.
+MEMBERS = 500_000
 
 _MODULUS = PRIMES[0] * PRIMES[1] * PRIMES[2]
 
@@ -74,12 +76,12 @@ def _with_raw(docs: DataFrame) -> DataFrame:
 
 
 def _unequal(docs: DataFrame, members: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(who) of members that differ in some chunk from their group's representative, the row ``rep``."""
+    """(who) of members that differ in some chunk from their group's representative, the row that ``is_rep``."""
     key = ["size", "a", "b", "c"]
-    texts = _with_raw(docs).join(checked_broadcast(members), "who").where(F.length("raw") == F.col("size"))
-    pieces = texts.select("who", "rep", "salts", *key, F.posexplode(_chunks(F.col("raw"), F.length("raw"), chunk_bytes)).alias("k", "chunk"))
+    texts = _with_raw(docs).join(checked_broadcast(members, MEMBERS), "who").where(F.length("raw") == F.col("size"))
+    pieces = texts.select("who", "is_rep", "salts", *key, F.posexplode(_chunks(F.col("raw"), F.length("raw"), chunk_bytes)).alias("k", "chunk"))
     mine = pieces.select(*key, "k", F.pmod(F.xxhash64("who"), F.col("salts")).alias("salt"), "who", "chunk")
-    theirs = pieces.where(F.col("who") == F.col("rep")).groupBy(*key, "k").agg(F.first("chunk").alias("kept_chunk"), F.first("salts").alias("salts"))
+    theirs = pieces.where("is_rep").groupBy(*key, "k").agg(F.first("chunk").alias("kept_chunk"), F.first("salts").alias("salts"))
     theirs = theirs.select(*key, "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "kept_chunk")
     compared = mine.join(theirs, [*key, "k", "salt"])
     return compared.where(F.col("chunk") != F.col("kept_chunk")).select("who").distinct()
@@ -95,7 +97,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = scratch.table(fingerprints(docs, chunk_bytes), "marks")
     groups = marks.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(_who()).alias("rep"))
     groups = scratch.table(groups.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS)), "groups")
-    members = marks.join(groups, key).where(F.col("size") > 0).select(_who().alias("who"), "rep", "salts", *key).distinct()
+    members = marks.join(groups, key).where(F.col("size") > 0).select(_who().alias("who"), (_who() == F.col("rep")).alias("is_rep"), "salts", *key).distinct()
     unequal = scratch.table(_unequal(docs, scratch.table(members, "members"), chunk_bytes), "unequal")
     if unequal.isEmpty():
         found = marks.join(groups.drop("salts", "rep"), key, "left")

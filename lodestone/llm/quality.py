@@ -13,8 +13,8 @@ is fixed by ``BUCKETS`` and ``RANK``).  Every row is scored, whole texts, in one
 
 Null and empty texts are scored by their bins alone.  Labels that are null, or
 that contradict each other for one doc_id, teach nothing; where no row teaches,
-or only one label is there, every score is 0.5.  Rows that repeat a doc_id are
-scored as rows of their own; a null doc_id is not held out.
+or only one label is there, every score is 0.5.  Of rows that repeat a doc_id the
+smallest text teaches, and all are scored as rows of their own; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -187,6 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("high")).where("quality = high").drop("high")
+    docs = _inputs(docs)
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # a label without a document takes no place in the sample
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,12 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"doc_id": [], "quality": [], "index": [], "value": []})])
-        got = got.sort_values(["doc_id", "quality", "index"]).drop_duplicates("doc_id")
+        got = got.sort_values("doc_id")
         data = [(np.frombuffer(i, "<u2"), np.frombuffer(v, "<f4")) for i, v in zip(got["index"], got["value"], strict=True)]
         machine = fit(data, got["quality"].to_numpy(float))
         yield pd.DataFrame({"bias": [machine.bias], "weights": [machine.weights.tobytes()], "vectors": [machine.vectors.tobytes()]})
 
-    taught = _inputs(docs).join(F.broadcast(sample), "doc_id").mapInPandas(rows, "doc_id long, quality int, index binary, value binary")
+    taught = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("t"))  # one row an id, so max_rows in all
+    taught = taught.select("doc_id", "quality", "t.text", "t.n_chars").mapInPandas(rows, "doc_id long, quality int, index binary, value binary")
     one = taught.repartition(1).mapInPandas(fitted, "bias double, weights binary, vectors binary").first()
     if one is None:
         return Machine()
