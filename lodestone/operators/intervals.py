@@ -58,8 +58,8 @@ def islands(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, atoms): units (id, atom) of two sides that share an atom, with the sorted atoms."""
-    l, r = left.select(F.col("id").alias("left_id"), "atom"), right.select(F.col("id").alias("right_id"), "atom")  # noqa: E741
-    return l.join(r, "atom").groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("atom")).alias("atoms"))
+    l, r = left.select(F.col("id").alias("left_id"), "atom").distinct(), right.select(F.col("id").alias("right_id"), "atom").distinct()  # noqa: E741
+    return l.join(r, "atom").groupBy("left_id", "right_id").agg(F.array_sort(F.collect_list("atom")).alias("atoms"))
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:

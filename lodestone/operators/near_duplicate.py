@@ -11,7 +11,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +40,47 @@ def shape(stream: Column) -> Column:
     return F.transform(stream, lambda t: F.when(t.rlike(r"^[\p{L}_]"), F.lit("<id>")).when(t.rlike(r"^\p{N}"), F.lit("<n>")).otherwise(t))
 
 
-def shingles(stream: Column, width: int) -> Column:
-    """Hashes of the distinct runs of ``width`` tokens.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the sum moves all bits of the hash."""
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
 
-    The stream is bound to a lambda variable, so it is computed once and not for every run.
+
+def shingle_hashes(streams: pa.Array, width: int) -> pa.Array:
+    """Sorted distinct hashes of the runs of ``width`` tokens of each stream; a null or short stream has none.
+
+    Each distinct token of a batch is hashed once, and runs are sums over shifted arrays.
     """
+    coded = streams.flatten().fill_null("\u0000").dictionary_encode()
+    words = pd.util.hash_array(np.array(coded.dictionary.to_pylist() or [""], dtype=object), categorize=False).astype(np.uint64)
+    tokens = words[coded.indices.to_numpy(zero_copy_only=False)]
+    sizes = streams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    counts = np.maximum(sizes - width + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), counts)
+    first = np.repeat(ends - sizes, counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = np.zeros(len(row), np.uint64)
+    for k in range(width):
+        hashes = _finished(hashes * _ODD + tokens[first + k]) if len(row) else hashes
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(sizes)))))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[new].view(np.int64)))
 
-    def runs(s: Column) -> Column:
-        last = F.size(s) - width + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(s, i, F.lit(width)))))
 
-    return F.transform(F.array(stream), runs)[0]
+def shingles(stream: Column, width: int) -> Column:
+    """Hashes of the distinct runs of ``width`` tokens."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield shingle_hashes(batch, width)
+
+    return F.arrow_udf(run, "array<bigint>", F.ArrowUDFType.SCALAR_ITER)(stream.cast("array<string>"))
 
 
 def shared_counts(probes: DataFrame, references: DataFrame) -> DataFrame:
@@ -281,14 +312,31 @@ def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY, shap
     return asked.select("id", "key", "issue").join(known, "key").select("id", "n_shingles", decision.alias("decision"))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, width: int, most: int = 5_000_000) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shared): documents that share shingles with a benchmark, and how many distinct ones.
 
-    The distinct benchmark shingles are broadcast where they are at most ``most``,
-    so documents aren't moved; beyond that the join is shuffled.
+    The distinct benchmark shingles, 8 bytes each, go to all tasks where they are at most
+    ``most``: a document's shingles are looked up where they are made and never become rows.
+    Beyond that they are exploded and joined.
     """
-    from ..session import small_side
-
     known = benchmark.select(F.explode(shingles(tokens(F.lower("text")), width)).alias("h")).distinct()
-    docs = documents.select("doc_id", F.explode(shingles(tokens(F.lower("text")), width)).alias("h"))
-    return docs.join(small_side(known, most), "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    own = tokens(F.lower("text"))
+    first = [r[0] for r in known.limit(most + 1).collect()]
+    if len(first) > most:
+        docs = documents.select("doc_id", F.explode(shingles(own, width)).alias("h"))
+        return docs.join(known, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    shared = documents.sparkSession.sparkContext.broadcast(np.sort(np.array(first, np.int64)))
+
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = shared.value
+        for batch in batches:
+            found = shingle_hashes(batch, width)
+            values, sizes = found.values.to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False)
+            hit = np.zeros(len(values), bool)
+            if len(table) and len(values):
+                at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+                hit = table[at] == values
+            yield pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=hit, minlength=len(sizes)).astype(np.int64))
+
+    n_shared = F.arrow_udf(counts, "bigint", F.ArrowUDFType.SCALAR_ITER)(own)
+    return documents.select("doc_id", n_shared.alias("n_shared")).where("n_shared > 0").groupBy("doc_id").agg(F.max("n_shared").alias("n_shared"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import rows_of, small_side
@@ -59,15 +61,40 @@ def hint_only(exact_tags: DataFrame, routing_tags: DataFrame) -> DataFrame:
     return routing_tags.join(exact_tags, ["unit_id", "value"], "left_anti")
 
 
-def keyword_matches(contexts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(unit_id, rule_id, kind, value): keywords found in the lower-cased context (unit_id, context).
+#: Keywords of one automaton, about 100 bytes each; a larger table is searched keyword by keyword.
+MOST_KEYWORDS = 500_000
+
+
+def found_keywords(texts: DataFrame, keywords: DataFrame, text: str, keyword: str) -> DataFrame:
+    """``texts`` with ``keyword``, a row for each distinct keyword, in lower case, that the lower-cased text holds; empty ones hold nowhere.
 
-    ``keywords`` (rule_id, value) is a bounded rule table: its distinct keywords are
-    broadcast and each context is searched once for all of them.
+    The distinct keywords are an automaton that each task builds once; a text is read
+    once for all of them, whatever their number.
     """
-    words = keywords.where("value <> ''").select(F.lower("value").alias("low"), "value").distinct()
-    hits = contexts.select("unit_id", F.lower("context").alias("text")).join(small_side(words), F.col("text").contains(F.col("low")))
-    return hits.select("unit_id", "value").join(keywords, "value").select("unit_id", "rule_id", F.lit("keyword").alias("kind"), "value")
+    words = keywords.select(F.lower(keyword).alias(keyword)).where(f"{keyword} <> ''").distinct()
+    known = [r[0] for r in words.limit(MOST_KEYWORDS + 1).collect()]
+    if len(known) > MOST_KEYWORDS:
+        return texts.join(words, F.lower(text).contains(F.col(keyword)))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in shared.value:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pa.array([sorted({w for _, w in automaton.iter(t)}) if t and shared.value else [] for t in batch.to_pylist()], pa.list_(pa.string()))
+
+    hits = F.arrow_udf(search, "array<string>", F.ArrowUDFType.SCALAR_ITER)
+    return texts.select("*", F.explode(hits(F.lower(text))).alias(keyword))
+
+
+def keyword_matches(contexts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(unit_id, rule_id, kind, value): keywords (rule_id, value) found in the lower-cased context (unit_id, context)."""
+    hits = found_keywords(contexts.select("unit_id", "context"), keywords, "context", "value").select("unit_id", F.col("value").alias("low"))
+    return hits.join(keywords.withColumn("low", F.lower("value")), "low").select("unit_id", "rule_id", F.lit("keyword").alias("kind"), "value")
 
 
 def weighted_scores(matches: DataFrame, weights: DataFrame) -> DataFrame:
@@ -106,18 +133,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms), 8)
 
 
-def similarities(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(unit_id, rule_id, similarity) of all pairs of (unit_id, vector) and (rule_id, vector).
+#: Query vectors that are compared in one pass over the index.
+QUERY_BLOCK = 16_384
+
 
-    The stated set of queries is broadcast behind a check of its size; norms are
-    computed once a row, and the index is neither moved nor sorted.
+def similarities(queries: DataFrame, index: DataFrame, minimum: float | None = None) -> DataFrame:
+    """(unit_id, rule_id, similarity) of pairs of (unit_id, vector) and (rule_id, vector), all or those of at least ``minimum``.
+
+    Queries are dealt to blocks by their id; each block is broadcast as one matrix, and
+    the index passes by it in Arrow batches, a matrix product each: the index is
+    neither moved nor sorted, and a task holds one block and one batch.  Vectors that
+    are null, hold a null or have another length than the first query by id are left
+    out; a zero vector has a similarity of 0.
     """
-    q = queries.select("unit_id", F.col("vector").alias("__q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("__qn"))
-    i = index.select("rule_id", F.col("vector").alias("__i"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("__in"))
-    norms = F.col("__qn") * F.col("__in")
-    pairs = i.crossJoin(small_side(q, 20_000))
-    similarity = F.round(F.when(norms == 0, 0.0).otherwise(dot(F.col("__q"), F.col("__i")) / norms), 8)
-    return pairs.select("unit_id", "rule_id", similarity.alias("similarity"))
+    spark = queries.sparkSession
+    q = queries.select("unit_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
+    i = index.select("rule_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
+    sizes = q.agg(F.count("*").alias("n"), F.min_by(F.size("vector"), "unit_id").alias("dims")).first()
+    schema = f"unit_id {q.schema['unit_id'].dataType.simpleString()}, rule_id {i.schema['rule_id'].dataType.simpleString()}, similarity double"
+    found, blocks = spark.createDataFrame([], schema), max(1, -(-sizes["n"] // QUERY_BLOCK))
+    dims = sizes["dims"] or 0
+    q, i = q.where(F.size("vector") == dims), i.where(F.size("vector") == dims)
+    for block in range(blocks if sizes["n"] else 0):
+        part = q.where(F.pmod(F.xxhash64("unit_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        found = found.unionByName(_block_pairs(spark, part, i, dims, minimum, schema))
+    return found
+
+
+def _block_pairs(spark: SparkSession, part: pa.Table, index: DataFrame, dims: int, minimum: float | None, schema: str) -> DataFrame:
+    def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        return rows, np.sqrt((rows * rows).sum(1))
+
+    units = part.column("unit_id").combine_chunks() if isinstance(part.column("unit_id"), pa.ChunkedArray) else part.column("unit_id")
+    vectors = part.column("vector").combine_chunks() if isinstance(part.column("vector"), pa.ChunkedArray) else part.column("vector")
+    shared = spark.sparkContext.broadcast((units, *matrix(vectors)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, lengths = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # a product of 512 rows with a block is 64 MB at most
+                some = batch.slice(at, 512)
+                rows, norms = matrix(some.column("vector"))
+                both = np.outer(norms, lengths)
+                cosine = np.where(both == 0, 0.0, rows @ queries.T / np.where(both == 0, 1.0, both)).round(8)
+                row, unit = np.nonzero(np.full(cosine.shape, True) if minimum is None else cosine >= minimum)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(unit)), some.column("rule_id").take(pa.array(row)), pa.array(cosine[row, unit])], names=["unit_id", "rule_id", "similarity"])
+
+    return index.mapInArrow(task, schema)
 
 
 def vector_ranking(pairs: DataFrame, minimum: float = MIN_SIMILARITY, limit: int = VECTOR_LIMIT) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_side
+from .retrieval import found_keywords
 
 
 def leaf(value):
@@ -91,10 +92,9 @@ def bind_questions(routes: DataFrame, tags: DataFrame, questions: DataFrame, que
 
 
 def keyword_tags(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, target): rules (keyword, target) whose keyword the lower-cased text holds; rules are a bounded table."""
-    r = F.broadcast(rules.where("keyword <> ''").select(F.lower("keyword").alias("__k"), "target"))
-    low = texts.select("doc_id", F.lower("text").alias("__t"))
-    return low.join(r, F.col("__t").contains(F.col("__k"))).select("doc_id", "target").distinct()
+    """(doc_id, target): rules (keyword, target) whose keyword the lower-cased text holds."""
+    hits = found_keywords(texts.select("doc_id", "text"), rules, "text", "keyword").select("doc_id", "keyword")
+    return hits.join(rules.select(F.lower("keyword").alias("keyword"), "target").distinct(), "keyword").select("doc_id", "target").distinct()
 
 
 def compare_configs(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

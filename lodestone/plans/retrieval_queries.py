@@ -19,9 +19,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return queries, index
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, minimum: float | None = None) -> DataFrame:
     queries, index = _vectors(spark, sf_dir)
-    return retrieval.similarities(queries, index).where("unit_id <> rule_id")
+    return retrieval.similarities(queries, index, minimum).where("unit_id <> rule_id")
 
 
 def cosine_topk(spark, sf_dir):
@@ -29,7 +29,7 @@ def cosine_topk(spark, sf_dir):
 
 
 def min_similarity_filter(spark, sf_dir):
-    return retrieval.vector_ranking(_pairs(spark, sf_dir))
+    return retrieval.vector_ranking(_pairs(spark, sf_dir, retrieval.MIN_SIMILARITY))
 
 
 def _labelled(spark, sf_dir):
@@ -44,7 +44,7 @@ def _labelled(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     exact = retrieval.exact_ranking(_labelled(spark, sf_dir))
-    return retrieval.reciprocal_rank_fusion(exact, retrieval.vector_ranking(_pairs(spark, sf_dir)))
+    return retrieval.reciprocal_rank_fusion(exact, retrieval.vector_ranking(_pairs(spark, sf_dir, retrieval.MIN_SIMILARITY)))
 
 
 def _pool_hits(spark, sf_dir):
@@ -55,7 +55,7 @@ def _pool_hits(spark, sf_dir):
     hits = hits.unionByName(pool(labelled.where("rule_id % 3 = unit_id % 3"), "file_hint", F.col("rule_id") % 7))
     hits = hits.unionByName(pool(labelled.where("rule_id % 5 = unit_id % 5"), "text_keyword", F.col("rule_id") % 11))
     hits = hits.unionByName(pool(labelled, "ai_inferred", F.col("n_matches")))
-    return hits.unionByName(pool(_pairs(spark, sf_dir).where(f"similarity >= {retrieval.MIN_SIMILARITY}"), "semantic_vector", F.col("similarity")))
+    return hits.unionByName(pool(_pairs(spark, sf_dir, retrieval.MIN_SIMILARITY), "semantic_vector", F.col("similarity")))
 
 
 def weighted_pool_rrf(spark, sf_dir):
