@@ -104,3 +104,9 @@ def compare_configs(before: DataFrame, after: DataFrame, keys: list[str], value:
     both = a.join(b, keys, "full_outer").where(F.col("__a").isNull() | F.col("__b").isNull() | ~F.col("before").eqNullSafe(F.col("after")))
     change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").otherwise("changed")
     return both.select(*keys, "before", "after", change.alias("change"))
+
+
+def candidate_dimensions(tags: DataFrame, dimensions: DataFrame, statuses: tuple[str, ...] = ("Active", "Draft")) -> DataFrame:
+    """(unit_id, dimension_id): dimensions (dimension_id, tag_id, status) one of whose tags the unit (unit_id, tag_id) has."""
+    live = dimensions.where(F.col("status").isin(*statuses)).select("dimension_id", "tag_id").distinct()
+    return tags.select("unit_id", "tag_id").distinct().join(small_side(live), "tag_id").select("unit_id", "dimension_id").distinct()

@@ -178,3 +178,13 @@ def publish_projection(store: SnapshotStore, parts: dict[str, DataFrame]) -> str
 def load_projection(store: SnapshotStore, version: str) -> dict[str, DataFrame]:
     """The tables of a verified projection; its list has one row for each."""
     return {row["part"]: store.load(row["index_version"]) for row in store.load(version).collect()}
+
+
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as the table at ``path``, which is written at most once: equal content is left as it is, another one is a conflict.
+
+    The table is written and then sealed by a manifest, so what a broken run has left
+    counts as nothing and is written anew.
+    """
+    store = SnapshotStore(df.sparkSession, path)
+    return store.load(store.publish(df, version="only"))
