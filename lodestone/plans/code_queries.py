@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..code import facts as K
 from ..code import lexing as L
 from ..operators import graph, intervals
+from ..operators import owners as W
 from ..session import table
 
 
@@ -50,6 +51,23 @@ def code_calls(spark, sf_dir):
     return intervals.innermost(hits, ["file", "at"]).groupBy(F.col("file").alias("o_custkey"), "owner", "canonical").agg(F.count("*").alias("n"), F.min("line").alias("line"))
 
 
+def owner_roles(spark, sf_dir):
+    """Customers as types, whose decorators go by their segment, and orders as their methods: roles of units, or why they have none."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    seg, key = F.col("c_mktsegment"), F.concat(F.lit("t"), F.col("c_custkey").cast("string"))
+    types = c.select(F.col("c_custkey").alias("file"), key.alias("declaration_id"), F.when(seg == "BUILDING", "class").otherwise("struct").alias("kind"), key.alias("qualified"), F.lit(None).cast("string").alias("parent_id"), F.when(F.col("c_acctbal") < -800, "recovered").otherwise("exact").alias("quality"))
+    method, parent = F.concat(F.lit("m"), F.col("o_orderkey").cast("string")), F.concat(F.lit("t"), F.col("o_custkey").cast("string"))
+    symbol = F.concat(parent, F.lit("."), method)
+    methods = o.select(F.col("o_custkey").alias("file"), method.alias("declaration_id"), F.lit("method").alias("kind"), symbol.alias("qualified"), parent.alias("parent_id"), F.lit("exact").alias("quality"))
+    marks = F.when(seg == "FURNITURE", F.array()).when(seg == "HOUSEHOLD", F.array(F.lit("@Component"), F.lit("@CustomDialog"))).when(seg == "MACHINERY", F.array(F.lit("@Component"), F.lit("@Entry"))).otherwise(F.array(F.lit("@ComponentV2")))
+    decorators = c.select(F.col("c_custkey").alias("file"), F.lit("decorator").alias("kind"), F.explode(marks.cast("array<string>")).alias("name"), key.alias("owner_id"), F.lit("exact").alias("quality"))
+    times = F.when(F.col("o_orderstatus") == "P", 2).when(F.col("o_orderkey") % 5 == 0, 0).otherwise(1)
+    symbols = o.select(F.col("o_custkey").alias("file"), F.lit("symbol").alias("kind"), symbol.alias("name"), method.alias("owner_id"), F.lit("exact").alias("quality"), F.explode(F.array_repeat(F.lit(0), times)).alias("x")).drop("x")
+    units = types.select(F.col("declaration_id").alias("unit_id"), "file", F.col("kind").alias("unit_kind"), F.col("declaration_id").alias("owner_id"))
+    evidence, diagnostics = W.owner_roles(units, types.unionByName(methods), decorators.unionByName(symbols))
+    return evidence.select("unit_id", "symbol", F.col("owner_role").alias("outcome")).unionByName(diagnostics.select("unit_id", F.lit("").alias("symbol"), F.col("code").alias("outcome")))
+
+
 def lexical_streams(spark, sf_dir):
     """Tokens of each document as code, in both modes, with issues; a cluster is the hash of the shape."""
     d = table(spark, sf_dir, "documents").select("doc_id", L.lexed(F.coalesce("text", F.lit(""))).alias("x"))
@@ -88,7 +106,7 @@ def lexed_sql(p: str, source: str) -> str:
     {p}lexed AS (SELECT id, c, list_transform(c, lambda x: CASE WHEN regexp_matches(x, $re$^[\pL_$]$re$) AND NOT list_contains([{_KEYWORDS}], x) THEN '<id>' ELSE x END) AS s FROM {p}u)"""
 
 
-QUERIES = {f.__name__: f for f in (masked_pages, page_brackets, code_declarations, code_calls, lexical_streams)}
+QUERIES = {f.__name__: f for f in (masked_pages, page_brackets, code_declarations, code_calls, owner_roles, lexical_streams)}
 ORACLES = {
     "masked_pages": f"WITH {_MASKED} SELECT page_id, sha256(m) AS masked_sha256, length(m) = n AS same_length, CAST(length(regexp_replace(m, '[ \\n]', '', 'g')) AS BIGINT) AS ink FROM m",
     "page_brackets": f"""WITH RECURSIVE {_MASKED},
@@ -112,6 +130,11 @@ ORACLES = {
         WITH o AS (SELECT o_custkey, o_orderkey, left(o_orderpriority, 1) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
         SELECT o_custkey, 'Customer' || o_custkey || '.order' || o_orderkey AS owner, CASE p WHEN '1' THEN 'bus.default.put' ELSE 'send' END AS canonical, count(*) AS n, CAST(min(3 * k + 1) AS INT) AS line
         FROM o WHERE p IN ('1', '2') GROUP BY ALL""",
+    "owner_roles": """
+        WITH c AS (SELECT c_custkey, 't' || c_custkey AS t, c_mktsegment AS seg, CASE WHEN c_acctbal < -800 THEN 'recovered' WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'role_unresolved' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'role_ambiguous' END AS code FROM customer),
+        m AS (SELECT t, seg, t || '.m' || o_orderkey AS symbol, CASE WHEN o_orderstatus = 'P' THEN 'symbol_ambiguous' WHEN o_orderkey % 5 = 0 THEN 'symbol_unresolved' END AS code FROM orders JOIN c ON c_custkey = o_custkey WHERE c.code IS NULL)
+        SELECT t AS unit_id, '' AS symbol, code AS outcome FROM c WHERE code IS NOT NULL UNION ALL SELECT DISTINCT t, '', code FROM m WHERE code IS NOT NULL
+        UNION ALL SELECT t, symbol, 'component' FROM m WHERE code IS NULL UNION ALL SELECT t, symbol, 'page' FROM m WHERE code IS NULL AND seg = 'MACHINERY'""",
     "lexical_streams": f"""
         WITH {lexed_sql("d", "SELECT doc_id AS id, text FROM documents")}
         SELECT id AS doc_id, CAST(len(c) AS BIGINT) AS n_tokens, sha256(coalesce(array_to_string(c, ' '), '')) AS content_sha256, sha256(coalesce(array_to_string(s, ' '), '')) AS cluster,

@@ -4,6 +4,7 @@ import random
 
 from lodestone.code import facts as K
 from lodestone.code import lexing as L
+from lodestone.operators import owners
 
 SOURCE = """import Def, { a as b, c } from 'lib/x';
 import * as ns from "lib/y";
@@ -84,3 +85,19 @@ def test_methods_of_a_closed_type(spark):
     files = spark.createDataFrame([("a.ts", "text/typescript", SOURCE.replace("  broken() {\n", "}\n"))], "file string, media_type string, text string")
     declared = {(r["kind"], r["qualified"], r["parent"]) for r in K.declarations(K.parsed(files)).collect()}
     assert declared == {("struct", "Page", None), ("builder", "Page.row", "Page"), ("build_method", "Page.build", "Page"), ("ui_block", "build.Column", "build")}
+
+
+def test_owner_roles_and_their_doubts(spark):
+    declarations = [("f", f"t{i}", kind, f"T{i}", None, q) for i, (kind, q) in enumerate([("struct", "exact"), ("struct", "exact"), ("class", "exact"), ("struct", "recovered"), ("struct", "exact"), ("struct", "exact"), ("struct", "exact"), ("struct", "exact"), ("struct", None)])]
+    declarations += [("f", f"m{i}", "method", f"T{t}.m{i}", p, q) for i, (t, p, q) in enumerate([(0, "t0", "exact"), (0, "t0", "recovered"), (0, "t0", "exact"), (0, "t0", "exact"), (1, "t1", "exact"), (9, None, "exact"), (9, "gone", "exact")])]
+    declarations += [("f", "twice", "struct", "X", None, "exact")] * 2
+    occurrences = [("f", "decorator", n, o, q) for n, o, q in [("@Component", "t0", "exact"), ("@Other", "t0", "guess"), ("@ComponentV2", "t1", "exact"), ("@Entry", "t1", "exact"), ("@Component", "t4", "exact"), ("@CustomDialog", "t4", "exact"), ("@CustomDialog", "t5", "exact"), ("@Component", "t6", "exact"), ("@ComponentV2", "t6", "exact"), ("@Component", "t7", "guess"), ("@Component", "t8", "exact")]]
+    occurrences += [("f", "symbol", n, o, q) for n, o, q in [("T0.m0", "m0", "exact"), ("T0.m1", "m1", "exact"), ("T0.m3", "m3", "exact"), ("T0.m3", "m3", "exact"), ("T1.m4", "m4", "exact"), ("T1.m4", "m0", "exact")]]
+    units = [(u, "f", k, o) for u, k, o in [("a", "struct", "t0"), ("b", "method", "m4"), ("c", "class", "t2"), ("d", "struct", "t3"), ("e", "struct", "t4"), ("g", "struct", "t5"), ("h", "struct", "t6"), ("i", "struct", "t7"), ("j", "struct", "twice"), ("k", "struct", None), ("l", "method", "m5"), ("m", "method", "m6"), ("n", "ui_block", "t0"), ("o", "class", "t0"), ("p", "struct", "t8"), ("q", "struct", "t1")]]
+    frames = [spark.createDataFrame(r, s) for r, s in ((units, "unit_id string, file string, unit_kind string, owner_id string"), (declarations, "file string, declaration_id string, kind string, qualified string, parent_id string, quality string"), (occurrences, "file string, kind string, name string, owner_id string, quality string"))]
+    evidence, diagnostics = owners.owner_roles(*frames)
+    assert {(r["unit_id"], r["symbol"], r["owner_role"]) for r in evidence.collect()} == {("a", "T0.m0", "component"), ("b", "T1.m4", "component"), ("b", "T1.m4", "page"), ("q", "T1.m4", "component"), ("q", "T1.m4", "page")}
+    assert {tuple(r) for r in diagnostics.collect()} == {
+        ("a", "recovered"), ("a", "symbol_unresolved"), ("a", "symbol_ambiguous"), ("c", "role_unresolved"), ("d", "recovered"), ("e", "role_ambiguous"), ("g", "role_unresolved"), ("h", "role_ambiguous"), ("i", "recovered"),
+        ("j", "unit_unresolved"), ("k", "unit_unresolved"), ("l", "enclosing_owner_unresolved"), ("m", "enclosing_owner_unresolved"), ("o", "unit_unresolved"), ("p", "recovered"),
+    }
