@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import applicability, planning, retrieval, tagging
+from ..operators import applicability, evaluation, planning, retrieval, tagging
 from ..session import rows_of, table
 
 #: Queries are the vectors whose id is divisible by this; all vectors are the index.
@@ -67,6 +67,31 @@ def hybrid_retrieval(spark, sf_dir):
     return rrf_fusion(spark, sf_dir).where(F.col("rank") <= retrieval.RESULT_LIMIT)
 
 
+def retrieval_with_failures(spark, sf_dir):
+    """Retrieval where every third unit has no vector: results, and what is the matter with each unit."""
+    queries, _ = _vectors(spark, sf_dir)
+    units = queries.select("unit_id", (F.col("unit_id") % 3 != 0).alias("embedded"))
+    results, diagnostics = evaluation.retrieve(units, retrieval.exact_ranking(_labelled(spark, sf_dir)), retrieval.vector_ranking(_pairs(spark, sf_dir, retrieval.MIN_SIMILARITY)))
+    return diagnostics.join(results, "unit_id", "left").select("unit_id", F.array_join("codes", ",").alias("codes"), "rule_id", "rank", "rrf_score", "vector_rank")
+
+
+def rrf_ties(spark, sf_dir):
+    """Fusion with what breaks ties: records of unknown applicability after others, then by authority."""
+    more = lambda df: df.withColumn("decision", F.when(F.col("rule_id") % 4 == 0, "unknown").otherwise("applicable")).withColumn("authority", (F.col("rule_id") % 3).cast("int")).withColumn("overlap", (F.col("rule_id") % 2).cast("int"))
+    exact = more(retrieval.exact_ranking(_labelled(spark, sf_dir)))
+    vector = more(retrieval.vector_ranking(_pairs(spark, sf_dir, retrieval.MIN_SIMILARITY)))
+    return retrieval.reciprocal_rank_fusion(exact, vector).select("unit_id", "rule_id", "rrf_score", "decision", "authority", "overlap", "rank")
+
+
+def embedding_candidate(spark, sf_dir):
+    """The first half of each vector as another embedding, against the whole ones: truth is the label and the last digit of the id."""
+    queries, index = _vectors(spark, sf_dir)
+    truth = _labelled(spark, sf_dir).where("n_matches = 2").select("unit_id", "rule_id")
+    half = lambda df: df.withColumn("vector", F.slice("vector", 1, 32))
+    found = evaluation.evaluate_candidate(queries.select("unit_id", "vector"), index.select("rule_id", "vector"), truth, half, [("recall", ">=", 0.05), ("mrr", ">=", 0.1)], (5, 8))
+    return found.withColumn("failed", F.array_join("failed", ","))
+
+
 def _part_signals(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("words", F.split("p_name", " "))
     pairs = F.array(
@@ -333,7 +358,7 @@ _ROUTES_SQL = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_topk, min_similarity_filter, rrf_fusion, weighted_pool_rrf, hybrid_retrieval, weighted_signal_score, signal_match_counts, alias_unique_left_join, keyword_theta_join, dimension_coverage,
+        cosine_topk, min_similarity_filter, rrf_fusion, weighted_pool_rrf, hybrid_retrieval, retrieval_with_failures, rrf_ties, embedding_candidate, weighted_signal_score, signal_match_counts, alias_unique_left_join, keyword_theta_join, dimension_coverage,
         applicability_3valued, prefix_suffix_leaf_tags, unit_tag_sets, owner_role_tags, dimension_routes, question_bindings, config_diff, keyword_rules, arm_moves, budget_select, bin_pack, even_budget_split, even_sampling,
     )
 }
@@ -341,6 +366,28 @@ QUERIES = {
 ORACLES = {
     "cosine_topk": f"WITH {_PAIRS_SQL} SELECT * FROM (SELECT unit_id, rule_id, similarity, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, rule_id) AS rank FROM s) WHERE rank <= 30",
     "min_similarity_filter": f"WITH {_PAIRS_SQL} SELECT * FROM (SELECT unit_id, rule_id, similarity, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, rule_id) AS rank FROM s WHERE similarity >= 0.30) WHERE rank <= 30",
+    "retrieval_with_failures": f"""{_RRF_SQL.replace("WHERE similarity >= 0.30)", "WHERE similarity >= 0.30 AND unit_id % 3 <> 0)")}
+        SELECT e.vec_id AS unit_id, concat_ws(',', CASE WHEN e.vec_id % 3 = 0 THEN 'embedding_unavailable' END, CASE WHEN g.rule_id IS NULL THEN 'no_evidence' END) AS codes, g.rule_id, g.rank, g.rrf_score, g.vector_rank
+        FROM embeddings e LEFT JOIN g ON g.unit_id = e.vec_id AND g.rank <= 8 WHERE e.vec_id % {EVERY} = 0""",
+    "rrf_ties": f"""{_RRF_SQL} SELECT unit_id, rule_id, rrf_score, CASE WHEN rule_id % 4 = 0 THEN 'unknown' ELSE 'applicable' END AS decision, CAST(rule_id % 3 AS INT) AS authority, CAST(rule_id % 2 AS INT) AS overlap,
+        row_number() OVER (PARTITION BY unit_id ORDER BY rrf_score DESC, exact_rank IS NULL, coalesce(exact_score, 0) DESC, coalesce(similarity, -1) DESC, rule_id % 4 = 0, rule_id % 3 DESC, rule_id) AS rank
+        FROM (SELECT f.unit_id, f.rule_id, f.exact_rank, f.exact_score, v.similarity, v.r AS vector_rank, round(coalesce(1.0::DOUBLE / (60 + f.exact_rank), 0) + coalesce(1.0::DOUBLE / (60 + v.r), 0), 8) AS rrf_score
+              FROM (SELECT coalesce(e.unit_id, x.unit_id) AS unit_id, coalesce(e.rule_id, x.rule_id) AS rule_id, e.r AS exact_rank, CAST(e.score AS BIGINT) AS exact_score FROM (SELECT * FROM e WHERE r <= 50) e
+                    FULL JOIN (SELECT unit_id, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, rule_id) AS r FROM s WHERE similarity >= 0.30) WHERE r <= 30) x ON e.unit_id = x.unit_id AND e.rule_id = x.rule_id) f
+              LEFT JOIN (SELECT unit_id, rule_id, similarity, row_number() OVER (PARTITION BY unit_id ORDER BY similarity DESC, rule_id) AS r FROM s WHERE similarity >= 0.30 QUALIFY r <= 30) v ON v.unit_id = f.unit_id AND v.rule_id = f.rule_id)""",
+    "embedding_candidate": f"""
+        WITH {_PAIRS_SQL}, c AS (SELECT q.vec_id AS unit_id, i.vec_id AS rule_id, round(coalesce(list_cosine_similarity((q.embedding[1:32])::DOUBLE[], (i.embedding[1:32])::DOUBLE[]), 0), 8) AS similarity
+            FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id WHERE q.vec_id % {EVERY} = 0),
+        r AS (SELECT arm, unit_id, rule_id, row_number() OVER (PARTITION BY arm, unit_id ORDER BY similarity DESC, rule_id) AS rank
+              FROM (SELECT 'current' AS arm, unit_id, rule_id, similarity FROM s UNION ALL SELECT 'candidate', unit_id, rule_id, similarity FROM c) WHERE similarity >= 0.30 QUALIFY rank <= 30),
+        t AS (SELECT unit_id, rule_id FROM s WHERE ql = il AND unit_id % 10 = rule_id % 10), n AS (SELECT unit_id, count(*) AS relevant FROM t GROUP BY unit_id),
+        u AS (SELECT DISTINCT arm, unit_id FROM r UNION SELECT arm, unit_id FROM n, (SELECT DISTINCT arm FROM r)),
+        h AS (SELECT r.arm, r.unit_id, r.rank, t.rule_id IS NOT NULL AS hit FROM r LEFT JOIN t ON t.unit_id = r.unit_id AND t.rule_id = r.rule_id),
+        m AS (SELECT u.arm, k, count(*) FILTER (WHERE hit AND rank <= k) AS hits, count(*) FILTER (WHERE rank <= k) AS shown, coalesce(any_value(relevant), 0) AS relevant, min(rank) FILTER (WHERE hit) AS first
+              FROM u CROSS JOIN (VALUES (5), (8)) x(k) LEFT JOIN h ON h.arm = u.arm AND h.unit_id = u.unit_id LEFT JOIN n ON n.unit_id = u.unit_id GROUP BY u.arm, u.unit_id, k),
+        a AS (SELECT arm, CAST(k AS INT) AS k, round(sum(hits) / nullif(sum(relevant), 0)::DOUBLE, 6) AS recall, round(sum(hits) / nullif(sum(shown), 0)::DOUBLE, 6) AS precision,
+                     round(avg(CASE WHEN relevant > 0 THEN round(CASE WHEN first IS NULL THEN 0 ELSE 1 / first::DOUBLE END, 6) END), 6) AS mrr FROM m GROUP BY arm, k)
+        SELECT *, concat_ws(',', CASE WHEN NOT coalesce(mrr >= 0.1, false) THEN 'mrr>=0.1' END, CASE WHEN NOT coalesce(recall >= 0.05, false) THEN 'recall>=0.05' END) AS failed FROM a""",
     "rrf_fusion": f"{_RRF_SQL} SELECT * FROM g",
     "hybrid_retrieval": f"{_RRF_SQL} SELECT * FROM g WHERE rank <= 8",
     "weighted_pool_rrf": f"{_POOL_SQL} SELECT * FROM g",
