@@ -89,8 +89,8 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (
     )
     firsts = ranked.join(truth, ["unit_id", "rule_id"], "left_semi").groupBy("arm", "unit_id").agg(F.min("rank").alias("first"))
     n = truth.groupBy("unit_id").agg(F.count_distinct("rule_id").alias("relevant"))
-    arms = ranked.select("arm").distinct()
-    units = wide.select("arm", "unit_id").union(n.select("unit_id").crossJoin(F.broadcast(arms)).select("arm", "unit_id")).distinct()
+    arms = ranked.agg(F.collect_set("arm").alias("arms"))  # one row: the arms that are compared
+    units = wide.select("arm", "unit_id").union(n.select("unit_id").join(F.broadcast(arms), F.lit(True)).select(F.explode("arms").alias("arm"), "unit_id")).distinct()
     joined = units.join(wide, ["arm", "unit_id"], "left").join(n, "unit_id", "left").join(firsts, ["arm", "unit_id"], "left").fillna(0)
     at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits"), F.col(f"s{k}").alias("shown")) for k in ks)))
     long = joined.select("arm", "unit_id", "relevant", "first", at.alias("x")).select("arm", "unit_id", "relevant", "first", "x.*")

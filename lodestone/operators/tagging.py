@@ -78,7 +78,7 @@ def route_dimensions(tags: DataFrame, dimensions: DataFrame, dimension_tags: Dat
     ``tags`` (unit_id, tag_id), ``dimensions`` (dimension_id, always_check), ``dimension_tags`` (dimension_id, tag_id).
     """
     by_tag = tags.join(small_side(dimension_tags), "tag_id").select("unit_id", "dimension_id").distinct().withColumn("by_tag", F.lit(True))
-    always = tags.select("unit_id").distinct().crossJoin(F.broadcast(dimensions.where("always_check").select("dimension_id"))).withColumn("by_tag", F.lit(False))
+    always = tags.select("unit_id").distinct().crossJoin(small_side(dimensions.where("always_check").select("dimension_id"))).withColumn("by_tag", F.lit(False))
     both = by_tag.unionByName(always)
     return both.groupBy("unit_id", "dimension_id").agg(F.bool_or("by_tag").alias("by_tag")).withColumn("review", F.lit(True))
 

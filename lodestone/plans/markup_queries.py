@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..markdown import annotations as A
 from ..markdown import blocks as B
 from ..markdown import clauses as C
 from ..markdown import sections as S
 from ..operators import positions as P
-from ..session import table
+from ..session import rows_of, table
 
 
 def _conversations(spark, sf_dir):
@@ -41,14 +42,18 @@ _SECTIONS_SQL = """
 """
 
 
-def markdown_clauses(spark, sf_dir):
+def _clauses(spark, sf_dir):
     """Clauses of each document as Markdown: its lines in turn are a rule, a note to it, the introduction of a list and an item of that list."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")) != "").alias("l"))
     flat = lambda x: F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " "))
     forms = lambda x, i: F.concat(F.when(i % 4 == 0, "It must hold: ").when(i % 4 == 1, "> Note: ").when(i % 4 == 2, "So ").otherwise("- one should "), flat(x), F.when(i % 4 == 2, ":").otherwise("."))
     md = F.concat(F.lit("# Source "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.array_join(F.transform("l", forms), "\n\n"))
-    read = C.read_clauses(B.blocks(d.select("doc_id", md.alias("md")), "doc_id", "md"))
-    return C.clauses(read).select(
+    return C.clauses(C.read_clauses(B.blocks(d.select("doc_id", md.alias("md")), "doc_id", "md")))
+
+
+def markdown_clauses(spark, sf_dir):
+    """Clauses of those documents: their types, ids, notes, contexts, lines and neighbours."""
+    return _clauses(spark, sf_dir).select(
         F.col("id").alias("doc_id"), "clause", "rule_id", "rule_type", F.sha2("text", 256).alias("text_sha256"), F.length("notes").alias("note_length"), F.sha2(F.coalesce("parent_context", F.lit("")), 256).alias("context_sha256"),
         "start_line", "end_line", "previous", "next",
     )
@@ -73,6 +78,31 @@ _CLAUSES_SQL = r"""
 """
 
 
+_KEYWORDS = [("Note", "noted"), ("should", "advice"), ("must hold", "duty"), ("copyright", "legal"), ("licensed under", "legal"), ("@", "contact")]
+_DIMENSIONS = [("force", "duty", "Active"), ("force", "advice", "Draft"), ("law", "legal", "Active"), ("gone", "contact", "Deprecated")]
+
+
+def clause_topics(spark, sf_dir):
+    """Tags and dimensions of the clauses of each document, by keywords in their text, context and headings."""
+    found = A.annotate(_clauses(spark, sf_dir), rows_of(spark, _KEYWORDS, "keyword string, tag_id string"), rows_of(spark, [("ui.load",), ("save",)], "name string"), rows_of(spark, _DIMENSIONS, "dimension_id string, tag_id string, status string"))
+    return found.select(F.col("id").alias("doc_id"), "clause", *(F.array_join(c, ",").alias(c) for c in ("tags", "dimension_ids", "interfaces")))
+
+
+_TOPICS_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\s\pZ]+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
+    k AS (SELECT doc_id, source, l, unnest(range(0, len(l))) AS i FROM d),
+    c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS clause,
+            CASE WHEN i % 4 = 0 THEN 'It must hold: ' || l[i + 1] || '.' || CASE WHEN i + 2 <= len(l) THEN l[i + 2] || '.' ELSE '' END ELSE 'one should ' || l[i + 1] || '.' END AS text,
+            lower('Source ' || source || chr(10) || CASE WHEN i % 4 = 0 THEN 'It must hold: ' || l[i + 1] || '.' || CASE WHEN i + 2 <= len(l) THEN l[i + 2] || '.' ELSE '' END ELSE 'one should ' || l[i + 1] || '.' || chr(10) || 'So ' || l[i] || ':' END) AS t
+          FROM k WHERE i % 4 IN (0, 3))
+    SELECT doc_id, CAST(clause AS INT) AS clause,
+           concat_ws(',', CASE WHEN contains(t, 'should') THEN 'advice' END, CASE WHEN contains(t, '@') THEN 'contact' END, CASE WHEN contains(t, 'must hold') THEN 'duty' END, CASE WHEN contains(t, 'copyright') OR contains(t, 'licensed under') THEN 'legal' END, CASE WHEN contains(t, 'note') THEN 'noted' END) AS tags,
+           concat_ws(',', CASE WHEN contains(t, 'should') OR contains(t, 'must hold') THEN 'force' END, CASE WHEN contains(t, 'copyright') OR contains(t, 'licensed under') THEN 'law' END) AS dimension_ids,
+           concat_ws(',', CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9_$.])([A-Za-z0-9_$.]*[.])?save\s*\(|@save($|[^A-Za-z0-9_])|`([^`]*[.])?save`') THEN 'save' END,
+                          CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9_$.])([A-Za-z0-9_$.]*[.])?load\s*\(|@load($|[^A-Za-z0-9_])|`(ui[.])?load`') THEN 'ui.load' END) AS interfaces FROM c
+"""
+
+
 def source_atoms(spark, sf_dir):
     """Documents, turns and pages read as Markdown: their atoms and regions put together are the source, and cover each line once."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
@@ -110,5 +140,5 @@ _POSITIONS_SQL = r"""
     UNION ALL SELECT doc_id, 'utf16', utf16, point, utf16, utf8, line, col FROM v UNION ALL SELECT doc_id, 'utf8', utf8, point, utf16, utf8, line, col FROM v
 """
 
-QUERIES = {f.__name__: f for f in (markdown_sections, markdown_clauses, source_atoms, position_maps)}
-ORACLES = {"markdown_sections": _SECTIONS_SQL, "markdown_clauses": _CLAUSES_SQL, "source_atoms": _ATOMS_SQL, "position_maps": _POSITIONS_SQL}
+QUERIES = {f.__name__: f for f in (markdown_sections, markdown_clauses, clause_topics, source_atoms, position_maps)}
+ORACLES = {"markdown_sections": _SECTIONS_SQL, "markdown_clauses": _CLAUSES_SQL, "clause_topics": _TOPICS_SQL, "source_atoms": _ATOMS_SQL, "position_maps": _POSITIONS_SQL}

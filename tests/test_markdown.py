@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.markdown import annotations as A
 from lodestone.markdown import blocks as B
 from lodestone.markdown import clauses as C
 from lodestone.markdown import sections as S
@@ -201,3 +202,12 @@ def test_places_of_one_text_are_dealt_out(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "ab\ncd" * 40)], "id int, text string")
     got = P.positions(texts, spark.range(201).select(F.lit(1).alias("id"), F.lit("point").alias("unit"), F.col("id").alias("at")))
     assert got.where("point = at and utf8 = at").count() == 201
+
+
+def test_annotations(spark):
+    clauses = spark.createDataFrame([(1, 1, "Call `load` or ui.save(x); @Entry", ["API"], None), (1, 2, "plain", ["Secret part"], "a Token:"), (2, 1, "xload(1)", [], None)], "id int, clause int, text string, heading_path array<string>, parent_context string")
+    keywords = spark.createDataFrame([("token", "auth"), ("secret", "auth"), ("API", "iface"), ("", "none")], "keyword string, tag_id string")
+    interfaces = spark.createDataFrame([("ui.load",), ("save",), ("Entry",), ("ui.save",)], "name string")
+    dimensions = spark.createDataFrame([("safety", "auth", "Active"), ("old", "iface", "Deprecated")], "dimension_id string, tag_id string, status string")
+    got = {(r["id"], r["clause"]): (list(r["tags"]), list(r["dimension_ids"]), list(r["interfaces"])) for r in A.annotate(clauses, keywords, interfaces, dimensions).collect()}
+    assert got == {(1, 1): (["iface"], [], ["Entry", "save", "ui.load", "ui.save"]), (1, 2): (["auth"], ["safety"], []), (2, 1): ([], [], [])}
