@@ -83,3 +83,29 @@ def atoms(blocks: DataFrame) -> DataFrame:
     section = F.when(F.col("eligible"), F.col("opened") - 1 + F.col("preamble"))
     units = rows.where("unit").withColumn("number", F.row_number().over(order) - 1)
     return units.select("id", F.col("number").alias("unit"), "eligible", "kind", section.cast("int").alias("section"), "start_line", "end_line", "source")
+
+
+def passages(blocks: DataFrame, allowed: list[str], excluded: list[str], name: F.Column | None = None, noise: str = r"^!\[[^\]]*\]\([^)]*\)$|^$") -> DataFrame:
+    """(id, passage from 1, text, heading_path, start_line, end_line) of the paragraphs in allowed sections.
+
+    A section begins where a heading below level 1, or a paragraph of nothing else, has an
+    ``allowed`` name, and ends at an ``excluded`` one or a heading of level 1; other headings go on
+    with it.  ``name`` (of ``flat``, the title with white space collapsed) is compared in
+    lower case.  Paragraphs that match ``noise`` (an image alone) are left out.  heading_path
+    is the title of the document (its last heading of level 1), the section and the
+    heading below it, each once.
+    """
+    order = Window.partitionBy("id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    b = blocks.where(F.col("kind").isin("heading", "paragraph")).withColumn("flat", F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")))
+    b = b.withColumn("name", F.lower(F.trim(F.regexp_replace(F.col("flat") if name is None else name, r"[：:*_]+$|^[*_]+", ""))))
+    head, top = F.col("kind") == "heading", (F.col("kind") == "heading") & (F.col("level") == 1)
+    begins = ~top & F.col("name").isin(*(a.lower() for a in allowed))
+    stops = ~top & F.col("name").isin(*(e.lower() for e in excluded))
+    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(order)
+    b = b.select(
+        "id", "ordinal", "flat", "start_line", "end_line", last(top, F.col("flat")).alias("title"), last(top | begins | stops, F.struct(F.when(begins, F.col("name")).alias("name")))["name"].alias("section"),
+        last((head & ~top) | begins | stops, F.col("flat")).alias("current"), (~head & ~begins & ~stops).alias("plain"),
+    )
+    found = b.where("plain and section is not null").where(~F.col("flat").rlike(noise))
+    path = F.array_distinct(F.filter(F.array("title", "section", "current"), lambda x: x.isNotNull()))
+    return found.select("id", F.row_number().over(Window.partitionBy("id").orderBy("ordinal")).alias("passage"), F.col("flat").alias("text"), path.alias("heading_path"), "start_line", "end_line")

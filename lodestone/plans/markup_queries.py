@@ -42,6 +42,21 @@ _SECTIONS_SQL = """
 """
 
 
+def guidance_passages(spark, sf_dir):
+    """What users say in each conversation, as passages: their turns are allowed sections, those of assistants aren't."""
+    role = F.regexp_replace("flat", " [0-9]+$", "")
+    p = S.passages(B.blocks(_conversations(spark, sf_dir), "conv_id", "md"), ["user"], ["assistant"], role)
+    return p.select(F.col("id").alias("conv_id"), "passage", F.sha2("text", 256).alias("text_sha256"), F.array_join("heading_path", " / ").alias("path"), "start_line", "end_line")
+
+
+_PASSAGES_SQL = r"""
+    WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, 'Text ' || trim(regexp_replace(coalesce(text, ''), '[\s\pZ]+', ' ', 'g')) AS flat FROM conversations),
+    s AS (SELECT *, last_value(CASE WHEN role = 'system' THEN role || ' ' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS title FROM t)
+    SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) AS INT) AS passage, sha256(trim(flat)) AS text_sha256, concat_ws(' / ', title, 'user', 'user ' || turn) AS path, CAST(4 * i + 3 AS INT) AS start_line, CAST(4 * i + 3 AS INT) AS end_line
+    FROM s WHERE role = 'user'
+"""
+
+
 def _clauses(spark, sf_dir):
     """Clauses of each document as Markdown: its lines in turn are a rule, a note to it, the introduction of a list and an item of that list."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")) != "").alias("l"))
@@ -140,5 +155,5 @@ _POSITIONS_SQL = r"""
     UNION ALL SELECT doc_id, 'utf16', utf16, point, utf16, utf8, line, col FROM v UNION ALL SELECT doc_id, 'utf8', utf8, point, utf16, utf8, line, col FROM v
 """
 
-QUERIES = {f.__name__: f for f in (markdown_sections, markdown_clauses, clause_topics, source_atoms, position_maps)}
-ORACLES = {"markdown_sections": _SECTIONS_SQL, "markdown_clauses": _CLAUSES_SQL, "clause_topics": _TOPICS_SQL, "source_atoms": _ATOMS_SQL, "position_maps": _POSITIONS_SQL}
+QUERIES = {f.__name__: f for f in (markdown_sections, guidance_passages, markdown_clauses, clause_topics, source_atoms, position_maps)}
+ORACLES = {"markdown_sections": _SECTIONS_SQL, "guidance_passages": _PASSAGES_SQL, "markdown_clauses": _CLAUSES_SQL, "clause_topics": _TOPICS_SQL, "source_atoms": _ATOMS_SQL, "position_maps": _POSITIONS_SQL}

@@ -211,3 +211,11 @@ def test_annotations(spark):
     dimensions = spark.createDataFrame([("safety", "auth", "Active"), ("old", "iface", "Deprecated")], "dimension_id string, tag_id string, status string")
     got = {(r["id"], r["clause"]): (list(r["tags"]), list(r["dimension_ids"]), list(r["interfaces"])) for r in A.annotate(clauses, keywords, interfaces, dimensions).collect()}
     assert got == {(1, 1): (["iface"], [], ["Entry", "save", "ui.load", "ui.save"]), (1, 2): (["auth"], ["safety"], []), (2, 1): ([], [], [])}
+
+
+def test_passages(spark):
+    text = "intro\n# Doc\n## Usage:\none\ntwo\n\n![x](y)\n### Detail\n- three\n> four\n\n**Notes**\n\nfive\n## Other\nsix\n# Next\nseven\n## usage\neight\n"
+    got = S.passages(frame(spark, [text, None, "usage\n\nx"]), ["Usage"], ["Notes"]).orderBy("id", "passage").collect()
+    assert [(r["id"], r["passage"], r["text"], list(r["heading_path"]), r["start_line"]) for r in got] == [
+        (0, 1, "one two", ["Doc", "usage", "Usage:"], 4), (0, 2, "three", ["Doc", "usage", "Detail"], 9), (0, 3, "four", ["Doc", "usage", "Detail"], 10), (0, 4, "eight", ["Next", "usage"], 20), (2, 1, "x", ["usage"], 3),
+    ]
