@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..code.lexing import KEYWORDS, lexed
+from ..session import small_side
 from . import graph
 
 # Fixed values of the screening policy.
@@ -107,8 +108,8 @@ def similar_pairs(sets: DataFrame, policy: dict = POLICY) -> DataFrame:
     folder = graph.work_folder(sets.sparkSession)
     sets = graph.written(sets.select("id", "set", F.size("set").alias("n")), f"{folder}/sets")
     elements = sets.select("id", "n", F.explode("set").alias("h"))
-    common = elements.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    shared = graph.written(elements.join(common, "h"), f"{folder}/shared")
+    common = graph.written(elements.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), f"{folder}/common")
+    shared = graph.written(elements.join(small_side(common), "h"), f"{folder}/shared")
     needed = F.greatest(F.lit(least), F.ceil(F.col("n") * share[0] / share[1]))
     listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
     places = (F.size("l") - needed + 1).cast("int")  # elements of no other set come first and need no place
@@ -230,7 +231,8 @@ def candidate_pairs(sets: DataFrame, path: str) -> DataFrame:
     """
     elements = sets.select("key", "side", "size", "needed", F.explode("set").alias("h"))
     common = elements.groupBy("h").agg(F.count("*").alias("c"), F.min("side").alias("first"), F.max("side").alias("last")).where("first <> last").select("h", "c")
-    shared = graph.written(elements.join(common, "h"), path)
+    common = graph.written(common, f"{path}-common")
+    shared = graph.written(elements.join(small_side(common), "h"), path)
     listed = shared.groupBy("key", "side", "size", "needed").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
     places = (F.size("l") - F.col("needed") + 1).cast("int")
     prefix = listed.where(places > 0).select("key", "side", "size", F.explode(F.slice("l", F.lit(1), places)).alias("e")).select("key", "side", "size", "e.h")
