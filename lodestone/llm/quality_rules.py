@@ -130,7 +130,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def counted(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """(page, packed) with the raw and trusted counts of all documents."""
+    """(page, packed, raw, trusted): the raw and trusted counts of all documents, and their sums of a page."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), np.int64)
@@ -163,22 +163,33 @@ def counted(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
 
     def sums(done: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         packed = [zlib.compress(t.astype("<i8").tobytes(), 1) for _, t in done]
-        return pa.RecordBatch.from_pydict({"page": pa.array([p for p, _ in done], pa.int32()), "packed": pa.array(packed, pa.binary())})
+        raw, trusted = ([int(t[k].sum()) for _, t in done] for k in (0, 1))
+        return pa.RecordBatch.from_pydict({"page": pa.array([p for p, _ in done], pa.int32()), "packed": pa.array(packed, pa.binary()), "raw": pa.array(raw, pa.int64()), "trusted": pa.array(trusted, pa.int64())})
 
     marked = docs.join(checked_broadcast(_trusted_ids(labels)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    return marked.mapInArrow(task, "page int, packed binary").repartition("page").sortWithinPartitions("page").mapInArrow(added, "page int, packed binary")
+    return marked.mapInArrow(task, "page int, packed binary").repartition("page").sortWithinPartitions("page").mapInArrow(added, "page int, packed binary, raw long, trusted long")
 
 
 def ratios(counts: DataFrame, buckets: int) -> np.ndarray:
-    """Millionths of the log ratio of each bucket; at most MOST_BUCKETS numbers, whatever the corpus holds."""
-    both = np.zeros((2, buckets), np.int64)
-    for row in counts.toLocalIterator():
-        both[:, row["page"] * PAGE : (row["page"] + 1) * PAGE] = np.frombuffer(zlib.decompress(row["packed"]), "<i8").reshape(2, PAGE)
-    raw, trusted = both.sum(1).tolist()
-    if not trusted:
-        return np.zeros(buckets, np.int32)
-    prior = PRIOR * trusted / buckets
-    return np.rint(np.log((both[1] + prior) / (both[0] * (trusted / raw) + prior)) * _UNIT).astype(np.int32)
+    """Millionths of the log ratio of each bucket, a page in each task; the driver gets 4 bytes a bucket, MOST_BUCKETS at most."""
+    sums = counts.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
+    table = np.zeros(buckets, np.int32)
+    if not sums["trusted"]:
+        return table
+    share, prior = sums["trusted"] / sums["raw"], PRIOR * sums["trusted"] / buckets
+    # A bucket without any count has a ratio of 0, as pages without any have.
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for packed in batch.column("packed").to_pylist():
+                raw, trusted = np.frombuffer(zlib.decompress(packed), "<i8").reshape(2, PAGE)
+                found.append(np.rint(np.log((trusted + prior) / (raw * share + prior)) * _UNIT).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_pydict({"page": batch.column("page"), "ratio": pa.array(found, pa.binary())})
+
+    for row in counts.mapInArrow(task, "page int, ratio binary").toLocalIterator():
+        table[row["page"] * PAGE : (row["page"] + 1) * PAGE] = np.frombuffer(row["ratio"], "<i4")
+    return table
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
