@@ -240,7 +240,7 @@ def template_cluster(spark, sf_dir):
 
 def _sets(spark, sf_dir):
     """Distinct shingles of seven words of each text, once for every equal set."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r]+"), "")
     d = table(spark, sf_dir, "documents").select("doc_id", N.shingles(words, N.CONTENT_WIDTH).alias("set"))
     return d.where(F.size("set") > 0)
 
@@ -254,7 +254,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
 
 def screening_decisions(spark, sf_dir):
     """The final decision for each document against the benchmark as its reference, on content, runs and shape."""
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower("text"), r"[ \t\n\r]+"), "")
     probes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))
     found = N.screen(probes, table(spark, sf_dir, "benchmark").select(words.alias("tokens")))
     return found.select(F.col("id").alias("probe_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "decision")
