@@ -52,7 +52,12 @@ class FirstFit:
 
 
 def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[], Callable[[dict], int]], name: str) -> DataFrame:
-    """``rows`` with the whole number ``name``: a new fold for each key, given its rows in order."""
+    """``rows`` with the whole number ``name``: a new fold for each key, given its rows in order.
+
+    Rows are dealt by a hash of their key, not by the key's columns: a join on these just
+    before would stand in for that shuffle, and adaptive plans read such a join's side
+    by the tasks that wrote it once the other side turns out small.
+    """
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +71,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[]
                 out.append(fold(row))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=schema.names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
 
 
 def first_fit_bins(items: DataFrame, groups: tuple[str, ...] = ("group_id",)) -> DataFrame:

@@ -398,3 +398,24 @@ def test_distinct_picks_against_a_loop(spark, seed):
     got = planning.distinct_picks(spark.createDataFrame(members, "family string, member string"), graph.work_folder(spark))
     assert dict(values(got, "family", "pick")) == want
     assert planning.distinct_picks(spark.createDataFrame([], "family string, member string"), graph.work_folder(spark)).count() == 0
+
+
+def test_folds_keep_a_key_together_behind_a_join_that_turns_into_a_broadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "100000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 4000, 1, 4).select((F.col("id") % 50).alias("g"), F.col("id").alias("seq"))
+        right = spark.range(200_000).where("id < 50").groupBy(F.col("id").alias("g")).agg(F.count("*").alias("n"))
+        joined = left.join(right, "g", "left")
+
+        def step():
+            seen = []
+            return lambda row: seen.append(row["seq"]) or len(seen) - 1
+
+        found = planning.folded(joined, ["g"], ["seq"], step, "at").collect()
+        assert len(found) == 4000 and all(r["at"] == r["seq"] // 50 for r in found)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
