@@ -74,12 +74,25 @@ def shingle_hashes(streams: pa.Array, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[new].view(np.int64)))
 
 
+#: Tokens that are hashed at once; each takes some 100 bytes of arrays meanwhile.
+PART = 1 << 19
+
+
+def token_parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """The streams of a batch in parts of ``PART`` tokens, or one stream."""
+    part = np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(batch)]
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(start, stop - start)
+
+
 def shingles(stream: Column, width: int) -> Column:
     """Hashes of the distinct runs of ``width`` tokens."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield shingle_hashes(batch, width)
+            for part in token_parts(batch):
+                yield shingle_hashes(part, width)
 
     return F.arrow_udf(run, "array<bigint>", F.ArrowUDFType.SCALAR_ITER)(stream.cast("array<string>"))
 
@@ -212,13 +225,13 @@ def longest_run(a: list[str], b: list[str]) -> int:
 
 
 def longest_runs(pairs: DataFrame, a: str = "probe_tokens", b: str = "ref_tokens") -> DataFrame:
-    """Candidate pairs with ``run``, the longest common run of their token arrays."""
+    """Candidate pairs with ``run``, the longest common run of their token arrays; a task has the tokens of one pair as objects."""
 
-    def runs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
-            yield pd.Series([longest_run(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="int32")
+            yield pa.array([longest_run(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.int32())
 
-    return pairs.withColumn("run", F.pandas_udf(runs, "int", F.PandasUDFType.SCALAR_ITER)(a, b))
+    return pairs.withColumn("run", F.arrow_udf(runs, "int", F.ArrowUDFType.SCALAR_ITER)(a, b))
 
 
 def candidate_pairs(sets: DataFrame, path: str) -> DataFrame:

@@ -101,3 +101,40 @@ def test_owner_roles_and_their_doubts(spark):
         ("a", "recovered"), ("a", "symbol_unresolved"), ("a", "symbol_ambiguous"), ("c", "role_unresolved"), ("d", "recovered"), ("e", "role_ambiguous"), ("g", "role_unresolved"), ("h", "role_ambiguous"), ("i", "recovered"),
         ("j", "unit_unresolved"), ("k", "unit_unresolved"), ("l", "enclosing_owner_unresolved"), ("m", "enclosing_owner_unresolved"), ("o", "unit_unresolved"), ("p", "recovered"),
     }
+
+
+def test_tokens_of_a_batch_are_handed_on_in_parts(monkeypatch):
+    """Python holds the tokens of a part of a batch, whatever the batch; null, empty and long texts keep their rows."""
+    import pyarrow as pa
+
+    sizes, kept = [], pa.StructArray.from_arrays
+
+    class Seen:
+        @staticmethod
+        def from_arrays(parts, names):
+            sizes.append(len(parts[0]))
+            return kept(parts, names=names)
+
+    texts = [None, "", "let a = 1;", "x " * 40, "y", "'open", None]
+    monkeypatch.setattr(L, "PART", 20)
+    monkeypatch.setattr(L.pa, "StructArray", Seen)
+    column = {}
+    monkeypatch.setattr(L.F, "arrow_udf", lambda run, *_: lambda text: column.setdefault("run", run))
+    run = L.lexed(None)
+    found = [r for part in run(iter([pa.array(texts)])) for r in part.to_pylist()]
+    assert max(sizes) < len(texts) and sum(sizes) == len(texts)
+    want = [L.lex(t) if t is not None else ([], [], set()) for t in texts]
+    assert [(r["content"], r["shape"], set(r["issues"])) for r in found] == want
+
+
+def test_streams_are_hashed_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.operators import near_duplicate as N
+
+    monkeypatch.setattr(N, "PART", 8)
+    batch = pa.array([["a"] * 5, None, [], ["b"] * 20, ["a", "b", "c"], ["c"] * 9])
+    parts = list(N.token_parts(batch))
+    assert len(parts) > 2 and [x for p in parts for x in p.to_pylist()] == batch.to_pylist()
+    assert [x for p in parts for x in N.shingle_hashes(p, 3).to_pylist()] == N.shingle_hashes(batch, 3).to_pylist()
+    assert [x for p in N.token_parts(batch.slice(0, 0)) for x in p.to_pylist()] == []
