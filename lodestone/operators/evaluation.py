@@ -37,7 +37,7 @@ def evaluate_candidate(
     """
     ranked = None
     for arm, change in (("current", lambda df: df), ("candidate", re_embed)):
-        pairs = retrieval.similarities(change(queries), change(index), minimum).where("unit_id <> rule_id")
+        pairs = retrieval.similarities(change(queries), change(index), minimum, retrieval.VECTOR_LIMIT).where("unit_id <> rule_id")
         one = retrieval.vector_ranking(pairs, minimum).select(F.lit(arm).alias("arm"), "unit_id", "rule_id", "rank")
         ranked = one if ranked is None else ranked.unionByName(one)
     found = metrics.micro_metrics(metrics.ranking_metrics(ranked, truth, ks))

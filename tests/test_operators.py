@@ -419,3 +419,36 @@ def test_folds_keep_a_key_together_behind_a_join_that_turns_into_a_broadcast(spa
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_nearest_records_of_a_task_are_enough(spark, monkeypatch):
+    """Ties, NaN, zero vectors and a unit's own id: the same first records as from all pairs, and no more than a task's share."""
+    monkeypatch.setattr(retrieval, "PRODUCTS", 50)  # many small products, and buffers that are cut often
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(300)] + [(300, [float("nan")] * 3), (301, [0.0] * 3)]
+    index = spark.createDataFrame(rows, "rule_id long, vector array<double>").repartition(3)
+    queries = index.where("rule_id % 20 = 0").select(F.col("rule_id").alias("unit_id"), "vector")
+    order = [F.desc("similarity"), F.asc("rule_id")]
+    for minimum in (None, 0.3):
+        every = retrieval.similarities(queries, index, minimum).where("unit_id <> rule_id")
+        few = retrieval.similarities(queries, index, minimum, 7)
+        assert few.where("unit_id = rule_id").isEmpty() and few.count() <= 16 * 7 * 3
+        assert sorted(map(str, retrieval.ranked(few, order, 7).collect())) == sorted(map(str, retrieval.ranked(every, order, 7).collect()))
+
+
+def test_judged_metrics_need_no_list_of_the_truth(spark):
+    ranked = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 2, 10, 9), ("b", 1, 12, 1)], "arm string, unit_id int, rule_id int, rank int")
+    truth = spark.createDataFrame([(1, 11), (1, 13), (2, 10), (3, 10)], "unit_id int, rule_id int")
+    hit = F.when(F.expr("(unit_id, rule_id) in ((1, 11), (2, 10))"), True)
+    n = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "unit_id int, relevant long")
+    assert sorted(map(str, metrics.ranking_metrics(ranked, truth).collect())) == sorted(map(str, metrics.judged_metrics(ranked.withColumn("hit", hit), n).collect()))
+
+
+def test_only_records_that_can_be_first_are_paired(spark, tmp_path):
+    """200 records of one label: the first five of each unit come from six records of each last digit."""
+    from lodestone.plans import retrieval_queries as Q
+
+    spark.range(200).selectExpr("id AS vec_id", "array(1.0F, 0.0F) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    few, every = Q._labelled(spark, tmp_path, Q.DIGIT, limit=5), Q._labelled(spark, tmp_path)
+    assert every.count() == 4 * 199 and few.count() <= 4 * 60
+    assert sorted(map(str, retrieval.exact_ranking(few, 5).collect())) == sorted(map(str, retrieval.exact_ranking(every, 5).collect()))
