@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..code.lexing import KEYWORDS, lexed
@@ -66,11 +67,19 @@ def shingle_hashes(streams: pa.Array, width: int) -> pa.Array:
     hashes = np.zeros(len(row), np.uint64)
     for k in range(width):
         hashes = _finished(hashes * _ODD + tokens[first + k]) if len(row) else hashes
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
+    return _sets_of(hashes, counts)
+
+
+def _sets_of(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Sorted distinct values of runs of ``counts`` hashes; ``hashes`` is sorted in place."""
+    ends = np.cumsum(counts)
+    for start, stop in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        if stop - start > 1:
+            hashes[start:stop].sort()
+    row = np.repeat(np.arange(len(counts)), counts)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(sizes)))))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(counts)))))
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[new].view(np.int64)))
 
 
@@ -97,6 +106,69 @@ def shingles(stream: Column, width: int) -> Column:
     return F.arrow_udf(run, "array<bigint>", F.ArrowUDFType.SCALAR_ITER)(stream.cast("array<string>"))
 
 
+#: Bytes of text whose words are hashed at once, and the longest word that is read in blocks of eight bytes.
+TEXT_PART, LONG_WORD = 1 << 23, 256
+_BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, in order, and how many words each text has.
+
+    Words stand between blanks, tabs and line ends.  They are found in the bytes of all
+    texts together and never become objects.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~_BLANK[data[:-8]]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    full = offsets[1:] > offsets[:-1]
+    begins[offsets[:-1][full]] = inside[offsets[:-1][full]]
+    ends[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
+    at = np.flatnonzero(begins)
+    sizes = np.flatnonzero(ends) + 1 - at
+    eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    hashes, rows = sizes.astype(np.uint64), np.flatnonzero(sizes <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        rows = rows[sizes[rows] > k]
+        if not len(rows):
+            break
+        hashes[rows] = _finished(hashes[rows] * _ODD + (eight[at[rows] + k] & _KEPT[np.minimum(sizes[rows] - k, 8)]))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        hashes[i] = pd.util.hash_array(np.array([data[at[i] : at[i] + sizes[i]].tobytes().decode()], dtype=object), categorize=False)[0]
+    return hashes, np.diff(np.searchsorted(at, offsets))
+
+
+def text_shingles(texts: pa.Array, width: int) -> pa.Array:
+    """Sorted distinct hashes of the runs of ``width`` words of each text."""
+    words, sizes = word_hashes(texts)
+    runs = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width if len(runs) else 0):
+        runs = _finished(runs * _ODD + words[k : k + len(runs)])
+    counts = np.maximum(sizes - width + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), counts)
+    first = np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts)
+    return _sets_of(runs[np.arange(len(row)) + first[row]], counts)
+
+
+def word_shingles(text: Column, width: int) -> Column:
+    """Hashes of the distinct runs of ``width`` words of a text, words being what stands between blanks, tabs and line ends."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            part = np.cumsum(pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_PART
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(batch)]
+            yield pa.concat_arrays([text_shingles(batch.slice(start, stop - start), width) for start, stop in zip(cuts, cuts[1:], strict=False)])
+
+    return F.arrow_udf(run, "array<bigint>", F.ArrowUDFType.SCALAR_ITER)(text)
+
+
 def shared_counts(probes: DataFrame, references: DataFrame) -> DataFrame:
     """(probe_id, ref_id, shared, n_probe, n_ref) of pairs (id, set array<long>) that share an element.
 
@@ -119,20 +191,23 @@ def similar_pairs(sets: DataFrame, policy: dict = POLICY) -> DataFrame:
     """
     share, least = policy["gray_containment"], policy["gray_shared"]
     folder = graph.work_folder(sets.sparkSession)
-    sets = graph.written(sets.select("id", "set", F.size("set").alias("n")), f"{folder}/sets")
-    elements = sets.select("id", "n", F.explode("set").alias("h"))
-    common = graph.written(elements.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), f"{folder}/common")
-    shared = graph.written(elements.join(small_side(common), "h"), f"{folder}/shared")
+    elements = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
+    shared = elements.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")  # dealt once
     needed = F.greatest(F.lit(least), F.ceil(F.col("n") * share[0] / share[1]))
-    listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
+    listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l")).where(F.size("l") >= least)
+    listed = graph.written(listed.select("id", "n", F.col("l.h").alias("l")), f"{folder}/shared")
     places = (F.size("l") - needed + 1).cast("int")  # elements of no other set come first and need no place
-    prefix = listed.where(places > 0).select("id", "n", F.explode(F.slice("l", F.lit(1), places)).alias("e")).select("id", "n", "e.h")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), shared.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    met = a.join(b, "h").where("na <= nb and a <> b")
-    pairs = met.select(F.least("a", "b").alias("probe_id"), F.greatest("a", "b").alias("ref_id")).distinct()
-    p, r = (sets.select(F.col("id").alias(f"{x}_id"), F.col("set").alias(f"{x}_set"), F.col("n").alias(f"n_{x}")) for x in ("probe", "ref"))
-    both = pairs.join(p, "probe_id").join(r, "ref_id").withColumn("shared", F.size(F.array_intersect("probe_set", "ref_set")).cast("long"))
-    return both.where("shared > 0").select("probe_id", "ref_id", "shared", "n_probe", "n_ref")
+    prefix = listed.where(places > 0).select("id", "n", F.explode(F.slice("l", F.lit(1), places)).alias("h"))
+    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), listed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("l").alias("h"))
+    pairs = a.join(b, "h").where("na < nb or na = nb and a < b").select("a", "b").distinct()
+    # Of each pair the smaller set moves to the larger one.
+    x, y = listed.select(F.col("id").alias("a"), F.col("l").alias("la"), F.col("n").alias("na")), listed.select(F.col("id").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"))
+    both = pairs.join(x, "a").join(y, "b")
+    either = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
+    counted = both.select(
+        F.least("a", "b").alias("probe_id"), F.greatest("a", "b").alias("ref_id"), F.size(F.array_intersect("la", "lb")).cast("long").alias("shared"), either("na", "nb").alias("n_probe"), either("nb", "na").alias("n_ref")
+    )
+    return graph.written(counted, f"{folder}/counted").where("shared > 0")  # written, or each use of the count would count again
 
 
 def at_least(part: Column, whole: Column, share: tuple[int, int]) -> Column:

@@ -4,6 +4,7 @@ import itertools
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,3 +470,33 @@ def test_few_signals_and_few_intervals_go_to_their_many_records_and_points(spark
             assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shingles_of_texts_are_those_of_their_words():
+    """Words end at blanks, tabs, line ends and at their text; long and foreign ones too, in slices of a column."""
+    texts = ["", "a b c", " a\tb\r\nc  ", "a b c a b c", "ab c", "é" * 9 + " 12345678 123456789 " + "x" * 300 + " y", "x" * 300 + " y z", "123456781234567812345678 a b", "y", "z " * 40]
+    column = pa.array([None, *texts])
+    words = [t.split() for t in texts]
+    hashes, sizes = near_duplicate.word_hashes(column.slice(1))
+    assert sizes.tolist() == [len(w) for w in words]
+    every = [x for w in words for x in w]
+    assert len(set(zip(every, hashes.tolist(), strict=True))) == len(set(every)) == len(set(hashes.tolist()))
+    for width in (1, 3, 7):
+        runs = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in words]
+        found = near_duplicate.text_shingles(column.slice(1), width).to_pylist()
+        assert [len(f) for f in found] == [len(r) for r in runs]
+        for i in range(len(texts)):
+            for j in range(i):
+                assert len(set(found[i]) & set(found[j])) == len(runs[i] & runs[j])
+    assert near_duplicate.text_shingles(column.slice(0, 2), 3).to_pylist() == [[], []]
+
+
+def test_sets_are_counted_once_and_elements_dealt_once(spark):
+    """Pairs of a planted corpus are all found; the plan intersects each pair once and deals the elements once."""
+    rows = [(i, list(range(i // 3 * 100, i // 3 * 100 + 40 + i % 3 * 5)) + list(range(-20, 0))) for i in range(12)]
+    found = near_duplicate.decide(near_duplicate.similar_pairs(spark.createDataFrame(rows, "id int, set array<bigint>"))).where("decision <> 'clear'")
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if 5 * (s := len(set(rows[i][1]) & set(rows[j][1]))) >= 3 * min(len(rows[i][1]), len(rows[j][1])) and s >= 16}
+    got = {(r["probe_id"], r["ref_id"]): r for r in found.collect()}
+    assert set(got) == want
+    assert all(r["shared"] == len(set(rows[i][1]) & set(rows[j][1])) and (r["n_probe"], r["n_ref"]) == (len(rows[i][1]), len(rows[j][1])) for (i, j), r in got.items())
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
