@@ -1,7 +1,7 @@
-"""Facts of source files: a table function per kind of file, and joins that make declarations and calls of its rows.
+"""Facts of source files: a parser per kind of file, and joins that make declarations and calls of its rows.
 
-A parser is a table function (UDTF) registered for a media type; ``parsed`` applies
-each to its files by a lateral join and gives one table of facts.  What needs more
+A parser is a class whose ``eval`` yields the facts of a text, registered for a media
+type; ``parsed`` applies each to its files and gives one table of facts.  What needs more
 than one place of a file (matching brackets, enclosing declarations, bindings that
 an inner scope hides) is windows and joins over that table.
 """
@@ -12,8 +12,10 @@ import bisect
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import graph, intervals, records
 from .lexing import mask
@@ -29,6 +31,8 @@ _TYPE = re.compile(r"\b(struct|class)\s+([A-Za-z_]\w*)[^{;]*\{", re.ASCII)
 _CALLABLE = re.compile(rf"((?:@\w+\s*)*(?:(?:public|private|protected|static|async|export)\s+)*)\b({_NAME})\s*\([^;{{}}]*?\)\s*(?::\s*[^{{;]+)?\{{", re.ASCII)
 _LOCAL = re.compile(rf"\b(?:let|const|var)\s+({_NAME})")
 _BRACKET = re.compile(r"[{}()\[\]]")
+#: Words of which a text with the syntax holds one.
+_SYNTAX_WORDS = {"async_fn": ("async",), "await_expr": ("await",), "promise": ("Promise",), "arrow_fn": ("=>",), "try_catch": ("try", "catch")}
 _SYNTAX = {
     "async_fn": re.compile(r"\basync\s+(?:function\s+)?[A-Za-z_$]"), "await_expr": re.compile(r"\bawait\b"), "promise": re.compile(r"\bPromise\b"),
     "arrow_fn": re.compile(r"=>"), "try_catch": re.compile(r"\btry\s*\{|\bcatch\s*\("),
@@ -36,6 +40,13 @@ _SYNTAX = {
 CONTROL = frozenset({"if", "for", "while", "switch", "catch", "function", "return"})
 
 
+def _after_dot(code: str, at: int) -> bool:
+    """Whether the last sign before ``at`` that isn't white space is a dot."""
+    while at and code[at - 1].isspace():
+        at -= 1
+    return at > 0 and code[at - 1] == "."
+
+
 def imported(clause: str) -> Iterator[tuple[str, str]]:
     """(local name, imported name) of an import clause; ``default`` and ``*`` stand for whole modules."""
     clause = " ".join(clause.split()).removeprefix("lazy ").strip()
@@ -71,38 +82,60 @@ class ScriptFacts:
         for m in _DECORATOR.finditer(code):
             yield fact("decorator", m[0], None, m.start(), m.end())
         for m in _CALL.finditer(code):
-            chain = re.sub(r"\s+", "", m[1]).replace("?.", ".")
-            if chain not in CONTROL and not code[: m.start()].rstrip()[-1:] == ".":
+            chain = "".join(m[1].split()).replace("?.", ".")
+            if chain not in CONTROL and not _after_dot(code, m.start()):
                 yield fact("call", chain, chain.split(".")[0], m.start(), m.end())
         for name, pattern in _SYNTAX.items():
-            if found := pattern.search(code):
+            if any(w in code for w in _SYNTAX_WORDS[name]) and (found := pattern.search(code)):
                 yield fact("syntax", name, None, found.start(), found.end())
         for m in _TYPE.finditer(code):
             yield fact("declaration", m[2], m[1], m.start(), m.end() - 1)
         for m in _CALLABLE.finditer(code):
-            if m[2] not in CONTROL and code[: m.start(2)].rstrip()[-1:] != ".":
+            if m[2] not in CONTROL and not _after_dot(code, m.start(2)):
                 kind = "builder" if "@Builder" in m[1] else "build_method" if m[2] == "build" else "ui_block" if m[2][0].isupper() and m[2] not in ("Promise", "Array") else "function"
                 yield fact("declaration", m[2], kind, m.start(), m.end() - 1)
-        for m in _LOCAL.finditer(code):
+        for m in _LOCAL.finditer(code) if any(w in code for w in ("let", "const", "var")) else ():
             yield fact("local", m[1], None, m.start(1), m.end(1))
         for m in _BRACKET.finditer(code):
             yield fact("bracket", m[0], None, m.start(), m.end())
 
 
-#: Table functions by media type; each takes a text and yields rows of ``FACT``.
+#: Parsers by media type; ``eval`` takes a text and yields rows of ``FACT``.
 PARSERS: dict[str, type] = {"text/typescript": ScriptFacts, "text/javascript": ScriptFacts, "text/html": ScriptFacts}
 
 
+#: Facts that a task holds as objects before it hands them on.
+FACTS = 100_000
+
+
 def parsed(files: DataFrame, parsers: dict[str, type] | None = None) -> DataFrame:
     """(file, kind, name, value, start, stop, line) of ``files`` (file, media_type, text).
 
     Files of a media type without a parser have no facts.  Offsets are code points
-    from 0, lines from 1.
+    from 0, lines from 1.  Texts and facts pass in Arrow batches.
     """
+    schema = T._parse_datatype_string(f"file {files.schema['file'].dataType.simpleString()}, {FACT}")
+    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+
+    def facts_by(parser: type):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            run = parser()
+            for batch in batches:
+                texts, at, rows = batch.column(1).to_pylist(), [], []
+                for k, text in enumerate(texts):
+                    for row in run.eval(text) or ():
+                        at.append(k)
+                        rows.append(row)
+                    if len(rows) >= FACTS or k == len(texts) - 1 and rows:
+                        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=schema.names)
+                        at, rows = [], []
+
+        return task
+
     found = None
     for media_type, parser in (PARSERS if parsers is None else parsers).items():
-        run = F.udtf(parser, returnType=FACT)
-        facts = files.where(F.col("media_type") == media_type).lateralJoin(run(F.col("text").outer())).select("file", *(c.split()[0] for c in FACT.split(", ")))
+        facts = files.where(F.col("media_type") == media_type).select("file", F.col("text").cast("string")).mapInArrow(facts_by(parser), schema)
         found = facts if found is None else found.unionByName(facts)
     return found
 

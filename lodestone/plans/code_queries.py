@@ -38,7 +38,8 @@ def _sources(spark, sf_dir):
 
 def code_declarations(spark, sf_dir):
     """Classes and methods of source files made from orders: kind, qualified name, parent and lines."""
-    d = K.declarations(K.parsed(_sources(spark, sf_dir)))
+    facts = K.parsed(_sources(spark, sf_dir)).where("kind in ('bracket', 'declaration')")
+    d = K.declarations(graph.written(facts, f"{graph.work_folder(spark)}/facts"))  # written, or each use would parse again
     return d.select(F.col("file").alias("o_custkey"), "kind", "qualified", "parent", "line", "end_line")
 
 

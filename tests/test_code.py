@@ -5,6 +5,7 @@ import random
 from lodestone.code import facts as K
 from lodestone.code import lexing as L
 from lodestone.operators import owners
+from lodestone.plans import code_queries as Q
 
 SOURCE = """import Def, { a as b, c } from 'lib/x';
 import * as ns from "lib/y";
@@ -138,3 +139,26 @@ def test_streams_are_hashed_in_parts(monkeypatch):
     assert len(parts) > 2 and [x for p in parts for x in p.to_pylist()] == batch.to_pylist()
     assert [x for p in parts for x in N.shingle_hashes(p, 3).to_pylist()] == N.shingle_hashes(batch, 3).to_pylist()
     assert [x for p in N.token_parts(batch.slice(0, 0)) for x in p.to_pylist()] == []
+
+
+def test_facts_come_in_parts_and_each_text_is_parsed_once(spark, monkeypatch, tmp_path):
+    """Parts of a batch lose no fact and keep their file; a query reads each text once, whatever it makes of the facts."""
+    monkeypatch.setattr(K, "FACTS", 5)
+    texts = [(i, "text/typescript", "class A {\n" + f"  m{i}(a) {{ a.b . c(1); x\n. d(2) }}\n" * (i % 4) + "}\n") for i in range(40)] + [(40, "text/typescript", ""), (41, "text/typescript", None)]
+    facts = K.parsed(spark.createDataFrame(texts, "file int, media_type string, text string").coalesce(1))
+    got = sorted(tuple(r) for r in facts.collect() if r["value"] is not None)
+    assert got == sorted((f, *x) for f, _, t in texts for x in K.ScriptFacts().eval(t) if x[2] is not None)
+    assert {r["name"] for r in facts.where("kind = 'call'").collect() if not r["name"].startswith("m")} == {"a.b.c", "x.d"}
+
+    seen = tmp_path / "seen"
+
+    class Counting(K.ScriptFacts):
+        def eval(self, text):
+            with open(seen, "a") as f:
+                f.write("x\n")
+            yield from super().eval(text)
+
+    monkeypatch.setattr(K, "PARSERS", {"text/typescript": Counting})
+    spark.createDataFrame([(i, 7 * i, "1-X") for i in range(9)], "o_custkey int, o_orderkey int, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert Q.code_declarations(spark, str(tmp_path)).count() == 18
+    assert len(seen.read_text().split()) == 9
