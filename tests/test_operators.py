@@ -455,6 +455,19 @@ def test_only_records_that_can_be_first_are_paired(spark, tmp_path):
     assert sorted(map(str, retrieval.exact_ranking(few, 5).collect())) == sorted(map(str, retrieval.exact_ranking(every, 5).collect()))
 
 
+def test_units_of_one_label_stay_in_several_tasks(spark, tmp_path):
+    from lodestone.plans import retrieval_queries as Q
+
+    spark.range(0, 400, 1, 4).selectExpr("id AS vec_id", "array(1.0F, 0.0F) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        few = Q._labelled(spark, tmp_path, Q.DIGIT, limit=5)
+        assert few.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_few_signals_and_few_intervals_go_to_their_many_records_and_points(spark):
     """One key that nearly all rows have must not be one task: the small side is broadcast, whatever Spark thinks of its size."""
     from lodestone.plans import structure_queries as Q
