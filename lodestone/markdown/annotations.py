@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_signals
+from ..operators import graph
 from ..operators.retrieval import found_keywords
 from ..operators.tagging import candidate_dimensions
 
@@ -19,6 +20,7 @@ def annotate(clauses: DataFrame, keywords: DataFrame, interfaces: DataFrame, dim
     from ``dimensions`` (dimension_id, tag_id, status), deprecated ones not.
     """
     key = ["id", "clause"]
+    clauses = graph.written(clauses.select(*key, "text", "heading_path", "parent_context"), f"{graph.work_folder(clauses.sparkSession)}/clauses")  # else each part would find them anew
     context = F.concat_ws("\n", "text", "parent_context", F.array_join("heading_path", "\n"))
     hits = found_keywords(clauses.select(*key, context.alias("context")), keywords, "context", "keyword").select(*key, "keyword")
     tags = hits.join(keywords.select(F.lower("keyword").alias("keyword"), "tag_id").distinct(), "keyword").select(*key, "tag_id").distinct()

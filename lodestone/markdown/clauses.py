@@ -83,10 +83,11 @@ def annotated(blocks: DataFrame, folder: str) -> DataFrame:
     last = lambda when, value, over: F.last(F.when(when, value), ignorenulls=True).over(over)
     is_, in_list = (lambda *kinds: F.col("kind").isin(*kinds)), F.size("items") > 0
 
-    b = blocks.where(is_("heading", "paragraph", "list", "table", "row", "fence", "item")).drop("source").withColumn("flat", _flat(F.col("text")))
+    b = blocks.where(is_("heading", "paragraph", "list", "table", "row", "fence", "item")).withColumn("flat", F.when(is_("heading", "paragraph"), _flat(F.col("text"))).otherwise(""))
     colon = F.col("flat").rlike("[：:]$")
     b = b.select(
-        "*", (~in_list & is_("heading", "paragraph", "list", "table", "fence")).alias("stream"), F.when(is_("paragraph"), example_kind(F.col("flat"))).alias("label"), colon.alias("colon"),
+        "id", "ordinal", "parent", "kind", "level", "start_line", "end_line", "quoted", "items", "path", "cells", "flat", F.when(is_("fence"), F.col("text")).alias("text"),
+        (~in_list & is_("heading", "paragraph", "list", "table", "fence")).alias("stream"), F.when(is_("paragraph"), example_kind(F.col("flat"))).alias("label"), colon.alias("colon"),
         F.when(is_("paragraph"), metadata_label(F.col("flat"))).alias("meta_label"), F.when(is_("paragraph") & ~colon, classify(F.col("flat"), F.col("path"))).alias("cued"),
         native_id(F.try_element_at("path", F.lit(-1))).alias("heading_id"), (is_("heading") & (F.length("flat") >= HEADING_LENGTH) & _has(F.col("flat"), HEADING_CUES)).alias("normative"),
     )
@@ -105,9 +106,14 @@ def annotated(blocks: DataFrame, folder: str) -> DataFrame:
     # The line that introduces a list, and whether the list or table that a row is in counts.
     sets = (F.col("stream") & is_("heading")) | F.col("in_use") | F.col("is_meta") | F.col("is_plain")
     b = b.withColumn("intro", last(sets, F.struct(F.when(F.col("plain_type").isNull() & F.col("is_plain") & F.col("colon"), F.col("flat")).alias("text")), earlier)["text"])
-    b = b.withColumn("outer", last(F.col("stream") & is_("list", "table"), F.struct("in_use", "intro", F.col("ordinal").alias("at")), so_far))
+    b = b.withColumn("outer", last(F.col("stream") & is_("list", "table"), F.struct("in_use", "intro"), so_far))
     b = b.withColumn("header", last(is_("row") & (F.col("level") == 0), F.col("cells"), so_far))
-    return b.withColumn("direct", is_("paragraph") & in_list & F.coalesce(F.col("parent") == F.try_element_at("items", F.lit(-1)), F.lit(False)))
+    b = b.withColumn("direct", is_("paragraph") & in_list & F.coalesce(F.col("parent") == F.try_element_at("items", F.lit(-1)), F.lit(False)))
+    # What windows carry to every row goes on only with those that use it.
+    return b.select(
+        "id", "ordinal", "kind", "level", "start_line", "end_line", "items", "path", "cells", F.when(is_("row"), F.col("header")).alias("header"), "flat", "text", "stream", "label", "cued", "heading_id", "norm_heading",
+        "resets", "is_label", "is_note", "plain_type", "in_meta", "direct", F.col("outer.in_use").alias("outer_used"), F.when(F.col("direct"), F.col("outer.intro")).alias("intro"),
+    )
 
 
 def _list_contexts(b: DataFrame) -> DataFrame:
@@ -121,12 +127,13 @@ def _list_contexts(b: DataFrame) -> DataFrame:
 
 def _drafts(b: DataFrame) -> DataFrame:
     """``b`` with ``draft`` (type, text, native_id, context) where a row is a clause."""
-    c = _list_contexts(b).alias("c")
-    b = b.alias("b").join(c, F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.ordinal") == F.col("c.ordinal")), "left").select("b.*", "c.context")
+    c, nested = _list_contexts(b).alias("c"), b.where("direct and size(items) > 1").alias("b")
+    nested = nested.join(c, F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.ordinal") == F.col("c.ordinal")), "left").select("b.*", "c.context")
+    b = b.where("not (direct and size(items) > 1)").withColumn("context", F.lit(None).cast("string")).unionByName(nested)
     cells, header = F.col("cells"), F.col("header")
     head = lambda k: F.coalesce(F.get(header, F.lit(k)), F.lit(""))
     key = F.upper(F.replace(head(0), F.lit(" "), F.lit("")))
-    body = (F.col("kind") == "row") & (F.col("level") > 0) & F.col("outer.in_use") & (F.size("items") == 0)
+    body = (F.col("kind") == "row") & (F.col("level") > 0) & F.col("outer_used") & (F.size("items") == 0)
     acceptance = body & (F.size(header) >= 2) & key.isin(*ACCEPTANCE_HEADS) & F.endswith(head(1), F.lit(ACCEPTANCE_ENDING))
     rule = body & (F.size(header) >= 5) & key.isin(*RULE_HEADS) & F.array_contains(header, RULE_COLUMNS[0]) & F.array_contains(header, RULE_COLUMNS[1]) & ~acceptance
     cell = lambda name: F.get(cells, (F.array_position(header, name) - 1).cast("int"))
@@ -140,7 +147,7 @@ def _drafts(b: DataFrame) -> DataFrame:
     draft = (
         F.when(F.col("norm_heading"), of(F.lit("constraint"), F.col("flat"), native_id(F.col("flat")), nothing))
         .when(F.col("plain_type").isNotNull(), of(F.col("plain_type"), F.col("flat"), F.col("heading_id"), nothing))
-        .when(F.col("direct") & F.col("label").isNull() & F.col("cued").isNotNull() & F.col("outer.in_use"), of(F.col("cued"), F.col("flat"), native_id(F.col("flat")), F.coalesce("context", "outer.intro")))
+        .when(F.col("direct") & F.col("label").isNull() & F.col("cued").isNotNull() & F.col("outer_used"), of(F.col("cued"), F.col("flat"), native_id(F.col("flat")), F.coalesce("context", "intro")))
         .when(acceptance & cell_id.isNotNull() & (F.coalesce(F.get(cells, F.lit(1)), F.lit("")) != ""), of(F.coalesce(classify(F.get(cells, F.lit(1)), F.col("path")), F.lit("behavior")), F.get(cells, F.lit(1)), cell_id, head(1)))
         .when(rule & cell_id.isNotNull() & (rule_text != ""), of(F.coalesce(declared, classify(rule_text, F.col("path")), F.lit("behavior")), rule_text, cell_id, F.lit("规则定义")))
     )
@@ -156,11 +163,19 @@ def _any(text: Column, words: list[str]) -> Column:
 
 
 def _attached(b: DataFrame) -> DataFrame:
-    """``b`` with ``target`` (the clause that a note, label or fence belongs to) and ``example`` (kind) where it does."""
+    """(id, ordinal, start_line, end_line, of, flat, text, is_attached, example, issue) of notes, labels, fences and rows that belong to a clause (``of``, its ordinal) or have an issue.
+
+    The texts of clauses stay out of the windows: no clause is attached to another or has an issue.
+    """
     order = Window.partitionBy("id").orderBy("ordinal")
     earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    is_draft = F.col("draft").isNotNull()
+    b = b.select(
+        "id", "ordinal", "kind", "start_line", "end_line", "path", "items", "text", "stream", "label", "norm_heading", "resets", "is_label", "is_note", "in_meta", "direct", "outer_used", "bad_row", "odd_table",
+        F.when(F.col("is_note"), F.col("flat")).alias("flat"), F.col("draft").isNotNull().alias("is_draft"),
+    )
+    is_draft = F.col("is_draft")
     b = b.withColumn("prior", F.last(F.when(is_draft, F.struct("ordinal", "end_line", "path", "items")), ignorenulls=True).over(earlier))
+    b = b.withColumn("run", F.sum(F.col("resets").cast("int")).over(so_far)).withColumn("by_heading", F.coalesce(F.last(F.when(F.col("resets"), F.col("norm_heading")), ignorenulls=True).over(so_far), F.lit(False)))
     same_path = F.coalesce(F.col("prior.path") == F.col("path"), F.lit(False))
     # Notes go on from their clause, or from the note before, as long as none is too far away.
     clause = Window.partitionBy("id", "prior.ordinal").orderBy("ordinal")
@@ -171,7 +186,6 @@ def _attached(b: DataFrame) -> DataFrame:
     reach = F.coalesce(F.max(F.when(F.col("is_attached"), F.col("end_line"))).over(clause.rowsBetween(Window.unboundedPreceding, -1)), F.col("prior.end_line"))
     b = b.withColumn("reach", reach)
     # A label belongs to the clause above; those that follow it, before anything else counts, to the same one.
-    b = b.withColumn("run", F.sum(F.col("resets").cast("int")).over(so_far)).withColumn("by_heading", F.coalesce(F.last(F.when(F.col("resets"), F.col("norm_heading")), ignorenulls=True).over(so_far), F.lit(False)))
     good = F.col("prior").isNotNull() & same_path & (F.col("by_heading") | (F.col("start_line") <= F.col("reach") + LABEL_NEAR))
     b = b.withColumn("good", F.when(F.col("is_label"), good))
     b = b.withColumn("good", F.when(F.col("is_label"), F.first("good", ignorenulls=True).over(Window.partitionBy("id", "run").orderBy("ordinal"))))
@@ -185,22 +199,25 @@ def _attached(b: DataFrame) -> DataFrame:
     item = Window.partitionBy("id", own).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("inside", inside & (F.size("items") > 0))
     listed = F.last(F.when((F.col("direct") & is_draft) | (F.col("label").isNotNull() & F.col("inside")), F.struct(F.when(~is_draft, F.col("label")).alias("kind"))), ignorenulls=True).over(item)["kind"]
-    item_fence = (F.size("items") > 0) & (F.col("kind") == "fence") & F.col("outer.in_use")
+    item_fence = (F.size("items") > 0) & (F.col("kind") == "fence") & F.col("outer_used")
     b = b.withColumn("item_kind", F.when(item_fence & F.col("inside") & (listed.isNotNull() | (F.col("start_line") <= F.col("prior.end_line") + NEAR)), F.coalesce(listed, F.lit("neutral"))))
     lost = [
-        F.when(F.col("is_label") & ~F.col("good"), "orphan_example_label"), F.when((F.size("items") > 0) & F.col("label").isNotNull() & ~F.col("inside") & F.col("outer.in_use"), "orphan_example_label"),
+        F.when(F.col("is_label") & ~F.col("good"), "orphan_example_label"), F.when((F.size("items") > 0) & F.col("label").isNotNull() & ~F.col("inside") & F.col("outer_used"), "orphan_example_label"),
         F.when((stream_fence & F.col("stream_kind").isNull()) | (item_fence & F.col("item_kind").isNull()), "orphan_code_example"), F.when(F.col("is_note") & ~F.col("is_attached"), "orphan_normative_note"),
         F.when(F.col("stream") & F.col("in_meta") & F.col("kind").isin("list", "table"), F.concat(F.lit("skipped_metadata_"), F.col("kind"))),
         F.when(F.col("bad_row"), "invalid_acceptance_row"), F.when(F.col("odd_table"), "unsupported_normative_table"),
     ]
-    return b.withColumn("example", F.coalesce("stream_kind", "item_kind")).withColumn("issue", F.coalesce(*lost))
+    b = b.select("id", "ordinal", "start_line", "end_line", F.col("prior.ordinal").alias("of"), "flat", "text", "is_attached", F.coalesce("stream_kind", "item_kind").alias("example"), F.coalesce(*lost).alias("issue"))
+    return b.where("is_attached or example is not null or issue is not null")
 
 
 def read_clauses(blocks: DataFrame) -> DataFrame:
-    """Blocks with all that ``clauses`` and ``diagnostics`` need, as a written table."""
+    """All that ``clauses`` and ``diagnostics`` need: a row for each clause, and those of ``_attached``, as written tables."""
     folder = graph.work_folder(blocks.sparkSession)
     drafted = _drafts(graph.written(annotated(blocks, folder), f"{folder}/annotated"))
-    return graph.written(_attached(graph.written(drafted, f"{folder}/drafts")), f"{folder}/clauses")
+    attached = graph.written(_attached(drafted), f"{folder}/attached")
+    found = drafted.where("draft is not null").select("id", "ordinal", "start_line", "end_line", "path", "draft")
+    return found.unionByName(attached, allowMissingColumns=True)
 
 
 def clauses(read: DataFrame, document_level: Column | None = None) -> DataFrame:
@@ -211,10 +228,10 @@ def clauses(read: DataFrame, document_level: Column | None = None) -> DataFrame:
     a hash of the path.  ``previous`` and ``next`` are numbers of neighbours below the same headings.
     """
     found = read.where("draft is not null")
-    notes = read.where("is_attached").groupBy("id", F.col("prior.ordinal").alias("of")).agg(
+    notes = read.where("is_attached").groupBy("id", "of").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.regexp_replace("flat", NOTE_PREFIX, "").alias("text")))), lambda n: n["text"]), "").alias("notes"), F.max("end_line").alias("note_end"),
     )
-    shown = read.where("example is not null").groupBy("id", F.col("prior.ordinal").alias("of")).agg(
+    shown = read.where("example is not null").groupBy("id", "of").agg(
         F.array_sort(F.collect_list(F.struct("start_line", "end_line", F.col("example").alias("kind"), "text"))).alias("examples")
     )
     of = lambda a: F.col("d.id").eqNullSafe(F.col(f"{a}.id")) & (F.col("d.ordinal") == F.col(f"{a}.of"))
@@ -241,4 +258,4 @@ def clauses(read: DataFrame, document_level: Column | None = None) -> DataFrame:
 
 def diagnostics(read: DataFrame) -> DataFrame:
     """(id, start_line, issue) of what belongs to no clause: orphaned labels, examples and notes, skipped or odd tables; distinct."""
-    return read.where("issue is not null").select("id", F.when(F.col("issue") == "unsupported_normative_table", F.col("outer.at")).alias("at"), "start_line", "issue").select("id", "start_line", "issue").distinct()
+    return read.where("issue is not null").select("id", "start_line", "issue").distinct()

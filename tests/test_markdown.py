@@ -183,6 +183,22 @@ def test_clauses_against_a_walk(spark):
         assert [(r["start_line"], r["end_line"], r["notes"] != "", [(e["start_line"], e["kind"]) for e in r["examples"]]) for r in got if r["id"] == i] == plain_clauses(t), t
 
 
+def test_texts_of_clauses_stay_out_of_the_written_windows(spark, monkeypatch):
+    """Windows carry no text of a clause, and only rows that belong to a clause or have an issue are written after them."""
+    tables = {}
+    monkeypatch.setattr(C.graph, "written", lambda df, path, write=C.graph.written: tables.setdefault(path.rsplit("/", 1)[1], write(df, path)))
+    C.clauses(C.read_clauses(frame(spark, ["must hold\n\n> note\n\n" * 20]))).collect()
+    assert {"id", "of", "is_attached"} < set(tables["attached"].columns) and tables["attached"].count() == 20
+    assert tables["attached"].where("flat like 'must%'").isEmpty() and tables["annotated"].where("text is not null").isEmpty()
+
+
+def test_blocks_of_several_documents_share_a_batch(spark, monkeypatch):
+    docs = ["a\n\nb", None, "", "# c\n" * 9, "d", ""]
+    whole = sorted(map(str, frame(spark, docs).collect()))
+    monkeypatch.setattr(B, "BATCH", 3)
+    assert sorted(map(str, frame(spark, docs).collect())) == whole
+
+
 def test_places_against_encodings(spark):
     docs = ["a😀é\nb\n\n", "", None, "x" * 30, "é\n" * 5]
     texts = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
