@@ -484,6 +484,22 @@ def test_integrity_is_checked_in_tasks_of_bounded_rows(spark, tmp_path, monkeypa
     assert ", 8), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_units_of_one_file_are_dealt_to_tasks_that_suit_their_pairs(spark, tmp_path, monkeypatch):
+    """400 vectors of one file and one label: 8 units that meet 60 records each, so 480 pairs, with themselves."""
+    from lodestone import session
+    from lodestone.plans import retrieval_queries as Q
+
+    spark.range(0, 400, 1, 1).selectExpr("id AS vec_id", "array(1.0F, 0.0F) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    task = F.spark_partition_id().alias("task")
+    assert Q._labelled(spark, tmp_path, Q.DIGIT, limit=5).select(task).distinct().count() > 1
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    few = Q._labelled(spark, tmp_path, Q.DIGIT, limit=5)
+    assert few.rdd.getNumPartitions() == 8 * 60 // 20
+    assert few.select("unit_id", task).distinct().count() == 8
+    every = Q._labelled(spark, tmp_path)
+    assert sorted(map(str, retrieval.exact_ranking(few, 5).collect())) == sorted(map(str, retrieval.exact_ranking(every, 5).collect()))
+
+
 def test_few_signals_and_few_intervals_go_to_their_many_records_and_points(spark):
     """One key that nearly all rows have must not be one task: the small side is broadcast, whatever Spark thinks of its size."""
     from lodestone.plans import structure_queries as Q
