@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -339,7 +340,34 @@ def lexical_probes(texts: DataFrame) -> DataFrame:
     return texts.select("id", lexed(F.coalesce("text", F.lit(""))).alias("x")).select("id", F.col("x.content").alias("tokens"), (F.size("x.issues") > 0).alias("issue"))
 
 
-def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY, shape_of: Callable[[Column], Column] = shape) -> DataFrame:
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in a sorted table."""
+    if not len(table) or not len(values):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def met_shingles(stream: Column, width: int, known: Broadcast) -> Column:
+    """struct(n, met): the number of distinct runs of ``width`` tokens, and the hashes of those in ``known``, a broadcast sorted array; of all if that is None."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.StructArray]:
+        table = known.value
+        for batch in batches:
+            for part in token_parts(batch):
+                sets = shingle_hashes(part, width)
+                sizes, met = sets.value_lengths(), sets
+                if table is not None:
+                    values = sets.values.to_numpy(zero_copy_only=False)
+                    hit = _among(values, table)
+                    row = np.repeat(np.arange(len(sets)), sizes.to_numpy(zero_copy_only=False))
+                    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[hit], minlength=len(sets)))))
+                    met = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[hit]))
+                yield pa.StructArray.from_arrays([sizes, met], names=["n", "met"])
+
+    return F.arrow_udf(run, "struct<n: int, met: array<bigint>>", F.ArrowUDFType.SCALAR_ITER)(stream.cast("array<string>"))
+
+
+def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY, shape_of: Callable[[Column], Column] = shape, most: int = 2_000_000) -> DataFrame:
     """(id, n_shingles, decision) of every probe (id, tokens, optionally issue) against references (tokens).
 
     Equal streams are compared once.  duplicate: an equal stream, content shingles
@@ -348,58 +376,67 @@ def screen(probes: DataFrame, references: DataFrame, policy: dict = POLICY, shap
     stream equals nothing.  Candidates for a run are exact too: a run that covers
     its share of a stream leaves out at most the rest of its positions, so all other
     distinct shingles are shared.  Only pairs that are still open are scanned for it.
+
+    Of a probe only its number of shingles and those that a reference has matter.  The
+    distinct shingles of the references go to all tasks where they are at most ``most``,
+    and a probe's others never leave the task; beyond that all are kept and joined.
+    Tokens of probes are never stored: those of open pairs are made once more.
     """
-    folder = graph.work_folder(probes.sparkSession)
+    spark = probes.sparkSession
+    folder = graph.work_folder(spark)
     issue = F.coalesce("issue", F.lit(False)) if "issue" in probes.columns else F.lit(False)
     stream = F.coalesce("tokens", F.array().cast("array<string>"))
+    keyed = lambda df, *cols: df.select(*cols, stream.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", "\u0001"), 256))
+    shaped = lambda df: df.withColumn("masked", shape_of(F.col("tokens"))).withColumn("shape_key", F.sha2(F.array_join("masked", "\u0001"), 256))
 
-    def streams(df: DataFrame, name: str) -> DataFrame:
-        one = df.groupBy("key").agg(F.first("tokens").alias("tokens")).withColumn("masked", shape_of(F.col("tokens")))
-        return graph.written(
-            one.select(
-                "key", "tokens", F.size("tokens").alias("n_tokens"), shingles(F.col("tokens"), CONTENT_WIDTH).alias("content"),
-                shingles(F.col("masked"), SHAPE_WIDTH).alias("shape"), F.sha2(F.array_join("masked", "\u0001"), 256).alias("shape_key"),
-            ), f"{folder}/{name}",
-        )
+    one = shaped(keyed(references).groupBy("key").agg(F.first("tokens").alias("tokens")))
+    one = one.select("key", "tokens", F.size("tokens").alias("n_tokens"), shingles(F.col("tokens"), CONTENT_WIDTH).alias("content"), shingles(F.col("masked"), SHAPE_WIDTH).alias("shape"), "shape_key")
+    right = graph.written(one, f"{folder}/references").withColumns({"n_content": F.size("content"), "n_shape": F.size("shape")})
 
-    keyed = lambda df, *cols: df.select(*cols, stream.alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", "\u0001"), 256))
-    asked = keyed(probes, "id", issue.alias("issue"))
-    left, right = streams(asked, "probes"), streams(keyed(references), "references")
-    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    def known(column: str) -> Broadcast:
+        first = [r[0] for r in right.select(F.explode(column)).distinct().limit(most + 1).collect()]
+        return spark.sparkContext.broadcast(np.sort(np.array(first, np.int64)) if len(first) <= most else None)
+
+    asked = shaped(keyed(probes, "id", issue.alias("issue"))).select(
+        "id", "issue", "key", "shape_key", F.size("tokens").alias("n_tokens"), met_shingles(F.col("tokens"), CONTENT_WIDTH, known("content")).alias("content"), met_shingles(F.col("masked"), SHAPE_WIDTH, known("shape")).alias("shape")
+    )
+    asked = graph.written(asked, f"{folder}/probes").select("id", "issue", "key", "shape_key", "n_tokens", F.col("content.n").alias("n_content"), F.col("content.met").alias("content"), F.col("shape.n").alias("n_shape"), F.col("shape.met").alias("shape"))
+    columns = ["n_tokens", "n_content", "content", "n_shape", "shape"]
+    left = asked.where((F.size("content") > 0) | (F.size("shape") > 0)).groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
+    left = graph.written(left, f"{folder}/streams")  # of the probes that can meet a reference
+    sides = left.select("key", *columns, F.lit(0).alias("side")).unionByName(right.select("key", *columns, F.lit(1).alias("side")))
 
     def needing(column: str, size: Column, needed: Column, least: int = 0) -> DataFrame:
         rows = sides.where(size >= least).select("key", "side", F.col(column).alias("set"), size.alias("size"), needed.cast("int").alias("needed"))
         return candidate_pairs(rows, f"{folder}/elements-{column}-{least}")
 
     of = lambda n, name: F.ceil(n * policy[name][0] / policy[name][1])
-    n_content, n_shape, n_tokens = F.size("content"), F.size("shape"), F.col("n_tokens")
+    n_content, n_shape, n_tokens = F.col("n_content"), F.col("n_shape"), F.col("n_tokens")
     pairs = needing("content", n_content, F.greatest(F.lit(policy["gray_shared"]), of(n_content, "gray_containment")))
     pairs = pairs.union(needing("content", n_tokens, F.greatest(F.lit(1), n_content - (n_tokens - of(n_tokens, "run_coverage"))), policy["run_tokens"]))
     pairs = pairs.union(needing("shape", n_shape, F.greatest(F.lit(policy["shape_shared"]), of(n_shape, "shape_containment")))).distinct()
 
-    a = left.select(F.col("key").alias("probe"), F.col("content").alias("pc"), F.col("shape").alias("ps"), F.col("n_tokens").alias("pn"))
-    b = right.select(F.col("key").alias("ref"), F.col("content").alias("rc"), F.col("shape").alias("rs"), F.col("n_tokens").alias("rn"))
+    a = left.select(F.col("key").alias("probe"), F.col("content").alias("pc"), F.col("n_content").alias("n_probe"), F.col("shape").alias("ps"), F.col("n_shape").alias("shape_probe"), F.col("n_tokens").alias("pn"))
+    b = right.select(F.col("key").alias("ref"), F.col("content").alias("rc"), F.col("n_content").alias("n_ref"), F.col("shape").alias("rs"), F.col("n_shape").alias("shape_ref"), F.col("n_tokens").alias("rn"))
     shared = lambda x, y: F.size(F.array_intersect(x, y))
-    counted = pairs.join(a, "probe").join(b, "ref").select(
-        "probe", "ref", shared("pc", "rc").alias("shared"), F.size("pc").alias("n_probe"), F.size("rc").alias("n_ref"),
-        shared("ps", "rs").alias("shape_shared"), F.size("ps").alias("shape_probe"), F.size("rs").alias("shape_ref"), F.least("pn", "rn").alias("n_tokens"),
-    )
+    counted = pairs.join(a, "probe").join(b, "ref").select("probe", "ref", shared("pc", "rc").alias("shared"), "n_probe", "n_ref", shared("ps", "rs").alias("shape_shared"), "shape_probe", "shape_ref", F.least("pn", "rn").alias("n_tokens"))
     decided = graph.written(decide(counted, policy), f"{folder}/decided")
     unsure = decided.where((F.col("decision") != "duplicate") & (F.col("n_tokens") >= policy["run_tokens"]) & (F.col("shared") > 0)).drop("signals", "decision")
+    ids = asked.join(small_side(unsure.select(F.col("probe").alias("key")).distinct()), "key", "left_semi").select(F.col("id").alias("open_id")).distinct()
+    again = keyed(probes.join(small_side(ids), F.col("id").eqNullSafe(F.col("open_id")), "left_semi")).groupBy("key").agg(F.first("tokens").alias("tokens"))
     words = lambda df, key, name: df.select(F.col("key").alias(key), F.col("tokens").alias(name))
-    scanned = longest_runs(unsure.join(words(left, "probe", "probe_tokens"), "probe").join(words(right, "ref", "ref_tokens"), "ref"))
+    scanned = longest_runs(unsure.join(words(again, "probe", "probe_tokens"), "probe").join(words(right, "ref", "ref_tokens"), "ref"))
     found = decided.select("probe", "decision").union(decide(scanned.drop("probe_tokens", "ref_tokens"), policy).select("probe", "decision"))
     best = found.groupBy(F.col("probe").alias("key")).agg(F.bool_or(F.col("decision") == "duplicate").alias("hard"), F.bool_or(F.col("decision") == "gray").alias("soft"))
     same = right.where("n_tokens > 0").select("key", F.lit(True).alias("equal"))
     alike = right.select("shape_key").distinct().withColumn("alike", F.lit(True))
-    known = left.select("key", "shape_key", "n_tokens", n_content.alias("n_shingles")).join(best, "key", "left").join(same, "key", "left").join(alike, "shape_key", "left")
-    known = known.fillna(False, ["hard", "soft", "equal", "alike"])
+    settled = asked.select("id", "issue", "key", "shape_key", "n_tokens", n_content.alias("n_shingles")).join(best, "key", "left").join(small_side(same), "key", "left").join(small_side(alike), "shape_key", "left")
     decision = (
         F.when(F.col("issue"), "abstain").when(F.col("equal") | F.col("hard"), "duplicate")
         .when(F.col("soft") | (F.col("alike") & (F.col("n_tokens") >= policy["run_tokens"])), "gray")
         .when(F.col("n_shingles") < policy["least_shingles"], "abstain").otherwise("clear")
     )
-    return asked.select("id", "key", "issue").join(known, "key").select("id", "n_shingles", decision.alias("decision"))
+    return settled.fillna(False, ["hard", "soft", "equal", "alike"]).select("id", "n_shingles", decision.alias("decision"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
@@ -422,10 +459,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int, most: i
         for batch in batches:
             found = shingle_hashes(batch, width)
             values, sizes = found.values.to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False)
-            hit = np.zeros(len(values), bool)
-            if len(table) and len(values):
-                at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-                hit = table[at] == values
+            hit = _among(values, table)
             yield pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=hit, minlength=len(sizes)).astype(np.int64))
 
     n_shared = F.arrow_udf(counts, "bigint", F.ArrowUDFType.SCALAR_ITER)(own)

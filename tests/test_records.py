@@ -146,3 +146,22 @@ def test_rendered_documents(spark):
     entries = spark.createDataFrame([(1, "y", 2, "two|"), (1, "y", 1, None), (1, "x", 1, "<i>"), (1, "z", 1, "unknown"), (3, "x", 1, "no title")], "doc int, category string, ordinal int, title string")
     got = dict(map(tuple, records.rendered(titles, entries, "doc", {"x": "X", "y": "Y", "w": "W"}).collect()))
     assert got == {1: "# A &amp; \\*b\\*\n\n### X\n\n- &lt;i&gt;\n\n### Y\n\n- \n- two\\|\n", 2: "# \n"}
+
+
+def test_screening_stores_only_what_a_reference_has(spark, monkeypatch):
+    """Open pairs of an id that has other texts too, a null id and a repeated stream; lists of working tables hold no token of a probe and none of its other shingles."""
+    words = [f"w{i}" for i in range(5000)]
+    r = spark.createDataFrame([(words[:100],)], "tokens array<string>")
+    probes = [(1, words[1000:4000]), (2, [*words[:70], *words[200:240]]), (2, words[300:340]), (None, [*words[:70], *words[200:240]]), (3, [*words[:66], *words[400:900]])]
+    p = spark.createDataFrame(probes, "id long, tokens array<string>")
+    tables = {}
+    written = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, path: tables.setdefault(path.split("/")[-1], written(df, path)))
+    got = sorted(map(str, near_duplicate.screen(p, r).collect()))
+    want = [(1, 2994, "clear"), (2, 104, "duplicate"), (2, 34, "clear"), (3, 560, "duplicate"), (None, 104, "duplicate")]
+    assert got == [f"Row(id={i}, n_shingles={n}, decision='{d}')" for i, n, d in want]
+    assert "tokens" not in tables["probes"].columns
+    held = tables["probes"].select(F.sum(F.size("content.met") + F.size("shape.met"))).first()[0]
+    assert held <= sum(len(set(t) & set(words[:100])) for _, t in probes) + len(probes)
+    monkeypatch.undo()
+    assert sorted(map(str, near_duplicate.screen(p, r, most=0).collect())) == got
