@@ -545,3 +545,26 @@ def test_sets_are_counted_once_and_elements_dealt_once(spark):
     assert set(got) == want
     assert all(r["shared"] == len(set(rows[i][1]) & set(rows[j][1])) and (r["n_probe"], r["n_ref"]) == (len(rows[i][1]), len(rows[j][1])) for (i, j), r in got.items())
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cosine_topk", "min_similarity_filter", "rrf_fusion", "weighted_pool_rrf", "retrieval_with_failures", "ranking_metrics_at_k", "arm_rollup", "embedding_candidate"])
+def test_rows_without_an_embedding_are_units_and_records(spark, tmp_path, name):
+    """As the SQL has them: with a similarity of 0, and in the exact ranking of their label."""
+    from lodestone.plans import catalog
+
+    from .oracle import TABLES, compare
+
+    for t in set(TABLES) - {"embeddings"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    vector = "transform(sequence(1, 64), k -> cast(sin((id + 1) * k) AS float))"
+    spark.range(150).selectExpr("id AS vec_id", f"if(id % 7 IN (1, 2), null, {vector}) AS embedding", "cast(id % 4 AS int) AS label").coalesce(1).write.parquet(f"{tmp_path}/e")
+    (tmp_path / "embeddings.parquet").symlink_to(next((tmp_path / "e").glob("*.parquet")))
+    compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path))
+    assert name != "ranking_metrics_at_k" or catalog.QUERIES[name](spark, str(tmp_path)).where("unit_id = 50").count() == 8
+
+
+def test_a_table_without_embeddings_has_similarities_of_0(spark, tmp_path):
+    from lodestone.plans import retrieval_queries as Q
+
+    spark.range(60).selectExpr("id AS vec_id", "cast(null AS array<float>) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r["unit_id"], r["similarity"]) for r in Q.cosine_topk(spark, tmp_path).collect()} == {(0, 0.0), (50, 0.0)}
